@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+_BLANKS = " \t\n\x0b\f\r"  # fixed: what the regular expression \\s stands for
+
+
 def tokens(text: Column | str) -> Column:
     """Lower-cased words, cut at every single whitespace character.
 
@@ -12,9 +15,9 @@ def tokens(text: Column | str) -> Column:
     inner empty words stay, trailing ones go, blank text has no words, null stays null.
     """
     text = F.col(text) if isinstance(text, str) else text
-    trimmed = F.regexp_replace(F.lower(text), r"\s+$", "")
+    trimmed = F.rtrim(text, F.lit(_BLANKS))
     return F.when((trimmed == "") & (text != ""), F.array().cast("array<string>")).otherwise(
-        F.split(trimmed, r"\s")
+        F.split(F.lower(trimmed), r"\s")
     )
 
 

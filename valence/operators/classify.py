@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF, StringIndexer, StringIndexerModel, Tokenizer
@@ -49,6 +50,27 @@ def classifier(
     return Pipeline(stages=[label_indexer(label_order), *features(num_features), regression])
 
 
+def fit(classifier: Pipeline, train: DataFrame) -> PipelineModel:
+    """Fit the five stages, as ``classifier.fit(train)`` does, but read the texts only once.
+
+    The hashed words are kept, on disk where memory is short, for the two stages that need
+    them; otherwise each of those would go back to the texts and cut them up again.
+    """
+    indexer, tokenizer, hashing, idf, regression = classifier.getStages()
+    labels = indexer.fit(train)
+    words = tokenizer.transform(labels.transform(train))
+    hashed = hashing.transform(words).select(
+        regression.getLabelCol(), hashing.getOutputCol()
+    )
+    hashed.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        weights = idf.fit(hashed)
+        fitted = regression.fit(weights.transform(hashed))
+    finally:
+        hashed.unpersist()
+    return PipelineModel([labels, tokenizer, hashing, weights, fitted])
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -59,16 +59,10 @@ def exact_split(
             break
         scope = scope.filter(level == hash_value)
 
-    # Below the border at the first differing level, or (as far as wanted) on it.
-    before = [
-        reduce(and_, border[:i], F.lit(True)) & (level < value)
-        for i, (level, value) in enumerate(passed)
-    ]
-    below, on = reduce(or_, before), reduce(and_, border)
-    if want == ties:
-        return df.filter(below | on), df.filter(~(below | on))
-    if want == 0:
-        return df.filter(below), df.filter(~below)
+    if want in (0, ties):
+        first = _first(passed, whole=want == ties)
+        return df.filter(first), df.filter(~first)
+    below, on = _first(passed, whole=False), reduce(and_, border)
     copy = df.filter(on).limit(1)
     return (
         df.filter(below).unionByName(_repeat(copy, want)),
@@ -76,6 +70,14 @@ def exact_split(
     )
 
 
+def _first(border: list[tuple[Column, str]], whole: bool) -> Column:
+    """Rows before the border, by one hash after the other, or up to it as a whole."""
+    (level, value), rest = border[0], border[1:]
+    if rest:
+        return (level < value) | ((level == value) & _first(rest, whole))
+    return level <= value if whole else level < value
+
+
 def split_name(train: DataFrame, live: DataFrame) -> DataFrame:
     """Both parts in one table, with a column ``split``."""
     return train.withColumn("split", F.lit("train")).unionByName(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from valence.functions.text import tokens
+from valence.session import shared_dir
 
 HOT_TERMS = 10_000  # most terms that count as hot, hence rows of the broadcast
 
@@ -26,29 +27,31 @@ def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 def tfidf_terms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """TF-IDF weight of each term in each document, with smoothed ``ln((n+1)/(df+1))``.
 
-    Joining on the term alone would send a word that occurs in every document to one task.
-    A term is hot if its document frequency is over 1/HOT_TERMS of their sum; there can be
-    at most HOT_TERMS of those, so their frequencies are broadcast, and only entries of the
-    other terms are shuffled.
+    The texts are cut into words once, and the counts written to a table that the rest
+    starts from. Joining it on the term alone would send a word that occurs in every
+    document to one task. A term is hot if its document frequency is over 1/HOT_TERMS of
+    their sum; there can be at most HOT_TERMS of those, so their frequencies are broadcast
+    (under a name of bounded length), and only the entries of other terms are shuffled.
     """
-    n_docs, entries = docs.agg(
-        F.count("*"), F.sum(F.size(F.array_distinct(tokens(text))).cast("long"))
-    ).first()
-    hot_over = (entries or 0) / HOT_TERMS
-    distinct = docs.select(F.explode(F.array_distinct(tokens(text))).alias("term"))
-    frequency = distinct.groupBy("term").agg(F.count("*").alias("df"))
-
-    counts = term_counts(docs, key, text)
-    hot = frequency.filter(F.col("df") > hot_over)
-    marked = counts.join(F.broadcast(hot), "term", "left")
-    rare = (
-        marked.filter(F.col("df").isNull())
-        .drop("df")
-        .join(frequency.filter(F.col("df") <= hot_over), "term")
-    )
-    weight = F.col("tf") * F.log((F.lit(n_docs) + 1) / (F.col("df") + 1))
-    every = marked.filter(F.col("df").isNotNull()).unionByName(rare)
-    return every.select(key, "term", "tf", "df", weight.alias("tfidf"))
+    spark = docs.sparkSession
+    path = shared_dir(spark, "terms")
+    term_counts(docs, key, text).withColumn("_name", _short_name("term")).write.parquet(path)
+    counts = spark.read.parquet(path)
+    frequency = counts.groupBy("_name").agg(F.count("*").alias("df"))
+    is_hot = F.col("df") > counts.count() / HOT_TERMS
+
+    marked = counts.join(F.broadcast(frequency.filter(is_hot)), "_name", "left")
+    hot = marked.filter(F.col("df").isNotNull())
+    rare = marked.filter(F.col("df").isNull()).drop("df")
+    rare = rare.join(frequency.filter(~is_hot), "_name")
+    weight = F.col("tf") * F.log((docs.count() + F.lit(1)) / (F.col("df") + 1))
+    return hot.unionByName(rare).select(key, "term", "tf", "df", weight.alias("tfidf"))
+
+
+def _short_name(term: str) -> Column:
+    """The term, or a hash of it if it is long; words have no tab, so the two cannot meet."""
+    hashed = F.concat(F.lit("\t"), F.md5(F.col(term)))
+    return F.when(F.length(term) > 40, hashed).otherwise(F.col(term))
 
 
 def vector_entries(rows: DataFrame, key: str, vector: str, value: str) -> DataFrame:

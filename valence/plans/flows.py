@@ -62,14 +62,14 @@ def json_parse(spark, sf):
 
 def train_and_score(spark, sf):
     train, live = train_and_live(spark, sf)
-    model = classify.classifier().fit(train)
+    model = classify.fit(classify.classifier(), train)
     return classify.predict(model, live).select("id", "target", "prediction")
 
 
 def model_reload_score(spark, sf):
     train, live = train_and_live(spark, sf)
     path = shared_dir(spark, "model")
-    classify.save_model(classify.classifier().fit(train), path)
+    classify.save_model(classify.fit(classify.classifier(), train), path)
     return classify.predict(classify.load_model(path), live).select("id", "target", "prediction")
 
 
@@ -108,7 +108,7 @@ def stream_replay(spark, sf):
 
 def _stream_scored(spark, sf):
     train, live = train_and_live(spark, sf)
-    model = classify.classifier().fit(train)
+    model = classify.fit(classify.classifier(), train)
     path = shared_dir(spark, "messages")
     write_replay(live, path, keep=("id",))
     raw = message_stream(spark, path=path, maxFilesPerTrigger="3")

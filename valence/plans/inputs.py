@@ -17,9 +17,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, for work that is costly per row.
+
+    A table that comes in fewer pieces than there are cores is dealt out to all of them
+    first; a large one is read as it lies.
+    """
+    docs = table(spark, sf, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+
+
 def posts(spark: SparkSession, sf: str) -> DataFrame:
     """All documents as posts; those without a label have no target."""
-    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    docs, labels = documents(spark, sf), table(spark, sf, "labels")
     return docs.join(labels, "doc_id", "left").select(
         (F.col("quality") * 4).cast("int").alias("target"),
         F.col("doc_id").alias("id"),

@@ -8,7 +8,16 @@ from valence.functions.labels import sentiment
 from valence.operators import curves, metrics
 from valence.operators.curves import CURVES
 from valence.operators.latest import latest_n
-from valence.plans.inputs import JUDGED_SQL, LATEST_SQL, SCORED_SQL, curves_sql, rounded, scored
+from valence.plans.inputs import (
+    JUDGED_SQL,
+    LATEST_SQL,
+    SCORED_SQL,
+    as_scored,
+    curves_sql,
+    rounded,
+    scored,
+    table,
+)
 
 _ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in CURVES)
 _CELLS = """
@@ -21,7 +30,7 @@ _ACCURACY = """count(*) AS n, round(avg(is_correct) * 100, 6) AS accuracy,
 
 
 def _latest(spark, sf):
-    return latest_n(scored(spark, sf), "event_id")
+    return as_scored(latest_n(table(spark, sf, "events"), "event_id"))
 
 
 def label_normalize(spark, sf):
@@ -110,8 +119,8 @@ def curve_bounds(spark, sf):
 
 
 def kpi_snapshot(spark, sf):
-    rows = scored(spark, sf)
-    return rounded(metrics.kpi_snapshot(rows, latest_n(rows, "event_id"), "event_id"), "accuracy")
+    store = table(spark, sf, "events")
+    return rounded(metrics.kpi_snapshot(store, _latest(spark, sf), "event_id"), "accuracy")
 
 
 QUERIES = {

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from valence.functions.text import preview
 from valence.operators import classify, split, terms
-from valence.plans.inputs import POSTS_SQL, posts, rounded, table
+from valence.plans.inputs import POSTS_SQL, documents, posts, rounded, table
 
 # Java's \s, so that both engines cut at the same characters.
 _BLANK = r"[ \t\n\x0B\f\r]"
@@ -100,26 +100,26 @@ def label_index_by_frequency(spark, sf):
 
 
 def tokenize(spark, sf):
-    return terms.words(table(spark, sf, "documents"), "doc_id")
+    return terms.words(documents(spark, sf), "doc_id")
 
 
 def term_counts(spark, sf):
-    return terms.term_counts(table(spark, sf, "documents"), "doc_id")
+    return terms.term_counts(documents(spark, sf), "doc_id")
 
 
 def tfidf_terms(spark, sf):
-    return rounded(terms.tfidf_terms(table(spark, sf, "documents"), "doc_id"), "tfidf")
+    return rounded(terms.tfidf_terms(documents(spark, sf), "doc_id"), "tfidf")
 
 
 def hashed_tf(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     tokenizer, hashing, _ = classify.features()
     vectors = hashing.transform(tokenizer.transform(docs))
     return terms.vector_entries(vectors, "doc_id", "rawFeatures", "tf")
 
 
 def tfidf_vectors(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf).select("doc_id", "text")
     vectors = Pipeline(stages=classify.features()).fit(docs).transform(docs)
     entries = terms.vector_entries(vectors, "doc_id", "features", "tfidf")
     return rounded(entries, "tfidf")
