@@ -125,3 +125,21 @@ def score(
         *others,
         outcome.alias("outcome"),
     )
+
+
+def evaluate(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Accuracy and error, in percent, on rows of the training view.
+
+    ``majority`` is what always answering the most common class would reach.
+    """
+    labelled = predict(model, model.stages[0].transform(rows))
+    per_class = labelled.groupBy("label").agg(
+        F.count("*").alias("n"), F.count_if(F.col("label") == F.col("prediction")).alias("hits")
+    )
+    share = F.try_divide(F.sum("hits"), F.sum("n"))
+    return per_class.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        (share * 100).alias("accuracy"),
+        ((1 - share) * 100).alias("error"),
+        (F.try_divide(F.max("n"), F.sum("n")) * 100).alias("majority"),
+    )

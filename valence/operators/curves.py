@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from valence.functions.labels import is_correct, real_value
@@ -56,12 +53,14 @@ def history_curves(
     keys = [*by, *order]
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = shared_dir(spark, "curves")
+    group = F.md5(F.to_json(F.struct(*by), {"ignoreNullFields": "false"})) if by else F.lit("")
     (
         with_correctness(scored)
         .select(*keys, "real_val", "is_correct")
         .repartitionByRange(shards, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_position", F.monotonically_increasing_id())
+        .withColumn("_group", group)
         .write.parquet(path)
     )
     rows = spark.read.parquet(path).withColumn("_shard", F.shiftright("_position", _ROW_BITS))
@@ -83,43 +82,34 @@ def history_curves(
     )
 
     # What a group brings into a block from earlier ones. Groups are contiguous, so only one
-    # group per block brings anything: at most _MAX_BLOCKS rows.
+    # group per block brings anything: at most _MAX_BLOCKS rows, of a fixed size each.
     earlier = (
-        Window.partitionBy(*by)
-        .orderBy("_block")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = (
-        placed.groupBy("_block", *by)
+        placed.groupBy("_block", "_group")
         .agg(F.count("*").alias("_n"), F.sum("is_correct").alias("_correct"))
         .withColumns({c: F.sum(c).over(earlier) for c in ("_n", "_correct")})
         .filter(F.col("_n").isNotNull())
     )
-    carried = {c: F.col(c).alias(f"_carry{i}") for i, c in enumerate(("_block", *by))}
-    carry = carry.select(*carried.values(), "_n", "_correct")
 
     # The last rows of a block are also shown, as a halo, to the block after it.
     tail = F.col("_rank") % block_rows >= block_rows - (ROLLING_ROWS - 1)
     here, after = F.col("_block"), F.col("_block") + 1
     shown = placed.withColumn(
         "_shown", F.explode(F.when(tail, F.array(here, after)).otherwise(F.array(here)))
-    )
-    ordered = Window.partitionBy("_shown", *by).orderBy("_rank")
+    ).withColumn("_own", (F.col("_shown") == F.col("_block")).cast("int"))
+    ordered = Window.partitionBy("_shown", "_group").orderBy("_rank")
     so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    own = (F.col("_shown") == F.col("_block")).cast("int")
-    windowed = (
-        shown.withColumn("_own", own)
-        .withColumn("_own_rows", F.sum("_own").over(so_far))
-        .withColumn("_own_correct", F.sum(F.col("_own") * F.col("is_correct")).over(so_far))
-        .withColumn(
-            "_rolling", F.avg("is_correct").over(ordered.rowsBetween(1 - ROLLING_ROWS, 0))
-        )
-        .filter("_own = 1")
-    )
-    same = reduce(
-        and_, [windowed[c].eqNullSafe(carry[f"_carry{i}"]) for i, c in enumerate(carried)]
-    )
-    joined = windowed.join(F.broadcast(carry), same, "left")
+    frame = ordered.rowsBetween(1 - ROLLING_ROWS, 0)
+    windowed = shown.withColumns(
+        {
+            "_own_rows": F.sum("_own").over(so_far),
+            "_own_correct": F.sum(F.col("_own") * F.col("is_correct")).over(so_far),
+            "_rolling": F.avg("is_correct").over(frame),
+        }
+    ).filter("_own = 1")
+    joined = windowed.join(F.broadcast(carry), ["_block", "_group"], "left")
     step = F.col("_own_rows") + F.coalesce("_n", F.lit(0))
     running = (F.col("_own_correct") + F.coalesce("_correct", F.lit(0))) / F.col("step")
     curves = _with_curves(joined.withColumn("step", step), running, F.col("_rolling"))

@@ -19,9 +19,18 @@ def hash_order(key: str | list[str], seed: int = 42) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
+def shuffle_keys(df: DataFrame, key: str | list[str], seed: int = 42) -> list[Column]:
+    """What to sort by for a reproducible random order.
+
+    Rows with equal keys are told apart by their content, and copies of one row by chance,
+    so that a range-partitioned sort can spread them over several tasks.
+    """
+    return [hash_order(key, seed), F.xxhash64(*df.columns), F.rand(seed)]
+
+
 def seeded_shuffle(df: DataFrame, key: str | list[str], seed: int = 42) -> DataFrame:
-    """All rows in a reproducible random order (a range-partitioned sort)."""
-    return df.orderBy(hash_order(key, seed), *([key] if isinstance(key, str) else key))
+    """All rows in a reproducible random order."""
+    return df.orderBy(*shuffle_keys(df, key, seed))
 
 
 def hash_split(

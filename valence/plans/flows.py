@@ -66,6 +66,13 @@ def train_and_score(spark, sf):
     return classify.predict(model, live).select("id", "target", "prediction")
 
 
+def holdout_accuracy(spark, sf):
+    train, live = train_and_live(spark, sf)
+    model = classify.fit(classify.classifier(), train)
+    figures = classify.evaluate(model, classify.training_view(live))
+    return rounded(figures, "accuracy", "error", "majority")
+
+
 def model_reload_score(spark, sf):
     train, live = train_and_live(spark, sf)
     path = shared_dir(spark, "model")
@@ -173,6 +180,7 @@ QUERIES = {
     "publish_json": publish_json,
     "json_parse": json_parse,
     "train_and_score": train_and_score,
+    "holdout_accuracy": holdout_accuracy,
     "model_reload_score": model_reload_score,
     "stream_parse": stream_parse,
     "stream_replay": stream_replay,

@@ -18,7 +18,8 @@ POST_SCHEMA = T.StructType(
 
 LATIN_1 = "ISO-8859-1"
 
-# One dialect for both directions: doubled quotes, every blank kept, only an empty field is null.
+# One dialect for both directions: doubled quotes, every blank kept. An empty field, quoted or
+# not, is null, and nothing else is.
 _DIALECT = {
     "header": "false",
     "quote": '"',

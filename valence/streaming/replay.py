@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from valence.operators.split import hash_order
+from valence.operators.split import shuffle_keys
 from valence.sources.messages import publish, to_messages
 
 
@@ -13,14 +13,16 @@ def write_replay(
     path: str,
     key: str = "id",
     seed: int = 42,
-    files: int = 8,
+    files: int | None = None,
     label: str = "target",
     keep: tuple[str, ...] = (),
 ) -> None:
-    """Write posts as messages into ``files`` files, in a reproducible random order.
+    """Write posts as messages into files, in a reproducible random order.
 
     The reader sets the pace: ``maxFilesPerTrigger`` files per ``processingTime``.
     """
-    shuffled = hash_order(key, seed)
-    ordered = posts.repartitionByRange(files, shuffled).sortWithinPartitions(shuffled)
+    files = files or int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = {f"_key{i}": k for i, k in enumerate(shuffle_keys(posts, key, seed))}
+    keyed = posts.withColumns(keys)
+    ordered = keyed.repartitionByRange(files, *keys).sortWithinPartitions(*keys)
     publish(to_messages(ordered, label, keep), "text", path=path)
