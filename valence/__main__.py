@@ -21,6 +21,7 @@ if __package__ in (None, ""):  # run as a file rather than with -m
 
 from valence.operators import classify, curves, metrics, split  # noqa: E402
 from valence.operators.latest import MONITORED_ROWS, latest_n  # noqa: E402
+from valence.session import written  # noqa: E402
 from valence.sources.csvfiles import LATIN_1, read_posts, write_posts  # noqa: E402
 from valence.sources.messages import MESSAGE_SCHEMA, message_stream, publish, to_messages  # noqa: E402
 from valence.sources.store import STORE_SCHEMA, read_store  # noqa: E402
@@ -34,7 +35,7 @@ _TOPIC_ORDER = ("partition", "offset")
 
 
 def split_posts(spark: SparkSession, a: argparse.Namespace) -> None:
-    posts = read_posts(spark, a.posts, a.encoding)
+    posts = written(read_posts(spark, a.posts, a.encoding), "posts")
     parts = split.exact_split(posts, "id", a.fraction, a.seed)
     for part, path in zip(parts, (a.train, a.live)):
         write_posts(split.seeded_shuffle(part, "id", a.seed), path, a.encoding)
@@ -42,15 +43,16 @@ def split_posts(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def train(spark: SparkSession, a: argparse.Namespace) -> None:
-    posts = read_posts(spark, a.posts, a.encoding)
+    read = read_posts(spark, a.posts, a.encoding).select("id", "target", "text")
+    posts = written(read, "posts")
     parts = split.hash_split(posts, "id", [0.8, 0.2], a.seed)
     rows, held_out = [classify.training_view(p) for p in parts]
     print(f"rows for training: {rows.count()}, held out: {held_out.count()}")
     model = classify.fit(classify.classifier(label_order=a.label_order), rows)
     for f in classify.evaluate(model, held_out).collect():
         if f["n"]:
-            print(f"accuracy: %{f['accuracy']:.2f}, error: %{f['error']:.2f}, "
-                  f"most common class: %{f['majority']:.2f}")
+            text = "accuracy: %{accuracy:.2f}, error: %{error:.2f}, most common class: %{majority:.2f}"
+            print(text.format(**f.asDict()))
     classify.save_model(model, a.model)
 
 

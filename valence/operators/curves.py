@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from valence.functions.labels import is_correct, real_value
-from valence.session import shared_dir
+from valence.session import written
 
 ROLLING_ROWS = 50  # fixed length of the rolling frame
 CURVES = ["running_accuracy", "running_error", "rolling_accuracy", "rolling_error"]
@@ -49,21 +49,19 @@ def history_curves(
     group in earlier blocks (one carry row per block) and sees the last rows of the block
     before it, so that blocks can be computed independently of each other.
     """
-    spark = scored.sparkSession
     keys = [*by, *order]
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = shared_dir(spark, "curves")
+    shards = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     group = F.md5(F.to_json(F.struct(*by), {"ignoreNullFields": "false"})) if by else F.lit("")
-    (
+    positioned = (
         with_correctness(scored)
         .select(*keys, "real_val", "is_correct")
         .repartitionByRange(shards, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_position", F.monotonically_increasing_id())
         .withColumn("_group", group)
-        .write.parquet(path)
     )
-    rows = spark.read.parquet(path).withColumn("_shard", F.shiftright("_position", _ROW_BITS))
+    shard = F.shiftright("_position", _ROW_BITS)
+    rows = written(positioned, "curves").withColumn("_shard", shard)
 
     # One row per shard: where it starts in the overall order.
     sizes = rows.groupBy("_shard").agg(F.count("*").alias("_n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from valence.functions.text import tokens
-from valence.session import shared_dir
+from valence.session import written
 
 HOT_TERMS = 10_000  # most terms that count as hot, hence rows of the broadcast
 
@@ -33,10 +33,8 @@ def tfidf_terms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     their sum; there can be at most HOT_TERMS of those, so their frequencies are broadcast
     (under a name of bounded length), and only the entries of other terms are shuffled.
     """
-    spark = docs.sparkSession
-    path = shared_dir(spark, "terms")
-    term_counts(docs, key, text).withColumn("_name", _short_name("term")).write.parquet(path)
-    counts = spark.read.parquet(path)
+    named = term_counts(docs, key, text).withColumn("_name", _short_name("term"))
+    counts = written(named, "terms")
     frequency = counts.groupBy("_name").agg(F.count("*").alias("df"))
     is_hot = F.col("df") > counts.count() / HOT_TERMS
 
