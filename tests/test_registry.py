@@ -26,7 +26,7 @@ def duck():
 
 def _plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 6) + 0.0
+        return None if math.isnan(value) else value + 0.0
     return value
 
 

@@ -13,7 +13,6 @@ from valence.plans.inputs import (
     POSTS_SQL,
     as_scored,
     posts,
-    rounded,
     scored,
     table,
     train_and_live,
@@ -69,8 +68,7 @@ def train_and_score(spark, sf):
 def holdout_accuracy(spark, sf):
     train, live = train_and_live(spark, sf)
     model = classify.fit(classify.classifier(), train)
-    figures = classify.evaluate(model, classify.training_view(live))
-    return rounded(figures, "accuracy", "error", "majority")
+    return classify.evaluate(model, classify.training_view(live))
 
 
 def model_reload_score(spark, sf):
@@ -85,11 +83,26 @@ def _table_stream(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-def _in_batches(spark, df, batches=3):
+def _files(spark):
+    """How many files to replay, and how many of them per micro-batch, so that it takes three."""
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return files, -(-files // 3)
+
+
+def _in_batches(spark, df):
     """The rows of a table as a stream of several micro-batches."""
     path = shared_dir(spark, "replay")
-    df.repartition(batches).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files, per_batch = _files(spark)
+    df.repartition(files).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+
+
+def _replayed(spark, rows):
+    """Posts as a stream of messages."""
+    path = shared_dir(spark, "messages")
+    files, per_batch = _files(spark)
+    write_replay(rows, path, files=files, keep=("id",))
+    return message_stream(spark, path=path, maxFilesPerTrigger=str(per_batch))
 
 
 def _store(spark, stream):
@@ -106,9 +119,7 @@ def stream_parse(spark, sf):
 
 
 def stream_replay(spark, sf):
-    path = shared_dir(spark, "messages")
-    write_replay(posts(spark, sf), path, keep=("id",))
-    raw = message_stream(spark, path=path, maxFilesPerTrigger="3")
+    raw = _replayed(spark, posts(spark, sf))
     parsed = parse_messages(raw, _WITH_ID).withColumn("outcome", F.lit(SCORED))
     return read_store(spark, _store(spark, parsed), _WITH_ID).select("id", "text", "label")
 
@@ -116,10 +127,7 @@ def stream_replay(spark, sf):
 def _stream_scored(spark, sf):
     train, live = train_and_live(spark, sf)
     model = classify.fit(classify.classifier(), train)
-    path = shared_dir(spark, "messages")
-    write_replay(live, path, keep=("id",))
-    raw = message_stream(spark, path=path, maxFilesPerTrigger="3")
-    return _store(spark, scored_stream(raw, model, _WITH_ID))
+    return _store(spark, scored_stream(_replayed(spark, live), model, _WITH_ID))
 
 
 def stream_score(spark, sf):
@@ -133,7 +141,7 @@ def live_report(spark, sf):
     schema = T.StructType([*STORE_SCHEMA.fields, T.StructField("id", T.LongType())])
     stored = read_store(spark, _stream_scored(spark, sf), schema)
     order = ("batch_id", "id")
-    return rounded(kpi_snapshot(stored, latest_n(stored, *order), *order), "accuracy")
+    return kpi_snapshot(stored, latest_n(stored, *order), *order)
 
 
 def stream_rejects(spark, sf):
@@ -152,7 +160,7 @@ def stream_rejects(spark, sf):
 def metrics_over_store(spark, sf):
     rows = scored(spark, sf)
     path = _store(spark, _in_batches(spark, rows).withColumn("outcome", F.lit(SCORED)))
-    return rounded(overview(read_store(spark, path, rows.schema)), "accuracy")
+    return overview(read_store(spark, path, rows.schema))
 
 
 def stream_metrics(spark, sf):
@@ -162,7 +170,7 @@ def stream_metrics(spark, sf):
         stream, path, shared_dir(spark, "progress"), ("event_type",), UNTIL_EMPTY
     ).awaitTermination()
     schema = overview(scored(spark, sf), ("event_type",)).schema
-    return rounded(read_snapshot(spark, path, schema), "accuracy")
+    return read_snapshot(spark, path, schema)
 
 
 def stream_rolling(spark, sf):
@@ -171,8 +179,7 @@ def stream_rolling(spark, sf):
     start_rolling(
         stream, "event_id", path, shared_dir(spark, "progress"), by, UNTIL_EMPTY
     ).awaitTermination()
-    state = rolling_accuracy(spark, path, stream.schema, "event_id", by)
-    return rounded(state, "rolling_accuracy", "rolling_error")
+    return rolling_accuracy(spark, path, stream.schema, "event_id", by)
 
 
 QUERIES = {
@@ -200,7 +207,7 @@ _OVERVIEW = """count(*) AS total_rows,
   count(*) FILTER (prediction = 1 AND real_val = 0) AS fp,
   count(*) FILTER (prediction = 0 AND real_val = 1) AS fn,
   count(*) FILTER (prediction = 1 AND real_val = 1) AS tp,
-  round(avg(is_correct) * 100, 6) AS accuracy"""
+  sum(is_correct)::DOUBLE / count(*) * 100 AS accuracy"""
 
 ORACLES = {
     "csv_roundtrip": f'WITH {POSTS_SQL} SELECT target, id, date, flag, "user", text FROM posts',
@@ -217,7 +224,7 @@ SELECT event_type, {_OVERVIEW} FROM judged GROUP BY event_type""",
 newest AS (
   SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM judged)
 SELECT event_type, max(event_id) AS last, count(*) AS rows,
-       round(avg(is_correct) * 100, 6) AS rolling_accuracy,
-       round(1 - avg(is_correct), 6) AS rolling_error
+       sum(is_correct)::DOUBLE / count(*) * 100 AS rolling_accuracy,
+       1 - sum(is_correct)::DOUBLE / count(*) AS rolling_error
 FROM newest WHERE r <= 50 GROUP BY event_type""",
 }

@@ -103,15 +103,12 @@ def curves_sql(rows: str, by: str = "") -> str:
     part = f"PARTITION BY {by}" if by else ""
     running = f"{part} ORDER BY event_id ROWS UNBOUNDED PRECEDING"
     rolling = f"{part} ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW"
+    # Sums and counts are whole numbers, so both engines divide the same two.
     return f"""curves AS (
-  SELECT *, CAST(row_number() OVER ({part} ORDER BY event_id) AS BIGINT) AS step,
-         avg(is_correct) OVER ({running}) * 100 AS running_accuracy,
-         1 - avg(is_correct) OVER ({running}) AS running_error,
-         avg(is_correct) OVER ({rolling}) * 100 AS rolling_accuracy,
-         1 - avg(is_correct) OVER ({rolling}) AS rolling_error
-  FROM {rows})"""
-
-
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    """Fractions to six digits, since the order of a sum may change the last ones."""
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+  SELECT *, running * 100 AS running_accuracy, 1 - running AS running_error,
+         rolling * 100 AS rolling_accuracy, 1 - rolling AS rolling_error
+  FROM (
+    SELECT *, CAST(row_number() OVER ({part} ORDER BY event_id) AS BIGINT) AS step,
+           sum(is_correct) OVER ({running})::DOUBLE / count(*) OVER ({running}) AS running,
+           sum(is_correct) OVER ({rolling})::DOUBLE / count(*) OVER ({rolling}) AS rolling
+    FROM {rows}))"""

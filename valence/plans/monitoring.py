@@ -14,19 +14,18 @@ from valence.plans.inputs import (
     SCORED_SQL,
     as_scored,
     curves_sql,
-    rounded,
     scored,
     table,
 )
 
-_ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in CURVES)
+_CURVES = ", ".join(CURVES)
 _CELLS = """
   count(*) FILTER (prediction = 0 AND real_val = 0) AS tn,
   count(*) FILTER (prediction = 1 AND real_val = 0) AS fp,
   count(*) FILTER (prediction = 0 AND real_val = 1) AS fn,
   count(*) FILTER (prediction = 1 AND real_val = 1) AS tp"""
-_ACCURACY = """count(*) AS n, round(avg(is_correct) * 100, 6) AS accuracy,
-  round((1 - avg(is_correct)) * 100, 6) AS error"""
+_ACCURACY = """count(*) AS n, sum(is_correct)::DOUBLE / count(*) * 100 AS accuracy,
+  (1 - sum(is_correct)::DOUBLE / count(*)) * 100 AS error"""
 
 
 def _latest(spark, sf):
@@ -59,19 +58,19 @@ def confusion_by_group(spark, sf):
 
 
 def accuracy(spark, sf):
-    return rounded(metrics.accuracy(scored(spark, sf)), "accuracy", "error")
+    return metrics.accuracy(scored(spark, sf))
 
 
 def accuracy_labeled_only(spark, sf):
-    return rounded(metrics.accuracy(scored(spark, sf), labeled_only=True), "accuracy", "error")
+    return metrics.accuracy(scored(spark, sf), labeled_only=True)
 
 
 def accuracy_by_group(spark, sf):
-    return rounded(metrics.accuracy(scored(spark, sf), ("event_type",)), "accuracy", "error")
+    return metrics.accuracy(scored(spark, sf), ("event_type",))
 
 
 def prediction_share(spark, sf):
-    return rounded(metrics.prediction_share(scored(spark, sf)), "share")
+    return metrics.prediction_share(scored(spark, sf))
 
 
 def latest(spark, sf):
@@ -86,17 +85,12 @@ def latest_confusion(spark, sf):
 
 def accuracy_curves(spark, sf):
     rows = curves.accuracy_curves(_latest(spark, sf), "event_id")
-    return rounded(
-        rows.select("event_id", F.col("step").cast("long"), "real_val", "is_correct", *CURVES),
-        *CURVES,
-    )
+    return rows.select("event_id", F.col("step").cast("long"), "real_val", "is_correct", *CURVES)
 
 
 def curves_by_group(spark, sf):
     rows = curves.accuracy_curves(_latest(spark, sf), "event_id", by=("event_type",))
-    return rounded(
-        rows.select("event_type", "event_id", F.col("step").cast("long"), *CURVES), *CURVES
-    )
+    return rows.select("event_type", "event_id", F.col("step").cast("long"), *CURVES)
 
 
 def curves_unlabeled(spark, sf):
@@ -105,22 +99,20 @@ def curves_unlabeled(spark, sf):
 
 
 def history_curves(spark, sf):
-    return rounded(curves.history_curves(scored(spark, sf), "event_id"), *CURVES)
+    return curves.history_curves(scored(spark, sf), "event_id")
 
 
 def history_curves_by_group(spark, sf):
-    rows = curves.history_curves(scored(spark, sf), "event_id", by=("event_type",))
-    return rounded(rows, *CURVES)
+    return curves.history_curves(scored(spark, sf), "event_id", by=("event_type",))
 
 
 def curve_bounds(spark, sf):
-    bounds = curves.curve_bounds(curves.accuracy_curves(_latest(spark, sf), "event_id"))
-    return rounded(bounds, *bounds.columns)
+    return curves.curve_bounds(curves.accuracy_curves(_latest(spark, sf), "event_id"))
 
 
 def kpi_snapshot(spark, sf):
     store = table(spark, sf, "events")
-    return rounded(metrics.kpi_snapshot(store, _latest(spark, sf), "event_id"), "accuracy")
+    return metrics.kpi_snapshot(store, _latest(spark, sf), "event_id")
 
 
 QUERIES = {
@@ -167,33 +159,34 @@ SELECT {_ACCURACY} FROM judged WHERE label IS NOT NULL""",
 SELECT event_type, {_ACCURACY} FROM judged GROUP BY event_type""",
     "prediction_share": f"""WITH {SCORED_SQL}
 SELECT CASE WHEN prediction = 1 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS sentiment,
-       count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share
+       count(*) AS n, count(*) / sum(count(*)) OVER () AS share
 FROM scored WHERE prediction IN (0, 1) GROUP BY prediction""",
     "latest_n": f"WITH {LATEST_SQL} SELECT event_id, event_type, label, prediction FROM latest",
     "latest_confusion": f"""WITH {LATEST_SQL}
 SELECT count(*) FILTER (prediction = 1) AS positive,
        count(*) FILTER (prediction = 0) AS negative, {_CELLS} FROM latest""",
     "accuracy_curves": f"""WITH {LATEST_SQL}, {curves_sql("latest")}
-SELECT event_id, step, real_val, is_correct, {_ROUNDED} FROM curves""",
+SELECT event_id, step, real_val, is_correct, {_CURVES} FROM curves""",
     "curves_by_group": f"""WITH {LATEST_SQL}, {curves_sql("latest", "event_type")}
-SELECT event_type, event_id, step, {_ROUNDED} FROM curves""",
+SELECT event_type, event_id, step, {_CURVES} FROM curves""",
     "curves_unlabeled": f"""WITH {LATEST_SQL}, {curves_sql("latest")}
 SELECT event_id, step, prediction, {", ".join(f"CAST(0 AS DOUBLE) AS {c}" for c in CURVES)}
 FROM curves""",
     "history_curves": f"""WITH {JUDGED_SQL}, {curves_sql("judged")}
-SELECT event_id, step, real_val, is_correct, {_ROUNDED} FROM curves""",
+SELECT event_id, step, real_val, is_correct, {_CURVES} FROM curves""",
     "history_curves_by_group": f"""WITH {JUDGED_SQL}, {curves_sql("judged", "event_type")}
-SELECT event_type, event_id, step, real_val, is_correct, {_ROUNDED} FROM curves""",
+SELECT event_type, event_id, step, real_val, is_correct, {_CURVES} FROM curves""",
     "curve_bounds": f"""WITH {LATEST_SQL}, {curves_sql("latest")}
-SELECT round(greatest(0.0::DOUBLE, least(min(running_accuracy), min(rolling_accuracy)) - 5), 6)
+SELECT greatest(0.0::DOUBLE, least(min(running_accuracy), min(rolling_accuracy)) - 5)
          AS accuracy_low,
-       round(least(100.0::DOUBLE, greatest(max(running_accuracy), max(rolling_accuracy)) + 5), 6)
+       least(100.0::DOUBLE, greatest(max(running_accuracy), max(rolling_accuracy)) + 5)
          AS accuracy_high,
-       round(greatest(max(running_error), max(rolling_error)) + 0.1::DOUBLE, 6) AS error_high
+       greatest(max(running_error), max(rolling_error)) + 0.1::DOUBLE AS error_high
 FROM curves""",
     "kpi_snapshot": f"""WITH {LATEST_SQL}
-SELECT (SELECT count(*) FROM events) AS total_rows, round(avg(is_correct) * 100, 6) AS accuracy,
-       '%' || CAST(CAST(round(avg(is_correct) * 100, 1) AS DECIMAL(5, 1)) AS VARCHAR)
+SELECT (SELECT count(*) FROM events) AS total_rows,
+       sum(is_correct)::DOUBLE / count(*) * 100 AS accuracy,
+       '%' || CAST(CAST(round(sum(is_correct) / count(*) * 100, 1) AS DECIMAL(5, 1)) AS VARCHAR)
          AS accuracy_text,
        count(*) FILTER (prediction = 1) AS positive,
        count(*) FILTER (prediction = 0) AS negative

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from valence.functions.text import preview
 from valence.operators import classify, split, terms
-from valence.plans.inputs import POSTS_SQL, documents, posts, rounded, table
+from valence.plans.inputs import POSTS_SQL, documents, posts, table
 
 # Java's \s, so that both engines cut at the same characters.
 _BLANK = r"[ \t\n\x0B\f\r]"
@@ -108,7 +108,8 @@ def term_counts(spark, sf):
 
 
 def tfidf_terms(spark, sf):
-    return rounded(terms.tfidf_terms(documents(spark, sf), "doc_id"), "tfidf")
+    weights = terms.tfidf_terms(documents(spark, sf), "doc_id")
+    return weights.withColumn("tfidf", F.round("tfidf", 6))  # logarithms differ in the last digit
 
 
 def hashed_tf(spark, sf):
@@ -122,7 +123,7 @@ def tfidf_vectors(spark, sf):
     docs = documents(spark, sf).select("doc_id", "text")
     vectors = Pipeline(stages=classify.features()).fit(docs).transform(docs)
     entries = terms.vector_entries(vectors, "doc_id", "features", "tfidf")
-    return rounded(entries, "tfidf")
+    return entries.withColumn("tfidf", F.round("tfidf", 6))
 
 
 QUERIES = {
