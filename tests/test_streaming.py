@@ -134,3 +134,60 @@ def test_tasks_cut_hot_groups_down_before_the_shuffle(spark, plan, tmp_path):
     _scored(spark, 100).write.parquet(path)
     text = plan(last_rows(spark.read.parquet(path), "id", ("g",)))
     assert "WindowGroupLimit" in text and "Partial" in text
+
+
+@pytest.fixture
+def fail_once(monkeypatch):
+    """Let a module's writer fail after it has written the second batch, the first time."""
+
+    def install(module, name):
+        write, failed = getattr(module, name), []
+
+        def failing(df, batch_id, path):
+            write(df, batch_id, path)
+            if batch_id == 1 and not failed:
+                failed.append(batch_id)
+                raise RuntimeError("lost after writing")
+
+        monkeypatch.setattr(module, name, failing)
+
+    return install
+
+
+def test_store_after_a_failure(spark, tmp_path, stream, fail_once):
+    from valence.streaming import scoring
+
+    fail_once(scoring, "write_batch")
+    rows = spark.range(30).withColumn("outcome", F.lit("scored"))
+    moving, store, progress = stream(rows), str(tmp_path / "s"), str(tmp_path / "p")
+    with pytest.raises(Exception, match="lost after writing"):
+        start_store(moving, store, progress, UNTIL_EMPTY).awaitTermination()
+    start_store(moving, store, progress, UNTIL_EMPTY).awaitTermination()
+    stored = read_store(spark, store, T.StructType([T.StructField("id", T.LongType())]))
+    assert sorted(r.id for r in stored.collect()) == list(range(30))
+    assert stored.select("batch_id").distinct().count() == 3
+
+
+def test_rolling_after_a_failure(spark, tmp_path, stream, fail_once):
+    from valence.streaming import monitoring
+
+    fail_once(monitoring, "write_snapshot")
+    scored = _scored(spark, 120)
+    moving, path, progress = stream(scored), str(tmp_path / "r"), str(tmp_path / "p")
+    with pytest.raises(Exception, match="lost after writing"):
+        start_rolling(moving, "id", path, progress, trigger=UNTIL_EMPTY).awaitTermination()
+    start_rolling(moving, "id", path, progress, trigger=UNTIL_EMPTY).awaitTermination()
+    got = rolling_accuracy(spark, path, scored.schema, "id").first()
+    last = last_rows(metrics.with_correctness(scored), "id").agg(F.avg("is_correct") * 100).first()
+    assert (got["last"], got.rows, got.rolling_accuracy) == (119, 50, last[0])
+
+
+def test_batch_without_rows(spark, tmp_path, model):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "m.txt").write_text("")
+    raw = message_stream(spark, path=str(folder))
+    store = str(tmp_path / "s")
+    scored = scored_stream(raw, model)
+    start_store(scored, store, str(tmp_path / "p"), UNTIL_EMPTY, echo=True).awaitTermination()
+    assert read_store(spark, store).count() == 0

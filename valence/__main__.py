@@ -23,10 +23,20 @@ from valence.operators import classify, curves, metrics, split  # noqa: E402
 from valence.operators.latest import MONITORED_ROWS, latest_n  # noqa: E402
 from valence.session import written  # noqa: E402
 from valence.sources.csvfiles import LATIN_1, read_posts, write_posts  # noqa: E402
-from valence.sources.messages import MESSAGE_SCHEMA, message_stream, publish, to_messages  # noqa: E402
+from valence.sources.messages import (  # noqa: E402
+    MESSAGE_SCHEMA,
+    message_stream,
+    publish,
+    to_messages,
+)
 from valence.sources.store import STORE_SCHEMA, read_store  # noqa: E402
 from valence.streaming.replay import write_replay  # noqa: E402
-from valence.streaming.scoring import UNTIL_EMPTY, scored_stream, start_sink, start_store  # noqa: E402
+from valence.streaming.scoring import (  # noqa: E402
+    UNTIL_EMPTY,
+    scored_stream,
+    start_sink,
+    start_store,
+)
 
 # Messages carry the id of the post, and records of a topic their place in it.
 _MESSAGE = T.StructType([*MESSAGE_SCHEMA.fields, T.StructField("id", T.LongType())])
@@ -51,8 +61,8 @@ def train(spark: SparkSession, a: argparse.Namespace) -> None:
     model = classify.fit(classify.classifier(label_order=a.label_order), rows)
     for f in classify.evaluate(model, held_out).collect():
         if f["n"]:
-            text = "accuracy: %{accuracy:.2f}, error: %{error:.2f}, most common class: %{majority:.2f}"
-            print(text.format(**f.asDict()))
+            text = "accuracy: %{accuracy:.2f}, error: %{error:.2f}"
+            print(text.format(**f.asDict()), f"(most common class: %{f['majority']:.2f})")
     classify.save_model(model, a.model)
 
 

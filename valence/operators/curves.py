@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from valence.functions.labels import is_correct, real_value
@@ -49,8 +51,9 @@ def history_curves(
     group in earlier blocks (one carry row per block) and sees the last rows of the block
     before it, so that blocks can be computed independently of each other.
     """
+    spark = scored.sparkSession
     keys = [*by, *order]
-    shards = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     group = F.md5(F.to_json(F.struct(*by), {"ignoreNullFields": "false"})) if by else F.lit("")
     positioned = (
         with_correctness(scored)
@@ -63,17 +66,17 @@ def history_curves(
     shard = F.shiftright("_position", _ROW_BITS)
     rows = written(positioned, "curves").withColumn("_shard", shard)
 
-    # One row per shard: where it starts in the overall order.
-    sizes = rows.groupBy("_shard").agg(F.count("*").alias("_n"))
-    total = sizes.agg(F.sum("_n")).first()[0] or 0
-    block_rows = max(min_block, ROLLING_ROWS, -(-total // _MAX_BLOCKS))
-    before = Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        "_shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    # One row per shard, hence at most `shards`: where it starts in the overall order.
+    sizes = sorted(rows.groupBy("_shard").count().collect())
+    ends = list(accumulate(size["count"] for size in sizes))
+    block_rows = max(min_block, ROLLING_ROWS, -(-sum(ends[-1:]) // _MAX_BLOCKS))
+    starts = spark.createDataFrame(
+        [(size["_shard"], end - size["count"]) for size, end in zip(sizes, ends)],
+        "_shard long, _start long",
     )
     in_shard = F.col("_position").bitwiseAND((1 << _ROW_BITS) - 1)
     placed = (
-        rows.join(F.broadcast(starts), "_shard")  # at most `shards` rows
+        rows.join(F.broadcast(starts), "_shard")
         .withColumn("_rank", F.col("_start") + in_shard)
         .withColumn("_block", F.expr(f"_rank div {block_rows}"))
         .drop("_shard", "_start", "_position")
@@ -115,7 +118,7 @@ def history_curves(
 
 
 def curve_bounds(curves: DataFrame) -> DataFrame:
-    """Axis ranges for the curves: five percent points around the accuracies, 0.1 over the errors."""
+    """Axis ranges: five percent points around the accuracies, and 0.1 over the errors."""
     lowest = F.least(F.min("running_accuracy"), F.min("rolling_accuracy"))
     highest = F.greatest(F.max("running_accuracy"), F.max("rolling_accuracy"))
     error = F.greatest(F.max("running_error"), F.max("rolling_error"))

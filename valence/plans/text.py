@@ -20,7 +20,8 @@ _WORDS_SQL = f"""words AS (
 _HASHED_SQL = (
     _WORDS_SQL
     + """,
--- 32-bit Murmur3 with seed 42 of the UTF-8 bytes, four bytes at a time.
+-- 32-bit Murmur3 with seed 42 of the UTF-8 bytes, four bytes at a time; the large numbers
+-- are fixed values of that hash.
 bytes AS (
   SELECT DISTINCT term, hex(encode(term)) AS hx, octet_length(encode(term)) AS len FROM words),
 parts AS (
@@ -169,7 +170,8 @@ FROM posts WHERE target IS NOT NULL""",
 n AS (SELECT target, count(*) AS c FROM posts WHERE target IS NOT NULL GROUP BY target),
 i AS (SELECT target, row_number() OVER (ORDER BY c DESC, CAST(target AS VARCHAR)) - 1 AS i FROM n)
 SELECT target AS raw_label, id, CAST(i AS DOUBLE) AS label FROM posts JOIN i USING (target)""",
-    "tokenize": f"WITH {_WORDS_SQL} SELECT doc_id, CAST(position AS INTEGER) AS position, term FROM words",
+    "tokenize": f"""WITH {_WORDS_SQL}
+SELECT doc_id, CAST(position AS INTEGER) AS position, term FROM words""",
     "term_counts": f"""WITH {_WORDS_SQL}
 SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term""",
     "tfidf_terms": f"""WITH {_WORDS_SQL},

@@ -23,8 +23,9 @@ def write_batch(batch: DataFrame, batch_id: int, path: str) -> None:
 
     The column ``outcome`` becomes a subfolder, so that readers of one outcome skip the rest.
     """
-    writer = batch.write.mode("overwrite").partitionBy("outcome")
-    writer.parquet(f"{path}/batch_id={batch_id}")
+    # Static: nothing of an earlier attempt may remain, whatever the session says.
+    writer = batch.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer.partitionBy("outcome").parquet(f"{path}/batch_id={batch_id}")
 
 
 def read_store(
@@ -52,11 +53,11 @@ def read_snapshot(
     spark: SparkSession, path: str, schema: T.StructType, batch_id: int | None = None
 ) -> DataFrame:
     """The state after a given micro-batch, or the newest; no rows if there is none."""
-    full = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    fields = [*schema.fields, T.StructField("batch_id", T.LongType())]
     if batch_id is not None:
-        state = _read(spark, f"{path}/slot={batch_id % 2}", full)
+        state = _read(spark, f"{path}/slot={batch_id % 2}", T.StructType(fields))
         return state.filter(F.col("batch_id") == batch_id).drop("batch_id")
-    states = _read(spark, path, T.StructType([*full.fields, T.StructField("slot", T.IntegerType())]))
+    states = _read(spark, path, T.StructType([*fields, T.StructField("slot", T.IntegerType())]))
     newest = states.agg(F.max("batch_id")).scalar()
     return states.filter(F.col("batch_id") == newest).drop("batch_id", "slot")
 

@@ -43,8 +43,8 @@ def start_store(
     def write(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, batch_id, path)
         if echo:
-            stored = batch.sparkSession.read.parquet(f"{path}/batch_id={batch_id}")
-            stored.show(truncate=False)
+            stored = batch.sparkSession.read.schema(batch.schema)
+            stored.parquet(f"{path}/batch_id={batch_id}").show(truncate=False)
 
     return _start(scored, write, checkpoint, trigger)
 
