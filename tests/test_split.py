@@ -106,5 +106,16 @@ def test_shuffle_spreads_copies(spark):
 
 
 def test_split_counts(spark):
-    rows = split.split_counts(*split.exact_split(spark.range(11), "id")).collect()
+    rows = split.split_counts(split.exact_split_names(spark.range(11), "id")).collect()
     assert {r.split: r.n for r in rows} == {"train": 8, "live": 3}
+
+
+def test_names_are_those_of_the_parts(spark, plan):
+    unique = spark.range(50)
+    copies = spark.range(50).select(F.when(F.col("id") < 30, 1).otherwise(F.col("id")).alias("id"))
+    for df in (unique, copies):
+        named = split.exact_split_names(df, "id")
+        parts = split.exact_split(df, "id")
+        for name, part in zip(("train", "live"), parts):
+            assert _ids(named.filter(F.col("split") == name)) == _ids(part)
+    assert "Union" not in plan(split.exact_split_names(unique, "id"))

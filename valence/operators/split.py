@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 _HEX = 4  # digits looked at per pass: at most 65,536 counts
@@ -33,6 +30,11 @@ def seeded_shuffle(df: DataFrame, key: str | list[str], seed: int = 42) -> DataF
     return df.orderBy(*shuffle_keys(df, key, seed))
 
 
+def hash_share(key: str | list[str], seed: int = 42) -> Column:
+    """A number from 0 up to 1, fixed by the seed and the row's key."""
+    return F.conv(F.substring(hash_order(key, seed), 1, 8), 16, 10).cast("long") / 2**32
+
+
 def hash_split(
     df: DataFrame, key: str | list[str], weights: list[float], seed: int = 42
 ) -> list[DataFrame]:
@@ -40,10 +42,9 @@ def hash_split(
 
     Rows with equal keys go to the same part.
     """
-    total = sum(weights)
-    edges = [round(sum(weights[:i]) / total * 2**32) for i in range(len(weights) + 1)]
-    point = F.conv(F.substring(hash_order(key, seed), 1, 8), 16, 10).cast("long")
-    return [df.filter((point >= lo) & (point < hi)) for lo, hi in zip(edges, edges[1:])]
+    share = hash_share(key, seed)
+    edges = [sum(weights[:i]) / sum(weights) for i in range(len(weights) + 1)]
+    return [df.filter((share >= lo) & (share < hi)) for lo, hi in zip(edges, edges[1:])]
 
 
 def exact_split(
@@ -57,28 +58,51 @@ def exact_split(
     input. Rows with the border's key are ordered by a hash of the whole row; if even
     those are equal they are copies of one row, and the copies are dealt out by number.
     """
-    whole_row = F.md5(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
-    scope, passed, border = df, [], []
-    want = None
-    for level in (hash_order(key, seed), whole_row):
-        want, hash_value, ties = _border(scope, level, want, fraction)
-        passed.append((level, hash_value))
-        border.append(level == hash_value)
-        if want == ties or want == 0:
-            break
-        scope = scope.filter(level == hash_value)
-
+    border, want, ties = _search(df, key, fraction, seed)
     if want in (0, ties):
-        first = _first(passed, whole=want == ties)
+        first = _first(border, whole=want == ties)
         return df.filter(first), df.filter(~first)
-    below, on = _first(passed, whole=False), reduce(and_, border)
-    copy = df.filter(on).limit(1)
+    below, up_to = _first(border, whole=False), _first(border, whole=True)
+    copy = df.filter(up_to & ~below).limit(1)
     return (
         df.filter(below).unionByName(_repeat(copy, want)),
-        df.filter(~(below | on)).unionByName(_repeat(copy, ties - want)),
+        df.filter(~up_to).unionByName(_repeat(copy, ties - want)),
     )
 
 
+def exact_split_names(
+    df: DataFrame, key: str | list[str], fraction: float = 0.8, seed: int = 42
+) -> DataFrame:
+    """The same split as a column ``split``, ``train`` or ``live``, in one pass over the rows."""
+    border, want, ties = _search(df, key, fraction, seed)
+    if want in (0, ties):
+        first = _first(border, whole=want == ties)
+        return df.withColumn("split", F.when(first, "train").otherwise("live"))
+    train, live = exact_split(df, key, fraction, seed)
+    named = [part.withColumn("split", F.lit(n)) for part, n in ((train, "train"), (live, "live"))]
+    return named[0].unionByName(named[1])
+
+
+def split_counts(named: DataFrame) -> DataFrame:
+    """Rows per part."""
+    return named.groupBy("split").agg(F.count("*").alias("n"))
+
+
+def _search(
+    df: DataFrame, key: str | list[str], fraction: float, seed: int
+) -> tuple[list[tuple[Column, str]], int, int]:
+    """The border as hashes and their values, and how many of the rows on it go before it."""
+    whole_row = F.md5(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+    scope, border, want = df, [], None
+    for level in (hash_order(key, seed), whole_row):
+        want, value, ties = _border(scope, level, want, fraction)
+        border.append((level, value))
+        if want in (0, ties):
+            break
+        scope = scope.filter(level == value)
+    return border, want, ties
+
+
 def _first(border: list[tuple[Column, str]], whole: bool) -> Column:
     """Rows before the border, by one hash after the other, or up to it as a whole."""
     (level, value), rest = border[0], border[1:]
@@ -87,18 +111,6 @@ def _first(border: list[tuple[Column, str]], whole: bool) -> Column:
     return level <= value if whole else level < value
 
 
-def split_name(train: DataFrame, live: DataFrame) -> DataFrame:
-    """Both parts in one table, with a column ``split``."""
-    return train.withColumn("split", F.lit("train")).unionByName(
-        live.withColumn("split", F.lit("live"))
-    )
-
-
-def split_counts(train: DataFrame, live: DataFrame) -> DataFrame:
-    """Rows per part."""
-    return split_name(train, live).groupBy("split").agg(F.count("*").alias("n"))
-
-
 def _border(
     scope: DataFrame, level: Column, want: int | None, fraction: float
 ) -> tuple[int, str, int]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from valence.operators.split import hash_split
+from valence.operators.split import hash_share
 from valence.operators.classify import training_view
 
 
@@ -50,10 +50,8 @@ POSTS_SQL = """posts AS (
 def train_and_live(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Labelled rows to train on, and all other posts."""
     every = posts(spark, sf)
-    train, _ = hash_split(every.filter("target IS NOT NULL"), "id", [0.8, 0.2])
-    _, held_out = hash_split(every, "id", [0.8, 0.2])
-    unlabelled, _ = hash_split(every.filter("target IS NULL"), "id", [0.8, 0.2])
-    return training_view(train), held_out.unionByName(unlabelled)
+    to_train_on = F.col("target").isNotNull() & (hash_share("id") < 0.8)
+    return training_view(every.filter(to_train_on)), every.filter(~to_train_on)
 
 
 def as_scored(events: DataFrame) -> DataFrame:

@@ -62,18 +62,20 @@ counts AS (
 
 
 def exact_split(spark, sf):
-    return split.split_name(*split.exact_split(table(spark, sf, "documents"), "doc_id")).select(
-        "doc_id", "split"
-    )
+    docs = table(spark, sf, "documents").select("doc_id")
+    return split.exact_split_names(docs, "doc_id")
 
 
 def split_counts(spark, sf):
-    return split.split_counts(*split.exact_split(table(spark, sf, "documents"), "doc_id"))
+    return split.split_counts(exact_split(spark, sf))
 
 
 def hash_split(spark, sf):
-    parts = split.hash_split(table(spark, sf, "documents"), "doc_id", [0.8, 0.2])
-    return split.split_name(*parts).select("doc_id", "split")
+    docs = table(spark, sf, "documents").select("doc_id")
+    train, live = split.hash_split(docs, "doc_id", [0.8, 0.2])
+    return train.withColumn("split", F.lit("train")).unionByName(
+        live.withColumn("split", F.lit("live"))
+    )
 
 
 def seeded_shuffle(spark, sf):
