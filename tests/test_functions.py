@@ -58,3 +58,10 @@ def test_preview_and_percent(spark):
         ("x" * 50 + "...", "%12.3", "%12.35"),
         ("ab...", "%100.0", "%100.00"),
     ]
+
+
+def test_percent_rounds_like_python(spark):
+    values = [i / 2000 * 100 for i in range(2001)] + [k / 37 * 100 for k in range(38)] + [1234.56]
+    df = spark.createDataFrame([(v,) for v in values], "p double")
+    got = df.select("p", percent("p").alias("p1"), percent("p", 2).alias("p2")).collect()
+    assert all((r.p1, r.p2) == (f"%{r.p:.1f}", f"%{r.p:.2f}") for r in got)

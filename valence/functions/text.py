@@ -26,7 +26,9 @@ def preview(text: Column | str, length: int = 50) -> Column:
     return F.concat(F.substring(text, 1, length), F.lit("..."))
 
 
-def percent(fraction: Column | str, decimals: int = 1) -> Column:
-    """A number already in percent, formatted like ``%87.5``."""
-    fraction = F.col(fraction) if isinstance(fraction, str) else fraction
-    return F.format_string(f"%%%.{decimals}f", fraction)
+def percent(value: Column | str, decimals: int = 1) -> Column:
+    """A number already in percent, formatted like ``%87.5``.
+
+    Rounds the number as it is stored, and halves to even, as Python's formatting does.
+    """
+    return F.concat(F.lit("%"), F.translate(F.format_number(value, decimals), ",", ""))

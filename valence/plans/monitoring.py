@@ -186,8 +186,7 @@ FROM curves""",
     "kpi_snapshot": f"""WITH {LATEST_SQL}
 SELECT (SELECT count(*) FROM events) AS total_rows,
        sum(is_correct)::DOUBLE / count(*) * 100 AS accuracy,
-       '%' || CAST(CAST(round(sum(is_correct) / count(*) * 100, 1) AS DECIMAL(5, 1)) AS VARCHAR)
-         AS accuracy_text,
+       '%' || format('{{:.1f}}', sum(is_correct)::DOUBLE / count(*) * 100) AS accuracy_text,
        count(*) FILTER (prediction = 1) AS positive,
        count(*) FILTER (prediction = 0) AS negative
 FROM latest""",
