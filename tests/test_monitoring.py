@@ -165,6 +165,9 @@ def test_metrics_by_hand(spark):
     overview = metrics.overview(df).first().asDict()
     assert overview.pop("accuracy") == 50.0
     assert list(overview.values()) == [6, 2, 3, 2, 1, 1, 1]
+    unlabeled = metrics.overview(df.drop("label"))
+    assert tuple(unlabeled.first()) == (6, 2, 3, 0, 0, 0, 0, 0.0)
+    assert unlabeled.dtypes == metrics.overview(df).dtypes
 
 
 def test_headline(spark):

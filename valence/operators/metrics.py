@@ -44,10 +44,17 @@ def confusion_matrix(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def overview(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Rows, class counts, confusion matrix and accuracy together. Batch or stream."""
-    rows, share = F.count("*").alias("total_rows"), F.avg("is_correct")
-    every = [rows, *_counts(), *_cells(), (share * 100).alias("accuracy")]
-    return with_correctness(scored).groupBy(*by).agg(*every)
+    """Rows, class counts, confusion matrix and accuracy together. Batch or stream.
+
+    Without a column ``label`` the matrix and the accuracy are zero.
+    """
+    rows = F.count("*").alias("total_rows")
+    if "label" not in scored.columns:
+        nothing = [F.lit(0).cast("long").alias(c) for c in ("tn", "fp", "fn", "tp")]
+        every = [rows, *_counts(), *nothing, F.lit(0.0).alias("accuracy")]
+        return scored.groupBy(*by).agg(*every)
+    share = (F.avg("is_correct") * 100).alias("accuracy")
+    return with_correctness(scored).groupBy(*by).agg(rows, *_counts(), *_cells(), share)
 
 
 def confusion_cells(scored: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """The inputs of the registered queries, derived from the given tables, and the same in SQL.
 
-The tables hold no tweets and no model output. Texts and labels come from ``documents`` and
+The tables hold no CSV posts and no model output. Texts and labels come from ``documents`` and
 ``labels``; scored records are ``events``, with a label and a prediction computed from their
 columns (errors have no label, the largest values no prediction).
 """

@@ -45,21 +45,22 @@ def write_snapshot(current: DataFrame, batch_id: int, path: str) -> None:
 
     A batch that is run again still finds what it started from.
     """
-    state = current.withColumn("batch_id", F.lit(batch_id).cast("long"))
-    state.write.mode("overwrite").parquet(f"{path}/slot={batch_id % 2}")
+    state = current.withColumn("snapshot_batch", F.lit(batch_id).cast("long"))
+    state.write.mode("overwrite").parquet(f"{path}/snapshot_slot={batch_id % 2}")
 
 
 def read_snapshot(
     spark: SparkSession, path: str, schema: T.StructType, batch_id: int | None = None
 ) -> DataFrame:
     """The state after a given micro-batch, or the newest; no rows if there is none."""
-    fields = [*schema.fields, T.StructField("batch_id", T.LongType())]
+    fields = [*schema.fields, T.StructField("snapshot_batch", T.LongType())]
     if batch_id is not None:
-        state = _read(spark, f"{path}/slot={batch_id % 2}", T.StructType(fields))
-        return state.filter(F.col("batch_id") == batch_id).drop("batch_id")
-    states = _read(spark, path, T.StructType([*fields, T.StructField("slot", T.IntegerType())]))
-    newest = states.agg(F.max("batch_id")).scalar()
-    return states.filter(F.col("batch_id") == newest).drop("batch_id", "slot")
+        state = _read(spark, f"{path}/snapshot_slot={batch_id % 2}", T.StructType(fields))
+        return state.filter(F.col("snapshot_batch") == batch_id).drop("snapshot_batch")
+    slot = T.StructField("snapshot_slot", T.IntegerType())
+    states = _read(spark, path, T.StructType([*fields, slot]))
+    newest = states.agg(F.max("snapshot_batch")).scalar()
+    return states.filter(F.col("snapshot_batch") == newest).select(schema.names)
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
