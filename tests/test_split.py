@@ -119,3 +119,11 @@ def test_names_are_those_of_the_parts(spark, plan):
         for name, part in zip(("train", "live"), parts):
             assert _ids(named.filter(F.col("split") == name)) == _ids(part)
     assert "Union" not in plan(split.exact_split_names(unique, "id"))
+
+
+def test_a_part_can_be_split_again(spark):
+    train, _ = split.exact_split(spark.range(2000), "id")
+    held_out = split.hash_split(train, "id", [0.8, 0.2])[1]
+    assert 260 < held_out.count() < 380
+    again, _ = split.exact_split(held_out, "id", 0.5)
+    assert again.count() == held_out.count() // 2

@@ -31,8 +31,12 @@ def seeded_shuffle(df: DataFrame, key: str | list[str], seed: int = 42) -> DataF
 
 
 def hash_share(key: str | list[str], seed: int = 42) -> Column:
-    """A number from 0 up to 1, fixed by the seed and the row's key."""
-    return F.conv(F.substring(hash_order(key, seed), 1, 8), 16, 10).cast("long") / 2**32
+    """A number from 0 up to 1, fixed by the seed and the row's key.
+
+    Made from the last digits of the hash, so that it is independent of the hash order: the
+    first part of an exact split can be split again with the same seed.
+    """
+    return F.conv(F.substring(hash_order(key, seed), 25, 8), 16, 10).cast("long") / 2**32
 
 
 def hash_split(

@@ -157,7 +157,7 @@ SELECT doc_id, CASE WHEN r <= k THEN 'train' ELSE 'live' END AS split FROM ranke
 SELECT CASE WHEN r <= k THEN 'train' ELSE 'live' END AS split, count(*) AS n
 FROM ranked GROUP BY 1""",
     "hash_split": """
-SELECT doc_id, CASE WHEN CAST('0x' || substr(md5('42:' || doc_id), 1, 8) AS BIGINT)
+SELECT doc_id, CASE WHEN CAST('0x' || substr(md5('42:' || doc_id), 25, 8) AS BIGINT)
                          < round(0.8 * 4294967296) THEN 'train' ELSE 'live' END AS split
 FROM documents""",
     "seeded_shuffle": "SELECT doc_id, md5('42:' || doc_id) AS sort_key FROM documents",
