@@ -77,6 +77,27 @@ def test_csv_written_elsewhere(spark, tmp_path):
     ]
 
 
+def test_csv_with_other_line_ends(spark, tmp_path):
+    path = tmp_path / "posts.csv"
+    path.write_bytes(b'"0","1","Mon","NO_QUERY","ann","plain"\r\n4,2,Tue,NO_QUERY,bob,"a, b"\r\n')
+    for multi_line in (True, False):
+        posts = read_posts(spark, str(path), multi_line=multi_line, line_sep=None)
+        assert [(r.target, r.text) for r in posts.collect()] == [(0, "plain"), (4, "a, b")]
+
+
+def test_csv_lines_can_be_split_over_tasks(spark, tmp_path):
+    path = str(tmp_path / "csv")
+    write_posts(_posts(spark, ["x y z"] * 20_000).coalesce(1), path)
+    size = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(size, "100k")
+    try:
+        assert read_posts(spark, path).rdd.getNumPartitions() == 1
+        lines = read_posts(spark, path, multi_line=False)
+        assert lines.rdd.getNumPartitions() > 1 and lines.count() == 20_000
+    finally:
+        spark.conf.unset(size)
+
+
 def test_csv_files_are_bounded(spark, tmp_path):
     path = str(tmp_path / "csv")
     write_posts(_posts(spark, ["x"] * 100).coalesce(1), path, rows_per_file=10)

@@ -38,14 +38,20 @@ def read_posts(
     encoding: str = LATIN_1,
     schema: T.StructType = POST_SCHEMA,
     multi_line: bool = True,
+    line_sep: str | None = "\n",
 ) -> DataFrame:
     """Read posts with a given schema, so no inference pass over the files.
 
     A quoted text may hold line breaks, and files with such records cannot be cut into
     several tasks: write many files (see ``write_posts``), or pass ``multi_line=False``
-    when no text has a line break and large files should be split.
+    when no text has a line break and large files should be split. ``line_sep=None`` leaves
+    it to Spark to find out how the lines of a file end.
     """
     options = _DIALECT | {"emptyValue": "", "encoding": encoding, "multiLine": str(multi_line)}
+    if line_sep is None:
+        del options["lineSep"]
+    else:
+        options["lineSep"] = line_sep
     return spark.read.schema(schema).options(**options).csv(path)
 
 
