@@ -53,5 +53,6 @@ def test_query_without_sql(spark, name):
 
 def test_entry(spark):
     row = driver.entry(spark).first()
-    live = QUERIES["stream_score"](spark, SF)
-    assert row.total_rows == live.count() and 0 <= row.accuracy <= 100
+    live = QUERIES["stream_score"](spark, SF).filter("label IS NOT NULL")
+    assert row.total_rows == live.count() and row.positive + row.negative == row.total_rows
+    assert 0 <= row.accuracy <= 100

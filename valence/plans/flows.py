@@ -124,10 +124,11 @@ def stream_replay(spark, sf):
     return read_store(spark, _store(spark, parsed), _WITH_ID).select("id", "text", "label")
 
 
-def _stream_scored(spark, sf):
+def _stream_scored(spark, sf, which="TRUE"):
     train, live = train_and_live(spark, sf)
     model = classify.fit(classify.classifier(), train)
-    return _store(spark, scored_stream(_replayed(spark, live), model, _WITH_ID))
+    raw = _replayed(spark, live.filter(which))
+    return _store(spark, scored_stream(raw, model, _WITH_ID))
 
 
 def stream_score(spark, sf):
@@ -137,9 +138,12 @@ def stream_score(spark, sf):
 
 
 def live_report(spark, sf):
-    """The whole flow: train, replay, score as a stream, store, report on the stored records."""
+    """The whole flow: train, replay, score as a stream, store, report on the stored records.
+
+    Only held-back posts with a label are replayed, as the report is about being right.
+    """
     schema = T.StructType([*STORE_SCHEMA.fields, T.StructField("id", T.LongType())])
-    stored = read_store(spark, _stream_scored(spark, sf), schema)
+    stored = read_store(spark, _stream_scored(spark, sf, "target IS NOT NULL"), schema)
     order = ("batch_id", "id")
     return kpi_snapshot(stored, latest_n(stored, *order), *order)
 

@@ -41,8 +41,12 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """The same rows, from a table written now below the checkpoint directory.
 
     For what several later steps start from: they need not repeat the work behind it, also
-    not after executors are lost, and each reads only the columns it uses.
+    not after executors are lost, and each reads only the columns it uses. The table is
+    removed when the driver ends.
     """
-    path = shared_dir(df.sparkSession, purpose)
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = spark._jvm.org.apache.hadoop.fs.Path(path)
+    table.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(table)
+    return spark.read.schema(df.schema).parquet(path)
