@@ -6,12 +6,10 @@ from valence.session import shared_dir, written
 
 
 def _session(master, setting=None, checkpoints=None):
-    made = []
-    context = SimpleNamespace(
-        master=master, getCheckpointDir=lambda: checkpoints, setCheckpointDir=made.append
-    )
-    conf = SimpleNamespace(get=lambda name, default: setting)
-    return SimpleNamespace(conf=conf, sparkContext=context, made=made)
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: checkpoints)
+    given = {"spark.checkpoint.dir": setting, "spark.sql.warehouse.dir": "file:/w/"}
+    conf = SimpleNamespace(get=lambda name, default=None: given[name] or default)
+    return SimpleNamespace(conf=conf, sparkContext=context)
 
 
 def test_folders_lie_below_the_setting():
@@ -26,9 +24,8 @@ def test_a_cluster_gets_no_local_folder():
         shared_dir(_session("yarn"), "x")
 
 
-def test_a_local_session_gets_one():
-    session = _session("local[2]")
-    assert shared_dir(session, "x").startswith(session.made[0])
+def test_a_local_session_uses_its_warehouse():
+    assert shared_dir(_session("local[2]"), "x").startswith("file:/w/checkpoints/x-")
 
 
 def test_written_rows_are_the_same(spark):

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = 8, app: str = "valence") -> SparkSession:
-    return (
+def local_session(cpus: int | str = 8, app: str = "valence", checkpoints: str | None = None) -> SparkSession:
+    """A session in this process; ``checkpoints`` is the folder for intermediate tables."""
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus))
@@ -18,22 +18,22 @@ def local_session(cpus: int | str = 8, app: str = "valence") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
-        .getOrCreate()
     )
+    if checkpoints:
+        builder = builder.config("spark.checkpoint.dir", checkpoints)
+    return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the checkpoint directory of the cluster.
 
-    Only a local session that names no such directory gets a temporary one; on a
-    cluster a machine-local folder would be invisible to the other machines.
+    A local session that names none uses its warehouse folder; on a cluster the setting is needed.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="valence-")
-        spark.sparkContext.setCheckpointDir(base)
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     return f"{base.rstrip('/')}/{purpose}-{uuid4().hex}"
 
 
@@ -47,6 +47,10 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
+    removed_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed_at_end(spark: SparkSession, path: str) -> None:
     table = spark._jvm.org.apache.hadoop.fs.Path(path)
     table.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(table)
-    return spark.read.schema(df.schema).parquet(path)
