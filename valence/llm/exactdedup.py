@@ -129,8 +129,10 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     identity = done[0]
     for more in done[1:]:
         identity = identity.union(more)
+    identity = written(identity, "identities")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
-    groups = identity.groupBy("level", "name").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # As a table, so that the join below can split a hot group.
+    groups = written(identity.groupBy("level", "name").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
     return identity.join(groups, ["level", "name"]).select(
         "row", "id", F.col("best.id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256"),
