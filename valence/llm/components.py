@@ -14,14 +14,15 @@ from valence.session import written
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    # The minima as a table, so that the join can split a hot node.
+    low = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "minima")
     moved = both.filter("b > a").join(low, "a").select(F.col("m").alias("a"), "b")
     return moved.distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Links run from the smaller a to the larger b; all smaller ends of b go to the smallest."""
-    low = links.groupBy("b").agg(F.min("a").alias("m"))
+    low = written(links.groupBy("b").agg(F.min("a").alias("m")), "minima")
     ends = links.join(low, "b")
     moved = ends.filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return moved.union(low.select(F.col("m").alias("a"), "b")).distinct()
@@ -38,7 +39,7 @@ def components(links: DataFrame) -> DataFrame:
         if mark == sums:
             break
         mark = sums
-        now = written(_small_star(_large_star(now)), "links")
+        now = written(_small_star(written(_large_star(now), "links")), "links")
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(
         now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     )

@@ -197,7 +197,9 @@ def _with_heads(signs: DataFrame) -> DataFrame:
     """row, id and the first row with the same shingles. A text without words is alone."""
     alike = ["size", "print", "print2", "alone"]
     prints = signs.select("row", "id", *alike[:3], F.when(F.col("size") == 0, F.col("row")).otherwise(-1).alias("alone"))
-    return prints.join(prints.groupBy(*alike).agg(F.min("row").alias("head")), alike).select("row", "id", "head")
+    # As a table, so that the join can split the rows of a hot text.
+    heads = written(prints.groupBy(*alike).agg(F.min("row").alias("head")), "prints")
+    return prints.join(heads, alike).select("row", "id", "head")
 
 
 def _unsettled(
@@ -262,6 +264,7 @@ def near_groups(
     unique = signs.join(known.filter("row = head").select("row"), "row", "left_semi")
     buckets = written(unique.select(F.explode("bands").alias("key"), F.col("row").alias("a"), "size"), "buckets")
     pivots = buckets.groupBy("key").agg(F.min("a").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    pivots = written(pivots, "pivots")
     shared = written(buckets.join(pivots.drop("n"), "key"), "shared")
     checked = _verified(shared.filter("a <> pivot").select(F.col("pivot").alias("a"), F.col("a").alias("b")).distinct(), body, width)
     linked = checked.filter(F.col("similarity") >= similarity).select("a", "b")
@@ -272,9 +275,9 @@ def near_groups(
     linked = linked.union(more.filter(F.col("similarity") >= similarity).select("a", "b"))
     classes = components(linked)
     of = known.join(classes.select(F.col("node").alias("head"), "root"), "head", "left")
-    of = of.select("row", "id", F.coalesce("root", "head").alias("root"))
+    of = written(of.select("row", "id", F.coalesce("root", "head").alias("root")), "classes")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
-    groups = of.groupBy("root").agg(best.alias("best"), F.count(F.lit(1)).alias("class_size"))
+    groups = written(of.groupBy("root").agg(best.alias("best"), F.count(F.lit(1)).alias("class_size")), "groups")
     return of.join(groups, "root").select(
         "row", "id", F.col("best.id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept")
     )
