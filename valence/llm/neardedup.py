@@ -11,11 +11,13 @@ agree in a coordinate with a probability that is exactly their weighted Jaccard.
 looked at, about k log k darts a text, however long it is; texts with a coordinate still empty look further.
 
 **Bands.** 32 bands of 5 coordinates: a pair of similarity 0.8 shares none with a probability
-of 3e-6. Texts with the same shingle multiset are put together first, so exact copies cost
-one row. In each bucket all are compared with the smallest one, which is linear in the bucket.
-What that leaves in other classes of the same bucket is then compared too, unless the class or
-the triangle inequality (1 - similarity is a distance) has settled it; large buckets with several
-classes are split by a second band before (a pair of 0.8 shares two bands but for 5e-5). No bucket is cut.
+of 3e-6. Texts with the same shingle multiset are put together first, so exact copies cost one row.
+In each bucket all are compared with a pivot, the one that shares most buckets with others (in a group of edited
+copies that is the least edited one); those that aren't linked to it are compared with a second pivot among them, and so on for
+ROUNDS rounds, each linear in the bucket. Then components are made. What is left are pairs of one bucket in different classes: they
+are compared too, unless something rules a link out: the sizes, the distances to the first pivot (1 - similarity is a metric), the number of
+shingles that no other candidate has (an edited copy with many of its own can't reach 0.8 with anything), or the signatures.
+The last is by four bits of all 160 coordinates, of which a pair of 0.8 shares fewer than ALIKE with a probability below 1e-6. No bucket is cut.
 
 Defined: a text without words is alone. One of fewer than five words is a single shingle. Null counts as
 empty. Rows may repeat or have a null id; the class id is the smallest id in the class, null
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from valence.llm.common import (
     Words, bloom_filter, may_hold, mixed, numbered, pieces, shingles, signed, signed_back, spread,
@@ -39,7 +41,9 @@ from valence.session import written
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
-CROWD = 64
+ROUNDS = 3
+ALIKE = 105 / 160  # of the coordinates
+_PACKED = 16  # coordinates of four bits in a long
 _SEED = np.uint64(0x51A7D3C2B4E6F809)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LATE = np.uint64(0xD1B54A32D192ED03)
@@ -148,10 +152,14 @@ def _signatures(bands: int, rows: int, width: int):
                     prints = [_summed(pair, text, w.texts), _summed(mixed(pair ^ _SEED), text, w.texts)]
                 size = np.bincount(text, count, w.texts).astype(np.int64)
                 held = np.where(size > 0, bands, 0)
+                few = np.zeros((w.texts, -(-k // _PACKED)), np.uint64)
+                for c in range(k):
+                    few[:, c // _PACKED] |= (best[:, c] & np.uint64(15)) << np.uint64(4 * (c % _PACKED))
                 yield pa.record_batch(
                     [batch["row"].slice(i, w.texts), batch["id"].slice(i, w.texts), pa.array(size),
-                     *[pa.array(signed(p)) for p in prints], _lists(band[size > 0].ravel(), held)],
-                    ["row", "id", "size", "print", "print2", "bands"],
+                     *[pa.array(signed(p)) for p in prints], _lists(band[size > 0].ravel(), held),
+                     _lists(few.ravel(), np.full(w.texts, few.shape[1]))],
+                    ["row", "id", "size", "print", "print2", "bands", "sketch"],
                 )
 
     return sign
@@ -176,15 +184,8 @@ def _elements(picked, width: int):
     return listed
 
 
-def _verified(pairs: DataFrame, body: DataFrame, width: int) -> DataFrame:
-    """a, b and their exact similarity."""
-    pairs = written(pairs, "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("row"))
-    picked = bloom_filter(ends.select(spread("row").alias("h")), "h", 24)
-    held = written(
-        body.select("row", "body", spread("row").alias("h")).mapInArrow(_elements(picked, width), "row long, elements array<long>"),
-        "elements",
-    )
+def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """a, b and their exact similarity; ``held`` has the elements of all rows."""
     with_a = pairs.join(held.select(F.col("row").alias("a"), F.col("elements").alias("of_a")), "a")
     both = with_a.join(held.select(F.col("row").alias("b"), F.col("elements").alias("of_b")), "b")
     same = F.size(F.array_intersect("of_a", "of_b"))
@@ -202,40 +203,70 @@ def _with_heads(signs: DataFrame) -> DataFrame:
     return prints.join(heads, alike).select("row", "id", "head")
 
 
-def _unsettled(
-    shared: DataFrame, checked: DataFrame, classes: DataFrame, signs: DataFrame, similarity: float, crowd: int
-) -> DataFrame:
-    """Pairs of one bucket that may be links between classes and were not compared yet."""
+def _pivoted(rows: DataFrame) -> DataFrame:
+    """rows (key, a, ...) with ``pivot``: of each key the row with the most company."""
+    pivots = rows.groupBy("key").agg(F.max(F.struct("company", (-F.col("a")).alias("a"))).alias("p"), F.count(F.lit(1)).alias("n"))
+    pivots = written(pivots.filter("n > 1").select("key", (-F.col("p.a")).alias("pivot")), "pivots")
+    return rows.join(pivots, "key")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    others = rows.filter("a <> pivot")
+    return others.select(F.least("a", "pivot").alias("a"), F.greatest("a", "pivot").alias("b")).distinct()
+
+
+def _with_distance(rows: DataFrame, checked: DataFrame) -> DataFrame:
+    """rows with ``far``: 1 - similarity to the pivot."""
+    ends = rows.withColumn("low", F.least("a", "pivot")).withColumn("high", F.greatest("a", "pivot"))
+    known = checked.select(F.col("a").alias("low"), F.col("b").alias("high"), (1 - F.col("similarity")).alias("far"))
+    return ends.join(known, ["low", "high"], "left").drop("low", "high").withColumn("far", F.coalesce("far", F.lit(0.0)))
+
+
+def _alike(coordinates: int) -> Column:
+    """Whether two packed sketches agree in enough coordinates."""
+    ones = F.lit(0x1111111111111111)
+    total = F.lit(0)
+    for i in range(-(-coordinates // _PACKED)):
+        equal = F.bitwise_not(F.col("l_sketch")[i].bitwiseXOR(F.col("sketch")[i]))
+        equal = equal.bitwiseAND(F.shiftrightunsigned(equal, 1))
+        equal = equal.bitwiseAND(F.shiftrightunsigned(equal, 2)).bitwiseAND(ones)
+        total = total + F.bit_count(equal)
+    return total >= int(ALIKE * coordinates)
+
+
+def _common(held: DataFrame) -> DataFrame:
+    """a and ``common``: how many of its elements another candidate has too. Others can share no more with it."""
+    alone = held.select("row", F.explode("elements").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("a"))
+    alone = alone.filter("n = 1").groupBy("a").agg(F.count(F.lit(1)).alias("own"))
+    sizes = held.select(F.col("row").alias("a"), F.size("elements").alias("n"))
+    return sizes.join(alone, "a", "left").select("a", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+
+
+def _unsettled(rows: DataFrame, classes: DataFrame, sketches: DataFrame, checked: DataFrame, similarity: float, coordinates: int) -> DataFrame:
+    """Pairs of one bucket that may be links between classes and were not compared yet. ``rows``: key, a, size, pivot, far."""
     of = classes.select(F.col("node").alias("a"), "root")
-    known = checked.select(F.col("a").alias("pivot"), F.col("b").alias("a"), (1 - F.col("similarity")).alias("far"))
-    rows = (
-        shared.join(of, "a", "left")
-        .withColumn("root", F.coalesce("root", "a"))
-        .join(known, ["pivot", "a"], "left")
-        .withColumn("far", F.coalesce("far", F.lit(0.0)))
-    )
-    mixed_keys = (
+    rows = written(rows.join(of, "a", "left").withColumn("root", F.coalesce("root", "a")), "rooted")
+    open_keys = (
         rows.groupBy("key")
         .agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"),
              F.max(F.when(F.col("a") == F.col("pivot"), F.col("root"))).alias("home"))
         .filter("n > 2 AND low <> high")
         .select("key", "home")
     )
-    rows = rows.filter("a <> pivot").join(mixed_keys, "key").withColumn("away", F.col("root") != F.col("home"))
-    rows = written(rows.select("key", "a", "size", "root", "far", "away"), "unsettled")
-    crowded = rows.groupBy("key").agg(F.sum(F.col("away").cast("int")).alias("n")).filter(F.col("n") > crowd).select("key")
-    bands = signs.select(F.col("row").alias("a"), "bands")
-    finer = rows.join(crowded, "key", "left_semi").join(bands, "a").withColumn("band", F.explode("bands"))
-    finer = finer.filter("band <> key").withColumn("key", F.xxhash64("key", "band")).drop("bands", "band")
-    rows = rows.join(crowded, "key", "left_anti").unionByName(finer)
-    left = rows.filter("away").select("key", *[F.col(c).alias(f"l_{c}") for c in ("a", "size", "root", "far")])
+    rows = rows.filter("a <> pivot").join(written(open_keys, "open"), "key").withColumn("away", F.col("root") != F.col("home"))
+    rows = rows.select("key", "a", "size", "root", "far", "away").join(sketches, "a")
+    rows = written(rows.filter(F.col("common") >= similarity * F.col("size") - 1e-6), "unsettled")
+    left = rows.filter("away").select("key", *[F.col(c).alias(f"l_{c}") for c in ("a", "size", "root", "far", "sketch", "common")])
     near = (
         (F.col("l_root") != F.col("root"))
         & (F.least("l_size", "size") >= similarity * F.greatest("l_size", "size"))
         & (F.abs(F.col("l_far") - F.col("far")) <= 1 - similarity + 1e-9)
         & (~F.col("away") | (F.col("l_a") < F.col("a")))
+        & ((1 + similarity) * F.least("l_common", "common") >= similarity * (F.col("l_size") + F.col("size")) - 1e-6)
+        & _alike(coordinates)
     )
-    pairs = left.join(rows, "key").filter(near)
+    right = rows.select("key", "a", "size", "root", "far", "away", "sketch", "common")
+    pairs = left.join(right, (left["key"] == right["key"]) & near)
     pairs = pairs.select(F.least("l_a", "a").alias("a"), F.greatest("l_a", "a").alias("b")).distinct()
     return pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
 
@@ -248,7 +279,7 @@ def without_near_copies(docs: DataFrame, id_column: str = "doc_id", text: str =
 
 def near_groups(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
-    width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, crowd: int = CROWD,
+    width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS,
 ) -> DataFrame:
     """A row per row of ``docs``: row, id, class_id, class_size, kept (one of each class)."""
     body = numbered(docs, text, id_column)
@@ -256,24 +287,39 @@ def near_groups(
     signs = written(
         body.mapInArrow(
             _signatures(bands, rows, width),
-            "row long, id long, size long, print long, print2 long, bands array<long>",
+            "row long, id long, size long, print long, print2 long, bands array<long>, sketch array<long>",
         ),
         "signatures",
     )
     known = written(_with_heads(signs), "heads")
     unique = signs.join(known.filter("row = head").select("row"), "row", "left_semi")
     buckets = written(unique.select(F.explode("bands").alias("key"), F.col("row").alias("a"), "size"), "buckets")
-    pivots = buckets.groupBy("key").agg(F.min("a").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pivots = written(pivots, "pivots")
-    shared = written(buckets.join(pivots.drop("n"), "key"), "shared")
-    checked = _verified(shared.filter("a <> pivot").select(F.col("pivot").alias("a"), F.col("a").alias("b")).distinct(), body, width)
-    linked = checked.filter(F.col("similarity") >= similarity).select("a", "b")
-    classes = components(linked)
-
-    rest = _unsettled(shared, checked, classes, signs, similarity, crowd)
-    more = _verified(rest, body, width)
-    linked = linked.union(more.filter(F.col("similarity") >= similarity).select("a", "b"))
-    classes = components(linked)
+    shared = written(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
+    company = buckets.join(shared, "key")
+    company = written(company.groupBy("a").agg(F.sum("n").alias("company")), "company")
+    held = company.select(spread("a").alias("h"))
+    picked = bloom_filter(held, "h", 24)
+    texts = body.select("row", "body", spread("row").alias("h"))
+    held = written(texts.mapInArrow(_elements(picked, width), "row long, elements array<long>"), "elements")
+
+    first = written(_pivoted(buckets.join(shared.select("key"), "key", "left_semi").join(company, "a")), "pivoted")
+    now, checked = first, None
+    for step in range(rounds):
+        fresh = _pairs(now)
+        if checked is not None:
+            fresh = fresh.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        fresh = _verified(fresh, held)
+        checked = fresh if checked is None else checked.union(fresh)
+        now = written(_with_distance(now, checked), "distances")
+        if not step:
+            first = now
+        if step < rounds - 1:
+            now = written(_pivoted(now.filter(F.col("far") > 1 - similarity).drop("pivot", "far")), "pivoted")
+    links = checked.filter(F.col("similarity") >= similarity).select("a", "b")
+    sketches = signs.select(F.col("row").alias("a"), "sketch").join(_common(held), "a")
+    rest = _unsettled(first, components(links), sketches, checked, similarity, bands * rows)
+    more = _verified(written(rest, "rest"), held)
+    classes = components(links.union(more.filter(F.col("similarity") >= similarity).select("a", "b")))
     of = known.join(classes.select(F.col("node").alias("head"), "root"), "head", "left")
     of = written(of.select("row", "id", F.coalesce("root", "head").alias("root")), "classes")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
