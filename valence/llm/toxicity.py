@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from valence.llm.common import Words, characters, mixed, numbered, pieces
 
-SAMPLE, LONGEST = 1500, 20_000
+SAMPLE, LONGEST = 800, 10_000
 LOG_ODDS, LEAST = 3.0, 4
 CHAIN = 64
 SIZE = 1 << 18
@@ -53,7 +53,7 @@ class Field:
 def features(w: Words, data: np.ndarray) -> np.ndarray:
     """Places in the table of weights, five for each word; neighbours in other texts don't count."""
     n = len(w.hash)
-    out = np.zeros((n, 5), np.int64)
+    out = np.zeros((n, 5), np.int32)
     with np.errstate(over="ignore"):
         def place(h, kind):
             return (mixed(h + _KINDS[kind]) >> np.uint64(46)).astype(np.int64)
@@ -190,12 +190,21 @@ def fit(texts: list[str], labels: list[int], rounds: int = 30, rate: float = 0.3
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label: str, use: Column) -> tuple[list[str], list[int]]:
-    """At most SAMPLE short labelled texts of each label, those with the smallest hash of the text."""
-    rows = docs.filter(use & F.col(text).isNotNull() & (F.length(text) <= LONGEST)).select(F.col(id_column).alias("id"), F.col(text).alias("body"))
-    known = rows.join(labels.select(F.col(id_column).alias("id"), F.col(label).alias("label")).filter("label IN (0, 1)"), "id")
-    known = known.select("label", "body", F.xxhash64("body").alias("h"))
-    out = [r for k in (0, 1) for r in known.filter(F.col("label") == k).orderBy("h", "body").limit(SAMPLE).collect()]
-    return [r.body for r in out], [int(r.label) for r in out]
+    """At most SAMPLE short labelled texts of each label, those with the smallest hash of the text.
+
+    They are chosen by id and hash alone; only the chosen texts move.
+    """
+    short = docs.filter(use & F.col(text).isNotNull() & (F.length(text) <= LONGEST))
+    rows = short.select(F.col(id_column).alias("id"), F.col(text).alias("body"), F.xxhash64(text).alias("h"))
+    marks = labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1)")
+    known = rows.select("id", "h").join(marks, "id").distinct()
+    chosen = [r for k in (0, 1) for r in known.filter(F.col("label") == k).orderBy("h", "id").limit(SAMPLE).collect()]
+    if not chosen:
+        return [], []
+    few = docs.sparkSession.createDataFrame([(r.id, r.h, r.label) for r in chosen], "id long, h long, label int")
+    out = rows.join(F.broadcast(few), ["id", "h"]).dropDuplicates(["id", "h", "label"]).select("label", "body").collect()
+    out = sorted(out, key=lambda r: (r.label, r.body))
+    return [r.body for r in out], [r.label for r in out]
 
 
 def _scoring(field):
