@@ -256,7 +256,9 @@ def _unsettled(rows: DataFrame, classes: DataFrame, sketches: DataFrame, checked
     rows = rows.filter("a <> pivot").join(written(open_keys, "open"), "key").withColumn("away", F.col("root") != F.col("home"))
     rows = rows.select("key", "a", "size", "root", "far", "away").join(sketches, "a")
     rows = written(rows.filter(F.col("common") >= similarity * F.col("size") - 1e-6), "unsettled")
-    left = rows.filter("away").select("key", *[F.col(c).alias(f"l_{c}") for c in ("a", "size", "root", "far", "sketch", "common")])
+    right = rows.select("key", "a", "size", "root", "far", "away", "sketch", "common", "bands")
+    left = rows.filter("away").select(F.col("key").alias("l_key"), *[F.col(c).alias(f"l_{c}") for c in ("a", "size", "root", "far", "sketch", "common", "bands")])
+    first_shared = F.array_min(F.array_intersect("l_bands", "bands")) == F.col("key")
     near = (
         (F.col("l_root") != F.col("root"))
         & (F.least("l_size", "size") >= similarity * F.greatest("l_size", "size"))
@@ -265,9 +267,9 @@ def _unsettled(rows: DataFrame, classes: DataFrame, sketches: DataFrame, checked
         & ((1 + similarity) * F.least("l_common", "common") >= similarity * (F.col("l_size") + F.col("size")) - 1e-6)
         & _alike(coordinates)
     )
-    right = rows.select("key", "a", "size", "root", "far", "away", "sketch", "common")
-    pairs = left.join(right, (left["key"] == right["key"]) & near)
-    pairs = pairs.select(F.least("l_a", "a").alias("a"), F.greatest("l_a", "a").alias("b")).distinct()
+    # A pair meets in each bucket it shares; the first of them is enough, as one of the two is away there or a pivot.
+    pairs = left.join(right, (F.col("l_key") == F.col("key")) & near & first_shared)
+    pairs = pairs.select(F.least("l_a", "a").alias("a"), F.greatest("l_a", "a").alias("b"))
     return pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
 
 
@@ -316,7 +318,7 @@ def near_groups(
         if step < rounds - 1:
             now = written(_pivoted(now.filter(F.col("far") > 1 - similarity).drop("pivot", "far")), "pivoted")
     links = checked.filter(F.col("similarity") >= similarity).select("a", "b")
-    sketches = signs.select(F.col("row").alias("a"), "sketch").join(_common(held), "a")
+    sketches = signs.select(F.col("row").alias("a"), "sketch", "bands").join(_common(held), "a")
     rest = _unsettled(first, components(links), sketches, checked, similarity, bands * rows)
     more = _verified(written(rest, "rest"), held)
     classes = components(links.union(more.filter(F.col("similarity") >= similarity).select("a", "b")))

@@ -1,7 +1,8 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 **Token labels.** Labels are by document. A word counts as toxic in a toxic document if it is in toxic documents of the
-sample far more often than in others (log odds of LOG_ODDS or more, and LEAST documents); all other words are clean.
+sample far more often than in others (log odds of LOG_ODDS or more, in a share of LEAST of the toxic documents); all other words are clean.
+Copies are counted once: the sample has each text once, and of those with the same smallest shingle one counts.
 
 **Field.** Two states, chains of up to CHAIN words (a long text is many chains, none is left out). Features
 of a word: itself, its neighbours, its last letters and whether it is in capitals, as weights in a hashed table; and the
@@ -26,10 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from valence.llm.common import Words, characters, mixed, numbered, pieces
+from valence.llm.common import Words, characters, mixed, numbered, pieces, shingles
 
 SAMPLE, LONGEST = 800, 10_000
-LOG_ODDS, LEAST = 3.0, 4
+LOG_ODDS, LEAST = 3.0, 0.03
 CHAIN = 64
 SIZE = 1 << 18
 _KINDS = (np.uint64(0), np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93))
@@ -147,6 +148,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
     return w
 
 
+def _different(w: Words, y: np.ndarray) -> np.ndarray:
+    """One text of those with the same label and smallest shingle, so that copies don't make their words toxic."""
+    keys, text, _ = shingles(w, 5)
+    least = np.full(w.texts, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, text, mixed(keys))
+    pairs = np.stack([least, y.astype(np.uint64)], 1)
+    return np.unique(pairs, axis=0, return_index=True)[1]
+
+
 def fit(texts: list[str], labels: list[int], rounds: int = 30, rate: float = 0.3) -> Field:
     """A field from a bounded number of labelled texts."""
     y = np.array(labels, np.int64)
@@ -163,12 +173,13 @@ def fit(texts: list[str], labels: list[int], rounds: int = 30, rate: float = 0.3
     h, d = w.hash[order], w.text[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    h, d = h[new], d[new]
+    once = np.isin(d, _different(w, y))
+    h, d = h[new & once], d[new & once]
     names, which = np.unique(h, return_inverse=True)
     toxic = np.bincount(which, y[d], len(names))
     clean = np.bincount(which, 1 - y[d], len(names))
     odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((clean + 0.5) / ((1 - y).sum() + 1))
-    marked = names[(odds >= LOG_ODDS) & (toxic >= LEAST)]
+    marked = names[(odds >= LOG_ODDS) & (toxic >= max(2.0, LEAST * toxic.max(initial=0), LEAST * y.sum()))]
     gold = np.isin(w.hash, marked) & (y[w.text] == 1)
     f = features(w, data)
     chain, place, n = chains(w.text)
@@ -197,7 +208,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label:
     short = docs.filter(use & F.col(text).isNotNull() & (F.length(text) <= LONGEST))
     rows = short.select(F.col(id_column).alias("id"), F.col(text).alias("body"), F.xxhash64(text).alias("h"))
     marks = labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1)")
-    known = rows.select("id", "h").join(marks, "id").distinct()
+    known = rows.select("id", "h").join(marks, "id").groupBy("h", "label").agg(F.min("id").alias("id"))
     chosen = [r for k in (0, 1) for r in known.filter(F.col("label") == k).orderBy("h", "id").limit(SAMPLE).collect()]
     if not chosen:
         return [], []
