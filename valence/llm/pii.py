@@ -53,7 +53,7 @@ FEATURES = (
 
 
 def matches(kind: str, body: Column) -> Column:
-    """The matches of a pattern, as structs with kind, start, end, match, and what is before and after."""
+    """The matches of a pattern (of a base kind those that pass its check), as structs with kind, start, end, match, and what is before and after."""
     pattern = F.lit(PATTERNS[kind])
     found = F.regexp_extract_all(body, pattern, F.lit(0))
     gaps = F.split(body, PATTERNS[kind], -1)
@@ -64,10 +64,15 @@ def matches(kind: str, body: Column) -> Column:
             F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), (start + F.length(x["match"])).alias("end"),
             x["match"].alias("match"), F.right(x["gap"], F.lit(BESIDE)).alias("before"), F.left(x["next"], F.lit(BESIDE)).alias("after"),
         )
-        return F.struct(span["end"].alias("at"), F.array_append(s["spans"], span).alias("spans"))
+        good = passes(span) if KINDS.index(kind) < 4 else F.lit(True)
+        # Only what counts is kept, as each addition copies the list.
+        return F.struct(span["end"].alias("at"), F.when(good, F.array_append(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
 
     none = F.lit([]).cast(_SPANS)
-    rows = F.transform(found, lambda m, i: F.struct(m.alias("match"), F.get(gaps, i).alias("gap"), F.get(gaps, i + 1).alias("next")))
+    n = F.size(found)
+    # Zipped once; looking gaps up by number would split the text again for each match.
+    zipped = F.arrays_zip(found, F.slice(gaps, F.lit(1), n), F.slice(gaps, F.lit(2), n))
+    rows = zipped.cast("array<struct<match: string, gap: string, next: string>>")
     spans = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
     return F.when(F.size(found) > 0, spans).otherwise(none)
 
@@ -115,8 +120,7 @@ def spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
     rows = numbered(docs, text, id_column).select(
         "row", F.col(f"own_{id_column}").alias("id"), F.xxhash64("body").alias("h"), *[found[k].alias(k) for k in KINDS]
     )
-    base = F.concat(*[F.filter(k, passes) for k in KINDS[:4]])
-    return rows.select("row", "id", "h", base.alias("base"), F.concat(*KINDS[4:]).alias("wider"))
+    return rows.select("row", "id", "h", F.concat(*KINDS[:4]).alias("base"), F.concat(*KINDS[4:]).alias("wider"))
 
 
 def featured(found: DataFrame) -> DataFrame:
