@@ -8,7 +8,7 @@ Copies are counted once: the sample has each text once, and of those with the sa
 of a word: itself, its neighbours, its last letters and whether it is in capitals, as weights in a hashed table; and the
 transitions. It is fitted with Adagrad on the likelihood; forward-backward gives its gradient and later the marginals.
 
-**Document score.** Sum and maximum of the marginals go into a logistic regression on the document label.
+**Document score.** Sum (from a half up) and maximum of the marginals go into a logistic regression on the document label.
 
 The fit uses a bounded sample of the labelled rows: at most SAMPLE of each label with at most LONGEST characters, those with
 the smallest hash of the text. Everything else (scores, spans) reads all rows and whole texts, in one pass without a shuffle.
@@ -127,8 +127,11 @@ def forward_backward(score: np.ndarray, steps: np.ndarray, chain: np.ndarray, pl
 
 
 def aggregated(marginal: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
-    """By text: one, log of the expected toxic words, and the largest marginal."""
-    total = np.bincount(text, marginal, texts)
+    """By text: one, log of the sum of the marginals from a half up, and the largest marginal.
+
+    Small marginals don't count, or a long text would be toxic for its length.
+    """
+    total = np.bincount(text, np.where(marginal >= 0.5, marginal, 0), texts)
     most = np.zeros(texts)
     np.maximum.at(most, text, marginal)
     return np.stack([np.ones(texts), np.log1p(total), most], 1)
