@@ -81,13 +81,16 @@ def test_unreadable_messages_are_rejected_not_lost(spark, tmp_path, model):
 
 
 def test_other_sinks(spark, tmp_path, model, stream):
-    raw = stream(spark.createDataFrame([('{"text": "love it", "label": 4}',)] * 4, "value string"), 2)
+    lines = [('{"text": "love it", "label": 4}',)] * 4 + [("broken",)]
+    raw = stream(spark.createDataFrame(lines, "value string"), 2)
     out = str(tmp_path / "out")
     query = start_sink(
-        scored_stream(raw, model), "json", {"path": out}, str(tmp_path / "p"), UNTIL_EMPTY
+        scored_stream(raw, model), "json", {"path": out}, str(tmp_path / "p"), str(tmp_path / "r"), UNTIL_EMPTY
     )
     query.awaitTermination()
     rows = spark.read.json(out)
+    schema = T.StructType([*STORE_SCHEMA.fields, T.StructField("raw", T.StringType())])
+    assert [r.raw for r in read_store(spark, str(tmp_path / "r"), schema, REJECTED).collect()] == ["broken"]
     assert rows.count() == 4
     assert sorted(rows.columns) == ["batch_id", "label", "prediction", "sentiment", "text"]
 

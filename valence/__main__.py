@@ -84,7 +84,9 @@ def score(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.interval and not a.until_empty:
         trigger = {"processingTime": a.interval}
     if a.sink:
-        query = start_sink(scored, a.sink, _options(a.sink_option), a.checkpoint, trigger)
+        query = start_sink(
+            scored, a.sink, _options(a.sink_option), a.checkpoint, a.rejects or f"{a.checkpoint}-rejects", trigger
+        )
     else:
         query = start_store(scored, a.store, a.checkpoint, trigger, a.echo)
     query.awaitTermination()
@@ -143,6 +145,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--option", action="append", default=[], metavar="NAME=VALUE")
     p.add_argument("--sink", help="a batch format to append to, instead of --store")
     p.add_argument("--sink-option", action="append", default=[], metavar="NAME=VALUE")
+    p.add_argument("--rejects", help="store for records that are not scored (with --sink)")
     p.add_argument("--interval", help='time between micro-batches, e.g. "1 second"')
     p.add_argument("--until-empty", action="store_true")
     p.add_argument("--echo", action="store_true")

@@ -124,10 +124,10 @@ def stream_replay(spark, sf):
     return read_store(spark, _store(spark, parsed), _WITH_ID).select("id", "text", "label")
 
 
-def _stream_scored(spark, sf, which="TRUE"):
+def _stream_scored(spark, sf):
     train, live = train_and_live(spark, sf)
     model = classify.fit(classify.classifier(), train)
-    raw = _replayed(spark, live.filter(which))
+    raw = _replayed(spark, live)
     return _store(spark, scored_stream(raw, model, _WITH_ID))
 
 
@@ -140,12 +140,15 @@ def stream_score(spark, sf):
 def live_report(spark, sf):
     """The whole flow: train, replay, score as a stream, store, report on the stored records.
 
-    Only held-back posts with a label are replayed, as the report is about being right.
+    Every held-back post is replayed and stored. The figures are those of the labelled ones; ``stored_rows`` counts all.
     """
     schema = T.StructType([*STORE_SCHEMA.fields, T.StructField("id", T.LongType())])
-    stored = read_store(spark, _stream_scored(spark, sf, "target IS NOT NULL"), schema)
+    stored = read_store(spark, _stream_scored(spark, sf), schema)
     order = ("batch_id", "id")
-    return kpi_snapshot(stored, latest_n(stored, *order), *order)
+    labelled = stored.filter("label IS NOT NULL")
+    every = stored.agg(F.count(F.lit(1)).alias("stored_rows"))
+    # One row each.
+    return kpi_snapshot(labelled, latest_n(labelled, *order), *order).withColumn("one", F.lit(1)).join(every.withColumn("one", F.lit(1)), "one").drop("one")
 
 
 def stream_rejects(spark, sf):

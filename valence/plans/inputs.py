@@ -18,14 +18,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents, for work that is costly per row.
-
-    A table that comes in fewer pieces than there are cores is dealt out to all of them
-    first; a large one is read as it lies.
-    """
-    docs = table(spark, sf, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+    """The documents, read as they lie at every size."""
+    return table(spark, sf, "documents")
 
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:

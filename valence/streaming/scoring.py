@@ -54,15 +54,22 @@ def start_sink(
     fmt: str,
     options: dict[str, str],
     checkpoint: str,
+    rejects: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Append the scored records of each micro-batch with any batch format, e.g. ``mongodb``.
 
+    The other records go to a store at ``rejects``, once each, so that none is lost.
+
     Such a sink sees a batch twice if it is run again after a failure, unless its options
     make rows with equal keys replace each other; ``batch_id`` is added for that.
     """
 
+    if not rejects:
+        raise ValueError("name a place for the records that are not scored")
+
     def write(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch.filter(~F.col("outcome").eqNullSafe(SCORED)), batch_id, rejects)
         rows = batch.filter(F.col("outcome") == SCORED).drop("outcome", "raw")
         numbered = rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
         numbered.write.format(fmt).options(**options).mode("append").save()
