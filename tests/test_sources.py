@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from valence.sources.csvfiles import POST_SCHEMA, read_posts, write_posts
+from valence.sources.csvfiles import POST_SCHEMA, read_posts, read_posts_and_rejects, write_posts
 from valence.sources.messages import parse_messages, publish, to_messages
 from valence.sources.store import (
     REJECTED,
@@ -174,3 +174,15 @@ def test_snapshot_keeps_what_a_repeated_batch_needs(spark, tmp_path):
     for batch_id in (0, 1, 2, 2):
         write_snapshot(state.withColumn("x", F.lit(10 + batch_id)), batch_id, path)
     assert read() == [12] and read(1) == [11] and read(0) == []
+
+
+def test_records_that_do_not_fit_are_kept_apart(spark, tmp_path):
+    lines = ["4,1,d,f,u,good", "four,2,d,f,u,bad type", "0,3,d,f,u,too,many", "0,4,d", '0,5,d,f,u,"two', 'lines"', ",,,,,"]
+    (tmp_path / "p.csv").write_text("\n".join(lines) + "\n")
+    posts, rejects = read_posts_and_rejects(spark, str(tmp_path))
+    assert sorted((r.id, r.text) for r in posts.collect() if r.id) == [(1, "good"), (5, "two\nlines")]
+    assert posts.count() == 3 and rejects.count() == 3
+    assert sorted(r.line for r in rejects.collect()) == sorted(lines[1:4])
+    # By lines, the first half of the split text has six fields and the second half has one.
+    rejects = read_posts_and_rejects(spark, str(tmp_path), multi_line=False)[1]
+    assert sorted(r.line for r in rejects.collect()) == sorted([*lines[1:4], lines[5]])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from valence.session import written
+
 POST_SCHEMA = T.StructType(
     [
         T.StructField("target", T.IntegerType()),
@@ -47,12 +49,38 @@ def read_posts(
     when no text has a line break and large files should be split. ``line_sep=None`` leaves
     it to Spark to find out how the lines of a file end.
     """
+    return _read(spark, path, encoding, schema, multi_line, line_sep)
+
+
+def _read(spark, path, encoding, schema, multi_line, line_sep, **more) -> DataFrame:
     options = _DIALECT | {"emptyValue": "", "encoding": encoding, "multiLine": str(multi_line)}
     if line_sep is None:
         del options["lineSep"]
     else:
         options["lineSep"] = line_sep
-    return spark.read.schema(schema).options(**options).csv(path)
+    return spark.read.schema(schema).options(**options, **more).csv(path)
+
+
+def read_posts_and_rejects(
+    spark: SparkSession,
+    path: str | list[str],
+    encoding: str = LATIN_1,
+    schema: T.StructType = POST_SCHEMA,
+    multi_line: bool = True,
+    line_sep: str | None = "\n",
+) -> tuple[DataFrame, DataFrame]:
+    """The posts, and the ``line`` of each record that does not fit the schema, so that none is lost.
+
+    A record is rejected if a field does not fit its type, or if it has too few or too many
+    fields. Files are read once, into a table that both parts are filters of.
+    """
+    marked = T.StructType([*schema.fields, T.StructField("_line", T.StringType())])
+    rows = _read(
+        spark, path, encoding, marked, multi_line, line_sep, columnNameOfCorruptRecord="_line"
+    )
+    rows = written(rows, "posts")
+    good = rows.filter(F.col("_line").isNull()).drop("_line")
+    return good, rows.filter(F.col("_line").isNotNull()).select(F.col("_line").alias("line"))
 
 
 def write_posts(
