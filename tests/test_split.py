@@ -127,3 +127,19 @@ def test_a_part_can_be_split_again(spark):
     assert 260 < held_out.count() < 380
     again, _ = split.exact_split(held_out, "id", 0.5)
     assert again.count() == held_out.count() // 2
+
+
+def test_positions_are_those_of_the_shuffle(spark):
+    df = spark.range(300).select((F.col("id") % 100).alias("id"), F.lit("x").alias("t")).repartition(7)
+    rows = split.shuffle_positions(df, "id").collect()
+    assert sorted(r.position for r in rows) == list(range(300))
+    order = [r.id for r in split.seeded_shuffle(df, "id").collect()]
+    assert [r.id for r in sorted(rows, key=lambda r: r.position)] == order
+    assert split.shuffle_positions(df.limit(0), "id").count() == 0
+
+
+def test_hash_split_names_are_the_parts(spark):
+    parts = split.hash_split(spark.range(500), "id", [1, 2, 1])
+    named = split.hash_split_names(spark.range(500), "id", {"a": 1, "b": 2, "c": 1})
+    for part, name in zip(parts, "abc"):
+        assert sorted(part.collect()) == sorted(named.filter(F.col("split") == name).drop("split").collect())

@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from valence.operators import classify, metrics
-from valence.sources.messages import MESSAGE_SCHEMA, message_stream
+from valence.operators.split import seeded_shuffle
+from valence.sources.messages import MESSAGE_SCHEMA, message_stream, parse_messages
 from valence.sources.store import REJECTED, STORE_SCHEMA, read_snapshot, read_store
 from valence.streaming.monitoring import last_rows, rolling_accuracy, start_metrics, start_rolling
 from valence.streaming.replay import write_replay
@@ -55,8 +56,6 @@ def test_replay_order_is_the_shuffled_one(spark, tmp_path):
     import glob
     import json
 
-    from valence.operators.split import seeded_shuffle
-
     path = str(tmp_path / "in")
     write_replay(_posts(spark, 100).repartition(3), path, keep=("id",), files=4)
     files = sorted(glob.glob(path + "/part-*"))
@@ -65,6 +64,21 @@ def test_replay_order_is_the_shuffled_one(spark, tmp_path):
     assert got == [r.id for r in seeded_shuffle(_posts(spark, 100), "id").collect()]
 
 
+def test_the_stream_comes_in_the_order_of_the_replay(spark, tmp_path):
+    path, store = str(tmp_path / "in"), str(tmp_path / "s")
+    write_replay(_posts(spark, 200).repartition(5), path, keep=("id",), files=8)
+    schema = T.StructType([*WITH_ID.fields, T.StructField("position", T.LongType())])
+    raw = message_stream(spark, path=path, maxFilesPerTrigger="1")
+    rows = parse_messages(raw, schema).withColumn("outcome", F.lit("scored"))
+    start_store(rows, store, str(tmp_path / "p"), UNTIL_EMPTY).awaitTermination()
+    stored = read_store(spark, store, schema)
+    assert stored.select("batch_id").distinct().count() == 8
+    places = [r.position for r in stored.orderBy("batch_id", "position").collect()]
+    assert places == list(range(200))
+    ids = [r.id for r in stored.orderBy("position").collect()]
+    assert ids == [r.id for r in seeded_shuffle(_posts(spark, 200), "id").collect()]
+
+
 def test_unreadable_messages_are_rejected_not_lost(spark, tmp_path, model):
     lines = ['{"text": "love it", "label": 4}', "garbage", '{"label": 0}', '{"text": "b', "[]"]
     folder = tmp_path / "in"

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
+
+from valence.session import written
 
 _HEX = 4  # digits looked at per pass: at most 65,536 counts
 _SMALL = 10_000  # rows of a group whose hashes are counted one by one
@@ -30,6 +33,26 @@ def seeded_shuffle(df: DataFrame, key: str | list[str], seed: int = 42) -> DataF
     return df.orderBy(*shuffle_keys(df, key, seed))
 
 
+def shuffle_positions(
+    df: DataFrame, key: str | list[str], seed: int = 42, name: str = "position"
+) -> DataFrame:
+    """All rows with their place, from 0, in the reproducible random order.
+
+    The sorted rows are written once; a task's rows are counted on from those of the tasks
+    before it, so no task sees all rows. Pass a table, or narrow steps on one.
+    """
+    place = F.monotonically_increasing_id()  # task and place in the task
+    ordered = written(seeded_shuffle(df, key, seed).withColumn("_place", place), "shuffled")
+    marked = ordered.withColumn("_task", F.shiftright("_place", 33))
+    sizes = marked.groupBy("_task").agg(F.count("*").alias("_n"))  # a row per task
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return marked.join(F.broadcast(starts), "_task").select(
+        *df.columns, (F.col("_start") + within).alias(name)
+    )
+
+
 def hash_share(key: str | list[str], seed: int = 42) -> Column:
     """A number from 0 up to 1, fixed by the seed and the row's key.
 
@@ -46,11 +69,24 @@ def hash_split(
 
     Rows with equal keys go to the same part.
     """
-    share = hash_share(key, seed)
-    edges = [sum(weights[:i]) / sum(weights) for i in range(len(weights) + 1)]
+    share, edges = hash_share(key, seed), _edges(weights)
     return [df.filter((share >= lo) & (share < hi)) for lo, hi in zip(edges, edges[1:])]
 
 
+def hash_split_names(
+    df: DataFrame, key: str | list[str], weights: dict[str, float], seed: int = 42
+) -> DataFrame:
+    """The same split as a column ``split`` with the name of the part, in one pass over the rows."""
+    share, named = hash_share(key, seed), F
+    for name, edge in zip(weights, _edges(list(weights.values()))[1:]):
+        named = named.when(share < edge, name)
+    return df.withColumn("split", named)
+
+
+def _edges(weights: list[float]) -> list[float]:
+    return [sum(weights[:i]) / sum(weights) for i in range(len(weights) + 1)]
+
+
 def exact_split(
     df: DataFrame, key: str | list[str], fraction: float = 0.8, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
