@@ -151,3 +151,24 @@ def test_term_weights_with_hot_and_long_terms(spark, monkeypatch):
         df = sum(term in b for b in bags)
         assert (row.tf, row.df) == (bags[doc].count(term), df)
         assert math.isclose(row.tfidf, row.tf * math.log((len(texts) + 1) / (df + 1)), abs_tol=1e-12)
+
+
+def test_columns_may_have_any_names(spark):
+    rows = [(0, "bad awful"), (4, "good great"), (0, "awful sad"), (4, "love great")]
+    posts = spark.createDataFrame(rows, "target int, text string")
+    model = classify.fit(classify.classifier(), classify.training_view(posts))
+    plain = classify.predict(model, posts)
+    clash = posts.select("*", *[F.lit("x").alias(c) for c in ("words", "rawFeatures", "features", "prediction", "a.b")])
+    got = classify.predict(model, clash)
+    assert got.columns == ["target", "text", "words", "rawFeatures", "features", "a.b", "prediction"]
+    assert got.select("target", "text", "prediction").collect() == plain.collect()
+    unlabelled = classify.score(model, posts.select("text")).collect()
+    assert [(r.label, r.prediction) for r in unlabelled] == [(None, r.prediction) for r in plain.collect()]
+
+
+def test_label_index_reads_no_text(spark, plan, tmp_path):
+    path = str(tmp_path / "p")
+    spark.createDataFrame([(0, "a"), (4, "b")], "target int, text string").write.parquet(path)
+    view = classify.training_view(spark.read.parquet(path))
+    text = plan(view)
+    assert "IsNotNull(target)" in text and "IsNotNull(text)" in text and "atleastnnonnulls" not in text.lower()

@@ -18,7 +18,9 @@ MAX_ITER = 20
 
 def training_view(posts: DataFrame, target: str = "target") -> DataFrame:
     """Label and text, without rows that lack one of them."""
-    return posts.select(F.col(target).alias("raw_label"), "text").na.drop("any")
+    view = posts.select(F.col(target).alias("raw_label"), "text")
+    # A test per column, so that each reaches the table that its column comes from.
+    return view.filter(F.col("raw_label").isNotNull()).filter(F.col("text").isNotNull())
 
 
 def label_indexer(order: str = "alphabetAsc") -> StringIndexer:
@@ -98,13 +100,14 @@ def scorer(model: PipelineModel) -> PipelineModel:
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Add ``prediction`` to rows with a ``text``. Batch or stream.
 
-    The model cannot take a missing text; such a row gets a missing prediction.
+    The model cannot take a missing text; such a row gets a missing prediction. Columns may have
+    any names; an earlier ``prediction`` is replaced.
     """
-    scored = scorer(model).transform(
-        rows.withColumnRenamed("text", "_text").withColumn("text", F.coalesce("_text", F.lit("")))
-    )
-    known = F.when(F.col("_text").isNotNull(), F.col("prediction"))
-    kept = [F.col("_text").alias("text") if c == "text" else F.col(c) for c in rows.columns]
+    text = F.coalesce("text", F.lit("")).alias("text")
+    scored = scorer(model).transform(rows.select(F.struct("*").alias("_row"), text))
+    row = F.col("_row")
+    known = F.when(row.getField("text").isNotNull(), F.col("prediction"))
+    kept = [row.getField(c).alias(c) for c in rows.columns if c != "prediction"]
     return scored.select(*kept, known.alias("prediction"))
 
 
@@ -113,10 +116,13 @@ def score(
 ) -> DataFrame:
     """Scored records: text, label, sentiment, prediction and all other columns of ``rows``.
 
-    ``outcome`` tells scored records from rejected ones, which had no text to score.
+    ``outcome`` tells scored records from rejected ones, which had no text to score. Rows
+    without a column ``label`` get a missing one.
     """
+    if "label" not in rows.columns:
+        rows = rows.withColumn("label", F.lit(None).cast("int"))
     outcome = F.when(F.col("text").isNull(), REJECTED).otherwise(SCORED)
-    others = [c for c in rows.columns if c not in ("text", "label")]
+    others = [c for c in rows.columns if c not in ("text", "label", "prediction")]
     return predict(model, rows).select(
         "text",
         "label",

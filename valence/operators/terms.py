@@ -16,12 +16,23 @@ def words(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """How often each term occurs in each document.
+    """How often each term occurs in each document, a row being a document. No shuffle.
 
-    A document lies in one task, which therefore sends each of its terms just once.
+    The words of a row are sorted; a term's count is the distance from where its run begins to
+    where the next one does.
     """
-    each = docs.select(key, F.explode(tokens(text)).alias("term"))
-    return each.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    sorted_words = docs.select(key, F.array_sort(tokens(text)).alias("_w")).filter(F.size("_w") > 0)
+    places = F.sequence(F.lit(0), F.size("_w") - 1)
+    begins = F.filter(places, lambda i: (i == 0) | (F.get("_w", i) != F.get("_w", i - 1)))
+    runs = sorted_words.withColumn("_begin", begins)
+    entry = F.transform(
+        "_begin",
+        lambda i, n: F.struct(
+            F.get("_w", i).alias("term"),
+            (F.coalesce(F.get("_begin", n + 1), F.size("_w")) - i).cast("long").alias("tf"),
+        ),
+    )
+    return runs.select(key, F.inline(entry))
 
 
 def tfidf_terms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -35,8 +46,9 @@ def tfidf_terms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     named = term_counts(docs, key, text).withColumn("_name", _short_name("term"))
     counts = written(named, "terms")
-    frequency = counts.groupBy("_name").agg(F.count("*").alias("df"))
-    is_hot = F.col("df") > counts.count() / HOT_TERMS
+    frequency = written(counts.groupBy("_name").agg(F.count("*").alias("df")), "frequency")
+    entries = frequency.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).first().n
+    is_hot = F.col("df") > entries / HOT_TERMS
 
     marked = counts.join(F.broadcast(frequency.filter(is_hot)), "_name", "left")
     hot = marked.filter(F.col("df").isNotNull())
