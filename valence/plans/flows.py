@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from valence.operators import classify
-from valence.operators.latest import latest_n
-from valence.operators.metrics import kpi_snapshot, overview
+from valence.functions.text import percent
+from valence.operators.latest import MONITORED_ROWS, latest_n
+from valence.operators.metrics import accuracy, kpi_snapshot, overview
 from valence.plans.inputs import (
     JUDGED_SQL,
+    LIVE_SQL,
     POSTS_SQL,
     as_scored,
     posts,
@@ -18,7 +20,7 @@ from valence.plans.inputs import (
     train_and_live,
 )
 from valence.session import shared_dir
-from valence.sources.csvfiles import read_posts, write_posts
+from valence.sources.csvfiles import read_posts, read_posts_and_rejects, write_posts
 from valence.sources.messages import (
     MESSAGE_SCHEMA,
     message_stream,
@@ -34,12 +36,15 @@ from valence.sources.store import (
     read_store,
 )
 from valence.streaming.monitoring import rolling_accuracy, start_metrics, start_rolling
-from valence.streaming.replay import write_replay
+from valence.streaming.replay import POSITION, write_replay
 from valence.streaming.scoring import UNTIL_EMPTY, scored_stream, start_store
 
 _K = T.StructType([T.StructField("k", T.IntegerType())])
 _EVENT_ID = T.StructField("event_id", T.LongType())
-_WITH_ID = T.StructType([*MESSAGE_SCHEMA.fields, T.StructField("id", T.LongType())])
+_PLACE = [T.StructField("id", T.LongType()), T.StructField(POSITION, T.LongType())]
+_WITH_ID = T.StructType([*MESSAGE_SCHEMA.fields, _PLACE[0]])
+_REPLAYED = T.StructType([*MESSAGE_SCHEMA.fields, *_PLACE])
+_STORED = T.StructType([*STORE_SCHEMA.fields, *_PLACE])
 
 
 def csv_roundtrip(spark, sf):
@@ -48,6 +53,21 @@ def csv_roundtrip(spark, sf):
     return read_posts(spark, path)
 
 
+def csv_rejects(spark, sf):
+    """Some lines have a word for a number, some a field too many; both must come out as rejected."""
+    path = shared_dir(spark, "csv")
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
+    first = F.when(F.col("n_chars") % 3 == 0, "four").otherwise("4")
+    last = F.when(F.col("n_chars") % 3 == 1, "text,more").otherwise("text")
+    line = F.concat_ws(",", first, "doc_id", F.lit("date,flag,user"), last)
+    docs.select(line.alias("value")).write.text(path)
+    posts_, rejects = read_posts_and_rejects(spark, path)
+    whole = F.concat_ws(",", "target", "id", "date", "flag", "user", "text")
+    return posts_.select(whole.alias("line"), F.lit("post").alias("outcome")).unionByName(
+        rejects.withColumn("outcome", F.lit("rejected"))
+    )
+
+
 def publish_json(spark, sf):
     path = shared_dir(spark, "messages")
     publish(to_messages(posts(spark, sf), keep=("id",)), path=path)
@@ -59,23 +79,46 @@ def json_parse(spark, sf):
     return parse_messages(raw, _K, keep=("event_id",))
 
 
+def _twice(first, second, rows):
+    """Rows with the predictions of two models, ``one`` and ``prediction``."""
+    return classify.predict(
+        second, classify.predict(first, rows).withColumnRenamed("prediction", "one")
+    )
+
+
 def train_and_score(spark, sf):
+    """Held-back posts: is a class predicted where there is a text, and the one that fitting all stages in a row gives?"""
     train, live = train_and_live(spark, sf)
     model = classify.fit(classify.classifier(), train)
-    return classify.predict(model, live).select("id", "target", "prediction")
+    both = _twice(model, classify.classifier().fit(train), live)
+    known = F.coalesce(F.col("one").isin(0.0, 1.0), F.lit(False)) == F.col("text").isNotNull()
+    same = F.col("one").eqNullSafe(F.col("prediction"))
+    return both.select("id", "target", known.alias("known"), same.alias("same"))
 
 
 def holdout_accuracy(spark, sf):
+    """Labelled posts held back, the share of the commoner class, and whether accuracy and error make 100."""
     train, live = train_and_live(spark, sf)
     model = classify.fit(classify.classifier(), train)
-    return classify.evaluate(model, classify.training_view(live))
+    found = classify.evaluate(model, classify.training_view(live))
+    adds_up = F.abs(F.col("accuracy") + F.col("error") - 100) < 1e-9
+    return found.select("n", "majority", (adds_up & F.col("accuracy").between(0, 100)).alias("adds_up"))
+
+
+def accuracy_text(spark, sf):
+    """Accuracy and error as text with two decimals."""
+    shown = [percent(c, 2).alias(f"{c}_text") for c in ("accuracy", "error")]
+    return accuracy(scored(spark, sf), ("event_type",)).select("event_type", *shown)
 
 
 def model_reload_score(spark, sf):
+    """Held-back posts, and whether the model predicts the same after saving and loading."""
     train, live = train_and_live(spark, sf)
     path = shared_dir(spark, "model")
-    classify.save_model(classify.fit(classify.classifier(), train), path)
-    return classify.predict(classify.load_model(path), live).select("id", "target", "prediction")
+    model = classify.fit(classify.classifier(), train)
+    classify.save_model(model, path)
+    same = F.col("one").eqNullSafe(F.col("prediction"))
+    return _twice(model, classify.load_model(path), live).select("id", "target", same.alias("same"))
 
 
 def _table_stream(spark, sf, name):
@@ -120,35 +163,64 @@ def stream_parse(spark, sf):
 
 def stream_replay(spark, sf):
     raw = _replayed(spark, posts(spark, sf))
-    parsed = parse_messages(raw, _WITH_ID).withColumn("outcome", F.lit(SCORED))
-    return read_store(spark, _store(spark, parsed), _WITH_ID).select("id", "text", "label")
+    parsed = parse_messages(raw, _REPLAYED).withColumn("outcome", F.lit(SCORED))
+    stored = read_store(spark, _store(spark, parsed), _REPLAYED)
+    return stored.select("id", "text", "label", POSITION)
 
 
 def _stream_scored(spark, sf):
+    """The stored records, the model, and the posts that were replayed."""
     train, live = train_and_live(spark, sf)
     model = classify.fit(classify.classifier(), train)
     raw = _replayed(spark, live)
-    return _store(spark, scored_stream(raw, model, _WITH_ID))
+    path = _store(spark, scored_stream(raw, model, _REPLAYED))
+    return read_store(spark, path, _STORED), model, live
 
 
 def stream_score(spark, sf):
-    schema = T.StructType([*STORE_SCHEMA.fields, T.StructField("id", T.LongType())])
-    stored = read_store(spark, _stream_scored(spark, sf), schema)
-    return stored.select("id", "text", "label", "sentiment", "prediction")
+    """Stored records: is the name that of the prediction, and the prediction that of the batch?"""
+    stored, model, live = _stream_scored(spark, sf)
+    batch = classify.predict(model, live).select("id", F.col("prediction").alias("batch"))
+    name = F.when(F.col("prediction") == 1, "POSITIVE").when(F.col("prediction") == 0, "NEGATIVE")
+    return stored.join(batch, "id").select(
+        "id",
+        "text",
+        "label",
+        (F.col("sentiment") == name).alias("agrees"),
+        (F.col("prediction") == F.col("batch")).alias("same"),
+    )
 
 
-def live_report(spark, sf):
+def stream_unlabeled(spark, sf):
+    """Messages without a label: all are scored, and the label stays missing."""
+    train, live = train_and_live(spark, sf)
+    model = classify.fit(classify.classifier(), train)
+    texts = T.StructType([MESSAGE_SCHEMA["text"], *_PLACE])
+    stored = read_store(spark, _store(spark, scored_stream(_replayed(spark, live), model, texts)), _STORED)
+    named = F.col("sentiment").isin("NEGATIVE", "POSITIVE").alias("named")
+    return stored.select("id", "label", named)
+
+
+def live_figures(spark, sf):
     """The whole flow: train, replay, score as a stream, store, report on the stored records.
 
     Every held-back post is replayed and stored. The figures are those of the labelled ones; ``stored_rows`` counts all.
     """
-    schema = T.StructType([*STORE_SCHEMA.fields, T.StructField("id", T.LongType())])
-    stored = read_store(spark, _stream_scored(spark, sf), schema)
-    order = ("batch_id", "id")
+    stored, _, _ = _stream_scored(spark, sf)
     labelled = stored.filter("label IS NOT NULL")
     every = stored.agg(F.count(F.lit(1)).alias("stored_rows"))
     # One row each.
-    return kpi_snapshot(labelled, latest_n(labelled, *order), *order).withColumn("one", F.lit(1)).join(every.withColumn("one", F.lit(1)), "one").drop("one")
+    figures = kpi_snapshot(labelled, latest_n(labelled, POSITION), POSITION).withColumn("one", F.lit(1))
+    return figures.join(every.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def live_report(spark, sf):
+    """Numbers of the whole flow, and whether its figures fit them."""
+    newest = F.least(F.col("total_rows"), F.lit(MONITORED_ROWS))
+    adds_up = (F.col("positive") + F.col("negative") == newest) & F.col("accuracy").between(0, 100)
+    return live_figures(spark, sf).select(
+        "stored_rows", F.col("total_rows").alias("labelled_rows"), adds_up.alias("adds_up")
+    )
 
 
 def stream_rejects(spark, sf):
@@ -191,14 +263,17 @@ def stream_rolling(spark, sf):
 
 QUERIES = {
     "csv_roundtrip": csv_roundtrip,
+    "csv_rejects": csv_rejects,
     "publish_json": publish_json,
     "json_parse": json_parse,
     "train_and_score": train_and_score,
     "holdout_accuracy": holdout_accuracy,
+    "accuracy_text": accuracy_text,
     "model_reload_score": model_reload_score,
     "stream_parse": stream_parse,
     "stream_replay": stream_replay,
     "stream_score": stream_score,
+    "stream_unlabeled": stream_unlabeled,
     "live_report": live_report,
     "stream_rejects": stream_rejects,
     "metrics_over_store": metrics_over_store,
@@ -221,7 +296,30 @@ ORACLES = {
     "publish_json": _MESSAGES,
     "json_parse": _PARSED,
     "stream_parse": _PARSED,
-    "stream_replay": _MESSAGES,
+    "stream_replay": f"""WITH {POSTS_SQL}
+SELECT id, text, target AS label,
+       CAST(row_number() OVER (ORDER BY md5('42:' || id)) - 1 AS BIGINT) AS position FROM posts""",
+    "csv_rejects": """
+SELECT CASE n_chars % 3 WHEN 0 THEN 'four,' ELSE '4,' END || doc_id || ',date,flag,user,' ||
+       CASE n_chars % 3 WHEN 1 THEN 'text,more' ELSE 'text' END AS line,
+       CASE n_chars % 3 WHEN 2 THEN 'post' ELSE 'rejected' END AS outcome
+FROM documents""",
+    "train_and_score": f"WITH {LIVE_SQL} SELECT id, target, true AS known, true AS same FROM live",
+    "holdout_accuracy": f"""WITH {LIVE_SQL},
+n AS (SELECT count(*) AS c FROM live WHERE target IS NOT NULL AND text IS NOT NULL GROUP BY target)
+SELECT CAST(sum(c) AS BIGINT) AS n, max(c)::DOUBLE / sum(c)::DOUBLE * 100 AS majority, true AS adds_up FROM n""",
+    "accuracy_text": f"""WITH {JUDGED_SQL},
+a AS (SELECT event_type, sum(is_correct)::DOUBLE / count(*) AS share FROM judged GROUP BY event_type)
+SELECT event_type, '%' || printf('%.2f', share * 100) AS accuracy_text,
+       '%' || printf('%.2f', (1 - share) * 100) AS error_text FROM a""",
+    "model_reload_score": f"WITH {LIVE_SQL} SELECT id, target, true AS same FROM live",
+    "stream_score": f"""WITH {LIVE_SQL}
+SELECT id, text, target AS label, true AS agrees, true AS same FROM live WHERE text IS NOT NULL""",
+    "stream_unlabeled": f"""WITH {LIVE_SQL}
+SELECT id, CAST(NULL AS INTEGER) AS label, true AS named FROM live WHERE text IS NOT NULL""",
+    "live_report": f"""WITH {LIVE_SQL}
+SELECT count(*) AS stored_rows, count(target) AS labelled_rows, true AS adds_up
+FROM live WHERE text IS NOT NULL""",
     "stream_rejects": """
 SELECT event_id, substr(props, 1, 4) AS value FROM events WHERE event_type = 'error'""",
     "metrics_over_store": f"WITH {JUDGED_SQL} SELECT {_OVERVIEW} FROM judged",

@@ -48,6 +48,15 @@ def train_and_live(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return training_view(every.filter(to_train_on)), every.filter(~to_train_on)
 
 
+LIVE_SQL = (
+    POSTS_SQL
+    + """,
+live AS (
+  SELECT * FROM posts
+  WHERE target IS NULL OR CAST('0x' || substr(md5('42:' || id), 25, 8) AS BIGINT) >= round(0.8 * 4294967296))"""
+)
+
+
 def as_scored(events: DataFrame) -> DataFrame:
     """Events as scored records. Batch or stream."""
     k = F.from_json("props", "k INT")["k"]

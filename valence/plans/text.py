@@ -72,16 +72,12 @@ def split_counts(spark, sf):
 
 def hash_split(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id")
-    train, live = split.hash_split(docs, "doc_id", [0.8, 0.2])
-    return train.withColumn("split", F.lit("train")).unionByName(
-        live.withColumn("split", F.lit("live"))
-    )
+    return split.hash_split_names(docs, "doc_id", {"train": 0.8, "live": 0.2})
 
 
 def seeded_shuffle(spark, sf):
-    return split.seeded_shuffle(table(spark, sf, "documents"), "doc_id").select(
-        "doc_id", split.hash_order("doc_id").alias("sort_key")
-    )
+    docs = table(spark, sf, "documents").select("doc_id")
+    return split.shuffle_positions(docs, "doc_id").withColumn("sort_key", split.hash_order("doc_id"))
 
 
 def training_view(spark, sf):
@@ -93,12 +89,14 @@ def text_preview(spark, sf):
 
 
 def label_index(spark, sf):
-    rows = posts(spark, sf).select(F.col("target").alias("raw_label"), "id").na.drop()
+    rows = posts(spark, sf).select(F.col("target").alias("raw_label"), "id")
+    rows = rows.filter("raw_label IS NOT NULL").filter("id IS NOT NULL")
     return classify.label_indexer().fit(rows).transform(rows)
 
 
 def label_index_by_frequency(spark, sf):
-    rows = posts(spark, sf).select(F.col("target").alias("raw_label"), "id").na.drop()
+    rows = posts(spark, sf).select(F.col("target").alias("raw_label"), "id")
+    rows = rows.filter("raw_label IS NOT NULL").filter("id IS NOT NULL")
     return classify.label_indexer("frequencyDesc").fit(rows).transform(rows)
 
 
@@ -160,7 +158,9 @@ FROM ranked GROUP BY 1""",
 SELECT doc_id, CASE WHEN CAST('0x' || substr(md5('42:' || doc_id), 25, 8) AS BIGINT)
                          < round(0.8 * 4294967296) THEN 'train' ELSE 'live' END AS split
 FROM documents""",
-    "seeded_shuffle": "SELECT doc_id, md5('42:' || doc_id) AS sort_key FROM documents",
+    "seeded_shuffle": """
+SELECT doc_id, CAST(row_number() OVER (ORDER BY md5('42:' || doc_id)) - 1 AS BIGINT) AS position,
+       md5('42:' || doc_id) AS sort_key FROM documents""",
     "training_view": f"""WITH {POSTS_SQL}
 SELECT target AS raw_label, text FROM posts WHERE target IS NOT NULL AND text IS NOT NULL""",
     "text_preview": "SELECT doc_id, substr(text, 1, 50) || '...' AS preview FROM documents",
