@@ -1,14 +1,16 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 **Token labels.** Labels are by document. A word counts as toxic in a toxic document if it is in toxic documents of the
-sample far more often than in others (log odds of LOG_ODDS or more, in a share of LEAST of the toxic documents); all other words are clean.
+sample far more often than in others (log odds of LOG_ODDS or more, in a share of LEAST of the toxic documents), or if its
+beginning (the first STEM bytes) is so at least twice in a document, as rare forms of a word say little alone; all other words are clean.
 Copies are counted once: the sample has each text once, and of those with the same smallest shingle one counts.
 
 **Field.** Two states, chains of up to CHAIN words (a long text is many chains, none is left out). Features
-of a word: itself, its neighbours, its last letters and whether it is in capitals, as weights in a hashed table; and the
+of a word: itself, its neighbours, its beginning, its last letters and whether it is in capitals, as weights in a hashed table; and the
 transitions. It is fitted with Adagrad on the likelihood; forward-backward gives its gradient and later the marginals.
 
-**Document score.** Sum (from a half up) and maximum of the marginals go into a logistic regression on the document label.
+**Document score.** Sum and share of the words (both from a half up) and maximum of the marginals go into a logistic regression on the
+document label, so that a word that a long text has once by chance is not enough.
 
 The fit uses a bounded sample of the labelled rows: at most SAMPLE of each label with at most LONGEST characters, those with
 the smallest hash of the text. Everything else (scores, spans) reads all rows and whole texts, in one pass without a shuffle.
@@ -33,6 +35,7 @@ SAMPLE, LONGEST = 800, 10_000
 LOG_ODDS, LEAST = 3.0, 0.03
 CHAIN = 64
 SIZE = 1 << 18
+STEM, FEW = 6, 4  # bytes of a beginning, and least number of toxic documents that have it twice
 _KINDS = (np.uint64(0), np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -51,10 +54,19 @@ class Field:
         return 1 / (1 + np.exp(-(features @ self.document)))
 
 
+def beginnings(w: Words, data: np.ndarray) -> np.ndarray:
+    """A hash of the first STEM bytes of each word, of all of a shorter one."""
+    letters = np.zeros(len(w.hash), np.uint64)
+    for k in range(STEM if len(letters) else 0):
+        byte = data[np.minimum(w.start + k, len(data) - 1)] | 0x20
+        letters = letters * np.uint64(256) + np.where(w.size > k, byte, 0).astype(np.uint64)
+    return mixed(letters + np.uint64(1))
+
+
 def features(w: Words, data: np.ndarray) -> np.ndarray:
-    """Places in the table of weights, five for each word; neighbours in other texts don't count."""
+    """Places in the table of weights, six for each word; neighbours in other texts don't count."""
     n = len(w.hash)
-    out = np.zeros((n, 5), np.int32)
+    out = np.zeros((n, 6), np.int32)
     with np.errstate(over="ignore"):
         def place(h, kind):
             return (mixed(h + _KINDS[kind]) >> np.uint64(46)).astype(np.int64)
@@ -73,6 +85,7 @@ def features(w: Words, data: np.ndarray) -> np.ndarray:
             first = data[w.start]
             capital = ((first >= 0x41) & (first <= 0x5A)).astype(np.uint64) + 2 * ((data[end] >= 0x41) & (data[end] <= 0x5A)).astype(np.uint64)
             out[:, 3], out[:, 4] = place(letters, 3), place(capital + np.uint64(7), 3)
+            out[:, 5] = place(beginnings(w, data), 3)
     return out
 
 
@@ -127,14 +140,15 @@ def forward_backward(score: np.ndarray, steps: np.ndarray, chain: np.ndarray, pl
 
 
 def aggregated(marginal: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
-    """By text: one, log of the sum of the marginals from a half up, and the largest marginal.
+    """By text: one, log of the sum of the marginals from a half up, the largest marginal, and log of that sum for a thousand words.
 
     Small marginals don't count, or a long text would be toxic for its length.
     """
     total = np.bincount(text, np.where(marginal >= 0.5, marginal, 0), texts)
     most = np.zeros(texts)
     np.maximum.at(most, text, marginal)
-    return np.stack([np.ones(texts), np.log1p(total), most], 1)
+    share = 1000 * total / np.maximum(1, np.bincount(text, minlength=texts))
+    return np.stack([np.ones(texts), np.log1p(total), most, np.log1p(share)], 1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -160,30 +174,38 @@ def _different(w: Words, y: np.ndarray) -> np.ndarray:
     return np.unique(pairs, axis=0, return_index=True)[1]
 
 
+def _telling(key: np.ndarray, text: np.ndarray, y: np.ndarray, once: np.ndarray, times: int, least: float) -> np.ndarray:
+    """The keys that toxic texts have ``times`` or more far more often than others: log odds of LOG_ODDS, in ``least`` toxic texts or more."""
+    order = np.lexsort((text, key))
+    h, d = key[order], text[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+    at = np.flatnonzero(new)
+    keep = (np.diff(at, append=len(h)) >= times) & once[d[at]]
+    h, d = h[at][keep], d[at][keep]
+    names, which = np.unique(h, return_inverse=True)
+    toxic = np.bincount(which, y[d], len(names))
+    clean = np.bincount(which, 1 - y[d], len(names))
+    odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((clean + 0.5) / ((1 - y).sum() + 1))
+    return names[(odds >= LOG_ODDS) & (toxic >= max(least, LEAST * toxic.max(initial=0)))]
+
+
 def fit(texts: list[str], labels: list[int], rounds: int = 30, rate: float = 0.3) -> Field:
     """A field from a bounded number of labelled texts."""
     y = np.array(labels, np.int64)
     prior = float(y.mean()) if len(y) else 0.0
-    empty = Field(np.zeros(SIZE), np.zeros((2, 2)), np.zeros(3), prior)
+    empty = Field(np.zeros(SIZE), np.zeros((2, 2)), np.zeros(4), prior)
     if not len(y) or y.min() == y.max():
         return empty
     joined = [t.encode() for t in texts]
     data = np.frombuffer(b"".join(joined), np.uint8)
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in joined])])
     w = Words(data, bounds, "plain")
-    # Log odds of each word between the documents of the two labels.
-    order = np.lexsort((w.text, w.hash))
-    h, d = w.hash[order], w.text[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    once = np.isin(d, _different(w, y))
-    h, d = h[new & once], d[new & once]
-    names, which = np.unique(h, return_inverse=True)
-    toxic = np.bincount(which, y[d], len(names))
-    clean = np.bincount(which, 1 - y[d], len(names))
-    odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((clean + 0.5) / ((1 - y).sum() + 1))
-    marked = names[(odds >= LOG_ODDS) & (toxic >= max(2.0, LEAST * toxic.max(initial=0), LEAST * y.sum()))]
-    gold = np.isin(w.hash, marked) & (y[w.text] == 1)
+    once = np.isin(np.arange(w.texts), _different(w, y))
+    marked = _telling(w.hash, w.text, y, once, 1, max(2.0, LEAST * y.sum()))
+    stems = beginnings(w, data)
+    common = _telling(stems, w.text, y, once, 2, max(FEW, LEAST * y.sum()))
+    gold = (np.isin(w.hash, marked) | np.isin(stems, common)) & (y[w.text] == 1)
     f = features(w, data)
     chain, place, n = chains(w.text)
     weights, steps = np.zeros(SIZE), np.zeros((2, 2))
@@ -193,7 +215,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 30, rate: float = 0.3
     np.add.at(seen, (gold[:-1][inside[1:]].astype(int), gold[1:][inside[1:]].astype(int)), 1)
     for _ in range(rounds):
         marginal, pairs = forward_backward(weights[f].sum(1), steps, chain, place, n)
-        slope = np.bincount(f.ravel(), np.repeat(marginal - gold, 5), SIZE) + 0.01 * weights
+        slope = np.bincount(f.ravel(), np.repeat(marginal - gold, f.shape[1]), SIZE) + 0.01 * weights
         past += slope**2
         weights -= rate * slope / np.sqrt(past)
         slope = pairs - seen + 0.01 * steps
