@@ -2,7 +2,7 @@
 
 **Token labels.** Labels are by document. A word counts as toxic in a toxic document if it is in toxic documents of the
 sample far more often than in others (log odds of LOG_ODDS or more, in a share of LEAST of the toxic documents), or if its
-beginning (the first STEM bytes) is so at least twice in a document, as rare forms of a word say little alone; all other words are clean.
+beginning (its first bytes, STEMS of them) is so at least twice in a document, as rare forms of a word say little alone; all other words are clean.
 Copies are counted once: the sample has each text once, and of those with the same smallest shingle one counts.
 
 **Field.** Two states, chains of up to CHAIN words (a long text is many chains, none is left out). Features
@@ -35,7 +35,7 @@ SAMPLE, LONGEST = 800, 10_000
 LOG_ODDS, LEAST = 3.0, 0.03
 CHAIN = 64
 SIZE = 1 << 18
-STEM, FEW = 6, 4  # bytes of a beginning, and least number of toxic documents that have it twice
+STEMS, FEW = (4, 5, 6, 7), 4  # bytes of a beginning, and least number of toxic documents that have it twice
 _KINDS = (np.uint64(0), np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -54,19 +54,19 @@ class Field:
         return 1 / (1 + np.exp(-(features @ self.document)))
 
 
-def beginnings(w: Words, data: np.ndarray) -> np.ndarray:
-    """A hash of the first STEM bytes of each word, of all of a shorter one."""
+def beginnings(w: Words, data: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the first ``size`` bytes of each word, of all of a shorter one."""
     letters = np.zeros(len(w.hash), np.uint64)
-    for k in range(STEM if len(letters) else 0):
+    for k in range(size if len(letters) else 0):
         byte = data[np.minimum(w.start + k, len(data) - 1)] | 0x20
         letters = letters * np.uint64(256) + np.where(w.size > k, byte, 0).astype(np.uint64)
-    return mixed(letters + np.uint64(1))
+    return mixed(letters + (np.uint64(size) << np.uint64(56)))
 
 
 def features(w: Words, data: np.ndarray) -> np.ndarray:
-    """Places in the table of weights, six for each word; neighbours in other texts don't count."""
+    """Places in the table of weights, some for each word; neighbours in other texts don't count."""
     n = len(w.hash)
-    out = np.zeros((n, 6), np.int32)
+    out = np.zeros((n, 5 + len(STEMS)), np.int32)
     with np.errstate(over="ignore"):
         def place(h, kind):
             return (mixed(h + _KINDS[kind]) >> np.uint64(46)).astype(np.int64)
@@ -85,7 +85,8 @@ def features(w: Words, data: np.ndarray) -> np.ndarray:
             first = data[w.start]
             capital = ((first >= 0x41) & (first <= 0x5A)).astype(np.uint64) + 2 * ((data[end] >= 0x41) & (data[end] <= 0x5A)).astype(np.uint64)
             out[:, 3], out[:, 4] = place(letters, 3), place(capital + np.uint64(7), 3)
-            out[:, 5] = place(beginnings(w, data), 3)
+            for k, size in enumerate(STEMS):
+                out[:, 5 + k] = place(beginnings(w, data, size), 3)
     return out
 
 
@@ -203,9 +204,11 @@ def fit(texts: list[str], labels: list[int], rounds: int = 30, rate: float = 0.3
     w = Words(data, bounds, "plain")
     once = np.isin(np.arange(w.texts), _different(w, y))
     marked = _telling(w.hash, w.text, y, once, 1, max(2.0, LEAST * y.sum()))
-    stems = beginnings(w, data)
-    common = _telling(stems, w.text, y, once, 2, max(FEW, LEAST * y.sum()))
-    gold = (np.isin(w.hash, marked) | np.isin(stems, common)) & (y[w.text] == 1)
+    gold = np.isin(w.hash, marked)
+    for size in STEMS:
+        stems = beginnings(w, data, size)
+        gold |= np.isin(stems, _telling(stems, w.text, y, once, 2, max(FEW, LEAST * y.sum())))
+    gold &= y[w.text] == 1
     f = features(w, data)
     chain, place, n = chains(w.text)
     weights, steps = np.zeros(SIZE), np.zeros((2, 2))
