@@ -128,14 +128,12 @@ def reached(links: DataFrame) -> DataFrame:
     found = written(links.filter("offset = 0").select("file", "offset"), "reached")
     # A successor that is no candidate ends the chain.
     jump = written(links.select("file", "offset", "next").join(places, ["file", "next"], "left_semi"), "jumps")
-    count = found.count()
     while True:
-        ahead = found.join(jump, ["file", "offset"]).select("file", F.col("next").alias("offset"))
-        found = written(found.union(ahead).distinct(), "reached")
-        now = found.count()
-        if now == count:
+        # The next as many records of each chain: offsets only grow, so none of them was found before.
+        ahead = written(found.join(jump, ["file", "offset"]).select("file", F.col("next").alias("offset")), "reached")
+        if ahead.isEmpty():
             return found
-        count = now
+        found = found.union(ahead)
         on = jump.select("file", F.col("offset").alias("next"), F.col("next").alias("later"))
         jump = written(jump.join(on, ["file", "next"]).select("file", "offset", F.col("later").alias("next")), "jumps")
 
