@@ -30,15 +30,10 @@ URN = "urn:valence:page:"
 
 
 def base32_sha1(payload: Column) -> Column:
-    """The SHA-1 of a binary in upper-case base 32: 160 bits are 32 letters, five hex digits are four."""
+    """The SHA-1 of a binary in upper-case base 32: 160 bits are 32 letters, ten hex digits are eight."""
     digits = F.sha1(payload)
-
-    def letter(i: Column) -> Column:
-        five = F.conv(F.substring(digits, (F.floor(i / 4) * 5 + 1).cast("int"), F.lit(5)), 16, 10).cast("int")
-        which = F.pmod(F.floor(five / F.pow(F.lit(32), 3 - F.pmod(i, F.lit(4)))), F.lit(32)).cast("int")
-        return F.substring(F.lit(BASE32), which + 1, F.lit(1))
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
+    eights = [F.lpad(F.conv(F.substring(digits, i, 10), 16, 32), 8, "0") for i in (1, 11, 21, 31)]
+    return F.translate(F.concat(*eights), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> None:
