@@ -21,8 +21,7 @@ if __package__ in (None, ""):  # run as a file rather than with -m
 
 from valence.operators import classify, curves, metrics, split  # noqa: E402
 from valence.operators.latest import MONITORED_ROWS, latest_n  # noqa: E402
-from valence.session import written  # noqa: E402
-from valence.sources.csvfiles import LATIN_1, read_posts, write_posts  # noqa: E402
+from valence.sources.csvfiles import LATIN_1, read_posts, read_posts_and_rejects, write_posts  # noqa: E402
 from valence.sources.messages import (  # noqa: E402
     MESSAGE_SCHEMA,
     message_stream,
@@ -44,8 +43,20 @@ _STORE = T.StructType([*STORE_SCHEMA.fields, T.StructField("id", T.LongType())])
 _TOPIC_ORDER = ("partition", "offset")
 
 
+def _posts(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """The posts, as a table. Lines that do not fit are counted, and kept where ``--rejects`` says."""
+    line_sep = None if a.any_line_end else "\n"
+    posts, rejects = read_posts_and_rejects(
+        spark, a.posts, a.encoding, multi_line=not a.single_line, line_sep=line_sep
+    )
+    print(f"{a.posts}: {rejects.count()} lines rejected")
+    if a.post_rejects:
+        rejects.write.mode("overwrite").parquet(a.post_rejects)
+    return posts
+
+
 def split_posts(spark: SparkSession, a: argparse.Namespace) -> None:
-    posts = written(read_posts(spark, a.posts, a.encoding), "posts")
+    posts = _posts(spark, a)
     parts = split.exact_split(posts, "id", a.fraction, a.seed)
     for part, path in zip(parts, (a.train, a.live)):
         write_posts(split.seeded_shuffle(part, "id", a.seed), path, a.encoding)
@@ -53,8 +64,7 @@ def split_posts(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def train(spark: SparkSession, a: argparse.Namespace) -> None:
-    read = read_posts(spark, a.posts, a.encoding).select("id", "target", "text")
-    posts = written(read, "posts")
+    posts = _posts(spark, a).select("id", "target", "text")
     parts = split.hash_split(posts, "id", [0.8, 0.2], a.seed)
     rows, held_out = [classify.training_view(p) for p in parts]
     print(f"rows for training: {rows.count()}, held out: {held_out.count()}")
@@ -67,7 +77,7 @@ def train(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def publish_posts(spark: SparkSession, a: argparse.Namespace) -> None:
-    posts = read_posts(spark, a.posts, a.encoding)
+    posts = _posts(spark, a)
     if a.path:
         write_replay(posts, a.path, seed=a.seed, keep=("id",))
     else:
@@ -125,6 +135,10 @@ def _parser() -> argparse.ArgumentParser:
             p.add_argument(f"--{n}", required=True)
         p.add_argument("--seed", type=int, default=42)
         p.add_argument("--encoding", default=LATIN_1)
+        if "posts" in needed:
+            p.add_argument("--any-line-end", action="store_true", help="also \\r\\n or \\r ends a line")
+            p.add_argument("--single-line", action="store_true", help="no text has a line break; large files are split")
+            p.add_argument("--post-rejects", help="where to keep the lines that do not fit the schema")
         return p
 
     p = command("split", split_posts, "posts", "train", "live")

@@ -7,11 +7,10 @@ from pyspark.sql import types as T
 
 MONITORED_ROWS = 2000  # fixed size of the monitoring window
 _BITS = 12  # of the key's range looked at per pass: at most 8,192 counts
-_DIRECT = 5_000_000  # rows that go into a plain top-n
 
 
 def latest_n(
-    df: DataFrame, *order: str, n: int = MONITORED_ROWS, direct_rows: int = _DIRECT
+    df: DataFrame, *order: str, n: int = MONITORED_ROWS, direct_rows: int = 0
 ) -> DataFrame:
     """The ``n`` rows with the highest ``order`` (later columns break ties), newest first.
 
@@ -19,7 +18,10 @@ def latest_n(
     table of many thousand files would swamp. So a floor under the newest rows is looked
     up first: integer keys are counted per range (the key column alone is read, and only
     counts are shuffled) until few enough rows remain above the floor. The filter on the
-    floor reaches the scan, which skips the row groups and batch folders below it.
+    floor reaches the scan, which skips the row groups and batch folders below it. It is
+    looked up at every size of the table; a caller may stop the search as soon as no more
+    than ``direct_rows`` remain. Keys from the first one on that is not an integer have no
+    floor: order by an integer key first, or every task sends its ``n`` rows.
     """
     floor = _floor(df, order, n, max(direct_rows, n))
     newest = df if floor is None else df.filter(floor)

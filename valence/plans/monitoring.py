@@ -28,6 +28,9 @@ _ACCURACY = """count(*) AS n, sum(is_correct)::DOUBLE / count(*) * 100 AS accura
   (1 - sum(is_correct)::DOUBLE / count(*)) * 100 AS error"""
 
 
+_BLOCK = 500  # rows, so that small tables have many blocks too
+
+
 def _latest(spark, sf):
     return as_scored(latest_n(table(spark, sf, "events"), "event_id"))
 
@@ -99,11 +102,11 @@ def curves_unlabeled(spark, sf):
 
 
 def history_curves(spark, sf):
-    return curves.history_curves(scored(spark, sf), "event_id")
+    return curves.history_curves(scored(spark, sf), "event_id", min_block=_BLOCK)
 
 
 def history_curves_by_group(spark, sf):
-    return curves.history_curves(scored(spark, sf), "event_id", by=("event_type",))
+    return curves.history_curves(scored(spark, sf), "event_id", by=("event_type",), min_block=_BLOCK)
 
 
 def curve_bounds(spark, sf):
