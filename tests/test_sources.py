@@ -176,6 +176,17 @@ def test_snapshot_keeps_what_a_repeated_batch_needs(spark, tmp_path):
     assert read() == [12] and read(1) == [11] and read(0) == []
 
 
+def test_snapshot_is_passed_over_while_it_is_written(spark, tmp_path):
+    path = str(tmp_path / "state")
+    state = spark.createDataFrame([(1,), (2,)], "x int")
+    write_snapshot(state, 0, path)
+    write_snapshot(state.withColumn("x", F.col("x") * 10), 1, path)
+    (tmp_path / "state" / "batch-1" / "_SUCCESS").unlink()
+    assert sorted(r.x for r in read_snapshot(spark, path, state.schema).collect()) == [1, 2]
+    write_snapshot(state.withColumn("x", F.col("x") * 10), 1, path)  # the batch is run again
+    assert sorted(r.x for r in read_snapshot(spark, path, state.schema).collect()) == [10, 20]
+
+
 def test_records_that_do_not_fit_are_kept_apart(spark, tmp_path):
     lines = ["4,1,d,f,u,good", "four,2,d,f,u,bad type", "0,3,d,f,u,too,many", "0,4,d", '0,5,d,f,u,"two', 'lines"', ",,,,,"]
     (tmp_path / "p.csv").write_text("\n".join(lines) + "\n")

@@ -199,6 +199,15 @@ def test_rolling_after_a_failure(spark, tmp_path, stream, fail_once):
     assert (got["last"], got.rows, got.rolling_accuracy) == (119, 50, last[0])
 
 
+def test_rolling_does_not_go_on_without_its_state(spark, tmp_path, stream, monkeypatch):
+    from valence.streaming import monitoring
+
+    monkeypatch.setattr(monitoring, "write_snapshot", lambda df, batch_id, path: None)
+    path, progress = str(tmp_path / "r"), str(tmp_path / "p")
+    with pytest.raises(Exception, match="has no state of micro-batch 0"):
+        start_rolling(stream(_scored(spark, 120)), "id", path, progress, trigger=UNTIL_EMPTY).awaitTermination()
+
+
 def test_batch_without_rows(spark, tmp_path, model):
     folder = tmp_path / "in"
     folder.mkdir()

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 SCORED, REJECTED = "scored", "rejected"
+_SNAPSHOTS = 2  # states kept
 
 STORE_SCHEMA = T.StructType(
     [
@@ -41,26 +42,44 @@ def read_store(
 
 
 def write_snapshot(current: DataFrame, batch_id: int, path: str) -> None:
-    """Write the state after a micro-batch. The state before it is kept, older ones are not.
+    """Write the state after a micro-batch to its own folder; the last ``_SNAPSHOTS`` are kept.
 
-    A batch that is run again still finds what it started from.
+    A batch that is run again still finds what it started from, and a reader what it began to read.
     """
-    state = current.withColumn("snapshot_batch", F.lit(batch_id).cast("long"))
-    state.write.mode("overwrite").parquet(f"{path}/snapshot_slot={batch_id % 2}")
+    current.write.mode("overwrite").parquet(_snapshot(path, batch_id))
+    for old in finished_snapshots(current.sparkSession, path):
+        if old <= batch_id - _SNAPSHOTS:
+            folder, files = _files(current.sparkSession, _snapshot(path, old))
+            files.delete(folder, True)
 
 
 def read_snapshot(
     spark: SparkSession, path: str, schema: T.StructType, batch_id: int | None = None
 ) -> DataFrame:
-    """The state after a given micro-batch, or the newest; no rows if there is none."""
-    fields = [*schema.fields, T.StructField("snapshot_batch", T.LongType())]
-    if batch_id is not None:
-        state = _read(spark, f"{path}/snapshot_slot={batch_id % 2}", T.StructType(fields))
-        return state.filter(F.col("snapshot_batch") == batch_id).drop("snapshot_batch")
-    slot = T.StructField("snapshot_slot", T.IntegerType())
-    states = _read(spark, path, T.StructType([*fields, slot]))
-    newest = states.agg(F.max("snapshot_batch")).scalar()
-    return states.filter(F.col("snapshot_batch") == newest).select(schema.names)
+    """The state after a given micro-batch, or the newest that is complete; no rows if there is none.
+
+    A folder without Spark's mark of success is still being written, and is passed over.
+    """
+    done = finished_snapshots(spark, path)
+    wanted = max(done, default=-1) if batch_id is None else batch_id
+    if wanted in done:
+        return spark.read.schema(schema).parquet(_snapshot(path, wanted))
+    return spark.createDataFrame([], schema)
+
+
+def _snapshot(path: str, batch_id: int) -> str:
+    return f"{path}/batch-{batch_id}"
+
+
+def _files(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def finished_snapshots(spark: SparkSession, path: str) -> set[int]:
+    """The micro-batches with a complete snapshot, of which there are few."""
+    marks, files = _files(spark, f"{path}/batch-*/_SUCCESS")
+    return {int(f.getPath().getParent().getName().removeprefix("batch-")) for f in files.globStatus(marks) or []}
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

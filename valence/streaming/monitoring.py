@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from valence.operators.curves import ROLLING_ROWS, with_correctness
 from valence.operators.metrics import overview
-from valence.sources.store import read_snapshot, write_snapshot
+from valence.sources.store import finished_snapshots, read_snapshot, write_snapshot
 
 
 def start_metrics(
@@ -46,6 +46,8 @@ def start_rolling(
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         before = read_snapshot(batch.sparkSession, path, narrow.schema, batch_id - 1)
+        if batch_id and batch_id - 1 not in finished_snapshots(batch.sparkSession, path):
+            raise ValueError(f"{path} has no state of micro-batch {batch_id - 1}")
         write_snapshot(last_rows(before.unionByName(batch), order, by), batch_id, path)
 
     writer = narrow.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
