@@ -12,10 +12,12 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
+from valence import session  # noqa: E402
 from valence.llm import (  # noqa: E402
     decontaminate, exactdedup, licenses, lmscore, neardedup, packing, pii, queries, toxicity, urlfilter, warc,
 )
@@ -300,3 +302,56 @@ def test_pipeline(spark, docs):
     kept = {i for i, t in kept.items() if not any(x in norm(t) for x in items)}
     out = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in out} == kept
+
+
+def test_rows_keep_their_numbers_when_files_are_cut_differently(spark, tmp_path_factory, monkeypatch):
+    """Each table written changes how files are cut from then on, as executors that come and go do."""
+    texts = [f"{_text(k, 40)} {'Released under the MIT License.' if k % 3 == 0 else ''}" for k in range(12)]
+    texts += [texts[1], texts[5], texts[7] + " tail", texts[8] + " tail"]
+    folder = tmp_path_factory.mktemp("cut")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(folder / "docs"))
+    table = spark.read.parquet(str(folder / "docs"))
+    items = spark.createDataFrame([(k, texts[k]) for k in (2, 4)], "item_id long, text string")
+    fake = "x WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    pages = [(k, f"u{k}", t if k % 2 else fake * k) for k, t in enumerate(texts)] + [(99, "u", fake * 8)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2).write.parquet(str(folder / "pages"))
+    pages = spark.read.parquet(str(folder / "pages"))
+    runs = {
+        "exact": lambda: exactdedup.without_copies(table), "near": lambda: neardedup.without_near_copies(table),
+        "leaks": lambda: decontaminate.contamination(table, items), "clean": lambda: decontaminate.decontaminated(table, items),
+        "scores": lambda: lmscore.lm_scores(table, use=training_part("doc_id", 1)),
+        "licenses": lambda: licenses.license_matches(table, queries.templates(spark)), "warc": lambda: warc.archived(pages).drop("file", "offset"),
+    }
+    sizes = {"128m": "1500", "1500": "128m"}
+
+    def shifted(df, purpose):
+        out = session.written(df, purpose)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", sizes.get(spark.conf.get("spark.sql.files.maxPartitionBytes"), "1500"))
+        return out
+
+    def rows(name):
+        return sorted(str({k: round(v, 9) if isinstance(v, float) else v for k, v in r.asDict().items() if k != "row"}) for r in runs[name]().collect())
+
+    want = {name: rows(name) for name in runs}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for module in (decontaminate, exactdedup, licenses, lmscore, neardedup, warc):
+        monkeypatch.setattr(module, "written", shifted)
+    got = {}
+    try:
+        for name in runs:
+            for first in sizes:
+                spark.conf.set("spark.sql.files.maxPartitionBytes", first)
+                got[name, first] = rows(name)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [k for k in got if got[k] != want[k[0]]] == []
+
+
+def test_numbers_of_rows(spark, odd):
+    from valence.llm.common import ROW, fixed
+
+    many = odd.unionByName(odd).withColumn("twice", F.explode(F.array(F.lit(1), F.lit(2))))
+    for table, n in ((odd, 14), (odd.filter("doc_id IS NOT NULL").select("text"), 13), (many, 56), (odd.sample(0.99, 1), None), (odd.limit(0), 0)):
+        numbers = [r[0] for r in fixed(table).select(ROW).collect()]
+        assert len(set(numbers)) == len(numbers) and n in (None, len(numbers))
+    assert [r[0] for r in fixed(odd, "text").orderBy(ROW).select(ROW).collect()] == [r[0] for r in fixed(odd).orderBy(ROW).select(ROW).collect()]

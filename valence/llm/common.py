@@ -12,7 +12,11 @@ import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from valence.session import written
+
 PIECE = 4 << 20
+#: The column with the numbers that ``fixed`` gives, and the bits of it that count the rows of a file.
+ROW, _INDEX_BITS = "_valence_row", 36
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
 
@@ -24,16 +28,51 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def numbered(docs: DataFrame, text: str, *also: str) -> DataFrame:
     """``row`` (a number of each row), ``body`` (the text, null as empty) and the columns named.
 
-    Rows are told apart by this number, so ids may repeat or be null. It is stable as long as
-    ``docs`` is a table, or narrow steps on one; write anything else to a table first.
+    Rows are told apart by this number, so ids may repeat or be null. It is the number of ``fixed`` if ``docs``
+    has one; without it, it holds for a single scan only, as it depends on how Spark cuts the files.
     """
     return docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias("row"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"),
         *[F.col(c).alias(f"own_{c}") for c in also],
     )
 
 
+def fixed(docs: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` (or these columns of it) with ROW: a number of each row that is the same in every scan.
+
+    Rows of a Parquet table are numbered by their file and their place in it, which don't depend on how the files
+    are cut into tasks. Anything else is numbered and written to a table once.
+    """
+    if ROW in docs.columns:
+        return docs
+    kept = docs.select(*dict.fromkeys(columns)) if columns else docs
+    if not _one_table(docs):
+        return written(kept.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    place = docs.metadataColumn("_metadata")
+    paths = sorted(r[0] for r in docs.select(place["file_path"]).distinct().collect())
+    if len(paths) < 2:
+        return kept.withColumn(ROW, place["row_index"])
+    numbers = [(path, n << _INDEX_BITS) for n, path in enumerate(paths)]
+    files = docs.sparkSession.createDataFrame(numbers, "_valence_file string, _valence_first long")
+    rows = kept.withColumn("_valence_file", place["file_path"]).withColumn(ROW, place["row_index"])
+    rows = rows.join(F.broadcast(files), "_valence_file")
+    return rows.withColumn(ROW, F.col(ROW) + F.col("_valence_first")).drop("_valence_file", "_valence_first")
+
+
+def _one_table(docs: DataFrame) -> bool:
+    """Whether ``docs`` is columns and rows of one Parquet table, each row at most once and the same in every scan."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    table = plan.relation()
+    return table.fileFormat().toString() == "Parquet" and table.location().rootPaths().size() == 1
+
+
 def training_part(id_column: str, part: int) -> Column:
     """True where crc32 of the id as text leaves another remainder by 5 than ``part``, or there is no id."""
     left = F.pmod(F.crc32(F.col(id_column).cast("string")), F.lit(5))

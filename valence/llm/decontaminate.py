@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from valence.llm.common import Words, bloom_filter, may_hold, mixed, numbered, pieces, signed, signed_back, words_of
+from valence.llm.common import ROW, Words, bloom_filter, fixed, may_hold, mixed, numbered, pieces, signed, signed_back, words_of
 from valence.session import written
 
 #: Fixed masks: a window's words at the ones make the seed.
@@ -74,8 +74,8 @@ def benchmark_hits(
     item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """row, item_id, matched (words), item_words: a row for each text and each item found in it."""
-    body = numbered(docs, text, id_column).select("row", "body")
-    items = numbered(benchmark, item_text, item_id)
+    body = numbered(fixed(docs, id_column, text), text, id_column).select("row", "body")
+    items = numbered(fixed(benchmark, item_id, item_text), item_text, item_id)
     # Every item passes the filter of its own numbers.
     words = words_of(items, items.select("row")).join(items.select("row", F.col(f"own_{item_id}").alias("item_id")), "row")
     known = (
@@ -125,11 +125,12 @@ def benchmark_hits(
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", **names: str) -> DataFrame:
     """A row per row of ``docs``: row, id, contaminated, n_items, first_item, most_matched."""
+    docs = fixed(docs, id_column, text)
     hits = benchmark_hits(docs, benchmark, id_column, text, **names)
     found = hits.groupBy("row").agg(
         F.count(F.lit(1)).alias("n_items"), F.min("item_id").alias("first_item"), F.max("matched").alias("most_matched")
     )
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"))
+    rows = docs.select(F.col(ROW).alias("row"), F.col(id_column).alias("id"))
     return rows.join(found, "row", "left").select(
         "row", "id", F.col("n_items").isNotNull().alias("contaminated"),
         F.coalesce("n_items", F.lit(0)).alias("n_items"), "first_item", "most_matched",
@@ -138,5 +139,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no item was found, with all their columns."""
-    found = benchmark_hits(docs, benchmark, id_column, text).select(F.col("row").alias("_row")).distinct()
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(found, "_row", "left_anti").drop("_row")
+    docs = fixed(docs)
+    found = benchmark_hits(docs, benchmark, id_column, text).select(F.col("row").alias(ROW)).distinct()
+    return docs.join(found, ROW, "left_anti").select(*[c for c in docs.columns if c != ROW])

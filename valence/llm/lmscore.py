@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from valence.llm.common import Words, mixed, numbered, pieces, signed, signed_back
+from valence.llm.common import Words, fixed, mixed, numbered, pieces, signed, signed_back
 from valence.session import written
 
 BITS, LIMIT, SEGMENT = 6, 128 << 20, 512 << 10
@@ -268,6 +268,7 @@ def lm_scores(
     ``use`` (a condition on ``docs``) says from which rows to learn; the others are held out.
     """
     learnt = F.lit(True) if use is None else F.coalesce(use, F.lit(False))
+    docs = fixed(docs)
     rows = numbered(docs.withColumn("_held", ~learnt), text, id_column, "_held").select(
         "row", F.col(f"own_{id_column}").alias("id"), F.col("own__held").alias("held_out"), "body"
     )

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from valence.llm.common import (
-    Words, bloom_filter, may_hold, mixed, numbered, pieces, shingles, signed, signed_back, spread,
+    ROW, Words, bloom_filter, fixed, may_hold, mixed, numbered, pieces, shingles, signed, signed_back, spread,
 )
 from valence.llm.components import components
 from valence.session import written
@@ -275,8 +275,9 @@ def _unsettled(rows: DataFrame, classes: DataFrame, sketches: DataFrame, checked
 
 def without_near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with all their columns."""
-    stay = near_groups(docs, id_column, text).filter("kept").select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(stay, "_row", "left_semi").drop("_row")
+    docs = fixed(docs)
+    stay = near_groups(docs, id_column, text).filter("kept").select(F.col("row").alias(ROW))
+    return docs.join(stay, ROW, "left_semi").select(*[c for c in docs.columns if c != ROW])
 
 
 def near_groups(
@@ -284,7 +285,7 @@ def near_groups(
     width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS,
 ) -> DataFrame:
     """A row per row of ``docs``: row, id, class_id, class_size, kept (one of each class)."""
-    body = numbered(docs, text, id_column)
+    body = numbered(fixed(docs, id_column, text), text, id_column)
     body = body.select("row", "body", F.col(f"own_{id_column}").alias("id"))
     signs = written(
         body.mapInArrow(

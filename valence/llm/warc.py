@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from valence.llm.common import ROW, fixed
 from valence.session import removed_at_end, shared_dir, written
 
 MAGIC = "WARC/1."
@@ -38,8 +39,8 @@ def base32_sha1(payload: Column) -> Column:
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> None:
     """Write a record per page below ``path``. Payloads of at least ``least`` bytes that repeat become revisits."""
-    rows = pages.select(
-        F.monotonically_increasing_id().alias("row"), F.col(page_id).cast("string").alias("page"),
+    rows = fixed(pages, page_id, url, html).select(
+        F.col(ROW).alias("row"), F.col(page_id).cast("string").alias("page"),
         F.col(page_id).alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"),
     )
     body = F.col("html").cast("binary")
@@ -68,10 +69,14 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
-    """What is between two magics, with the file, the split and the order in it."""
+    """What is between two magics, with the file, the split and the order in it, and a digest.
+
+    Split and order hold for this scan only; in another one the bytes are known by file and digest.
+    """
     return spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("value").cast("binary").alias("bytes"), "value", F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"),
+        F.unhex(F.sha2(F.col("value").cast("binary"), 256)).alias("sha"),
     )
 
 
@@ -96,7 +101,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     whole = headed & inside & http.isNotNull() & (F.col("length") >= http)
     read = written(
         chunk.select(
-            "file", "split", "seq", (F.length("bytes") + len(MAGIC)).alias("size"),
+            "file", "split", "seq", "sha", (F.length("bytes") + len(MAGIC)).alias("size"),
             F.when(headed & F.col("length").isNotNull(), header + F.col("length") + len(END)).alias("ahead"),
             _field("WARC-Type").alias("record_type"), page.try_cast("bigint").alias("page_id"),
             refers.try_cast("bigint").alias("refers_to"), _field("WARC-Payload-Digest").alias("stated"),
@@ -134,14 +139,14 @@ def reached(links: DataFrame) -> DataFrame:
 
 
 def _owned(placed: DataFrame) -> DataFrame:
-    """file, seq, offset and ``record``: the offset of the last record that begins at the chunk or before."""
+    """file, sha, offset and ``record``: the offset of the last record that begins at the chunk or before."""
     begun = F.when(F.col("real"), F.col("offset"))
     last = placed.groupBy("file", "split").agg(F.max(begun).alias("last"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     carry = last.select("file", "split", F.max("last").over(before).alias("carry"))
     here = Window.partitionBy("file", "split").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     rows = placed.withColumn("mine", F.max(begun).over(here)).join(carry, ["file", "split"])
-    return rows.select("file", "seq", "offset", F.coalesce("mine", "carry").alias("record"))
+    return rows.select("file", "sha", "offset", F.coalesce("mine", "carry").alias("record"))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -155,9 +160,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     records = placed.filter("real")
     cut = records.filter("payload_digest IS NULL AND length IS NOT NULL").select("file", F.col("offset").alias("record"), "header", "length")
     # The inside of a payload belongs to the last record before it.
-    inner = _owned(placed).join(cut, ["file", "record"])
-    bytes_ = _chunks(spark, path).select("file", "seq", "bytes").join(written(inner, "inner"), ["file", "seq"])
-    joined = bytes_.groupBy("file", "record", "header", "length").agg(
+    inner = written(_owned(placed).join(cut, ["file", "record"]), "inner")
+    held = _chunks(spark, path).select("file", "sha", "bytes").join(inner.select("file", "sha"), ["file", "sha"], "left_semi")
+    # Once each, and as a table, so that the join can split the chunks of a hot content.
+    held = written(held.dropDuplicates(["file", "sha"]), "bytes")
+    joined = inner.join(held, ["file", "sha"]).groupBy("file", "record", "header", "length").agg(
         F.array_sort(F.collect_list(F.struct("offset", F.concat(F.lit(MAGIC).cast("binary"), F.col("bytes")).alias("bytes")))).alias("chunks")
     )
     whole = F.aggregate("chunks", F.lit(b""), lambda a, c: F.concat(a, c["bytes"]))
