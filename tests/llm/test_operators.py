@@ -355,3 +355,33 @@ def test_numbers_of_rows(spark, odd):
         numbers = [r[0] for r in fixed(table).select(ROW).collect()]
         assert len(set(numbers)) == len(numbers) and n in (None, len(numbers))
     assert [r[0] for r in fixed(odd, "text").orderBy(ROW).select(ROW).collect()] == [r[0] for r in fixed(odd).orderBy(ROW).select(ROW).collect()]
+
+
+def test_every_overlap_of_a_short_item_is_found(spark, tmp_path_factory):
+    """All patterns of up to three replaced words in items of 5 to 16 words, and in one of 19 more of them, against brute force."""
+    import itertools
+
+    def matched(same):
+        now = equal = score = best = 0
+        for s in same:
+            now = max(0, now + (1 if s else -2))
+            equal = equal + s if now else 0
+            if now > score:
+                score, best = now, equal
+        return best if score >= 5 else 0
+
+    items, rows, want = [], [], set()
+    for n in (*range(5, 17), 19):
+        words = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        for replaced in itertools.chain.from_iterable(itertools.combinations(range(n), r) for r in range(4 if n < 19 else 6)):
+            found = matched([k not in replaced for k in range(n)])
+            text = " ".join("zz" if k in replaced else w for k, w in enumerate(words))
+            rows.append((len(rows), f"before it {text} after it"))
+            if found >= math.ceil(decontaminate.COVER * n) or found >= decontaminate.ENOUGH:
+                want.add((rows[-1][0], n))
+    path = str(tmp_path_factory.mktemp("short") / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    got = decontaminate.contamination(spark.read.parquet(path), spark.createDataFrame(items, "item_id long, text string")).filter("contaminated")
+    found = {(r.id, r.first_item) for r in got.collect()}
+    assert (sorted(want - found)[:5], sorted(found - want)[:5]) == ([], [])

@@ -11,9 +11,12 @@ the text at that shift. The best stretch (+1 for an equal word, -2 for another)
 to count, and the equal words of the counting stretches of a text and an item are added up over the shifts, as
 an inserted or lost word moves the rest. An item is found if they are COVER of it, or ENOUGH words.
 
-Words are runs of letters and digits in lower case. Items of fewer words than the masks' span are looked up by a
-mask of their own length; items of fewer than LEAST words are no evidence and are never found. Items with equal words
-are looked up once and reported by the smallest id. Null texts count as empty and are clean.
+Items of fewer than BRIEF words have masks of their own, which miss nothing: the shortest stretch that scores SCORE has
+x other words and SCORE + 3 x words in all, and begins and ends with three equal words, as a shorter one would score as
+much otherwise. So the first and last three words of such stretches are the seeds, one mask for each x that fits.
+
+Words are runs of letters and digits in lower case. Items of fewer than LEAST words are no evidence and are never found. Items
+with equal words are looked up once and reported by the smallest id. Null texts count as empty and are clean.
 """
 
 from __future__ import annotations
@@ -27,40 +30,47 @@ from pyspark.sql import DataFrame, functions as F
 from valence.llm.common import ROW, Words, bloom_filter, fixed, may_hold, mixed, numbered, pieces, signed, signed_back, words_of
 from valence.session import written
 
-#: Fixed masks: a window's words at the ones make the seed.
+LEAST, BRIEF, SCORE, COVER, ENOUGH = 5, 20, 5, 0.7, 13
+#: Fixed masks: a window's words at the ones make the seed. Those of longer items, then those of items below BRIEF words.
 MASKS = ("110101101011", "101100110111", "111011010011", "11011111")
-LEAST, SCORE, COVER, ENOUGH = 5, 5, 0.7, 13
+BRIEF_MASKS = ("11111", *("111" + "0" * (span - 6) + "111" for span in range(SCORE + 3, BRIEF, 3)))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _masks(extra: list[int]) -> list[np.ndarray]:
-    own = [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == 0x31) for m in MASKS]
-    return own + [np.arange(n) for n in extra]
+def _masks(brief: set[bool]) -> list[tuple[int, bool, np.ndarray]]:
+    """Number, whether it is for items below BRIEF words, and places: of the masks that there are items for."""
+    every = [(m, False) for m in MASKS] + [(m, True) for m in BRIEF_MASKS]
+    return [
+        (number, of, np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == 0x31))
+        for number, (m, of) in enumerate(every) if of in brief
+    ]
 
 
-def seeds(words: Words, masks: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each mask: hashes of all its windows, and the first word of each."""
-    for number, mask in enumerate(masks):
+def seeds(words: Words, masks: list[tuple[int, bool, np.ndarray]]) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """For each mask: whether it is for brief items, hashes of all its windows, and the first word of each."""
+    for number, brief, mask in masks:
         span = int(mask[-1]) + 1
         n = max(0, len(words.hash) - span + 1)
-        h = np.full(n, np.uint64(len(mask) if number >= len(MASKS) else 1000 + number), np.uint64)
+        h = np.full(n, np.uint64(1000 + number), np.uint64)
         with np.errstate(over="ignore"):
             for k in mask:
                 h = h * _STEP + words.hash[k : k + n]
         at = np.flatnonzero(words.text[:n] == words.text[span - 1 : span - 1 + n])
-        yield mixed(h[at]), at
+        yield brief, mixed(h[at]), at
+
 
+def _seeding(masks: list[tuple[int, bool, np.ndarray]], held=None):
+    """Seeds of items; with the filter ``held`` those of texts that it may hold."""
 
-def _seeding(masks: list[np.ndarray], held=None):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch["row"].to_numpy()
             for i, data, bounds in pieces(batch["body"]):
                 w = Words(data, bounds, "plain")
-                for h, at in seeds(w, masks):
-                    if held is not None:
-                        keep = may_hold(held.value, h)
-                        h, at = h[keep], at[keep]
+                sizes = np.diff(w.first)
+                for brief, h, at in seeds(w, masks):
+                    keep = (sizes[w.text[at]] < BRIEF) == brief if held is None else may_hold(held.value, h)
+                    h, at = h[keep], at[keep]
                     text = w.text[at]
                     yield pa.record_batch(
                         [pa.array(row[i + text]), pa.array(at - w.first[text]), pa.array(signed(h))], ["row", "at", "seed"]
@@ -84,8 +94,7 @@ def benchmark_hits(
         .agg(F.min("item_id").alias("item_id"), F.min("row").alias("item"))
     )
     known = written(known, "items")
-    short = [r.n for r in known.select(F.size("words").alias("n")).filter(F.col("n") < max(map(len, MASKS))).distinct().collect()]
-    masks = _masks(sorted(short))
+    masks = _masks({r.brief for r in known.select((F.size("words") < BRIEF).alias("brief")).distinct().collect()})
     chosen = items.join(known.select(F.col("item").alias("row")), "row", "left_semi").select("row", "body")
     seeded = written(chosen.mapInArrow(_seeding(masks), "row long, at long, seed long"), "seeds")
     held = bloom_filter(seeded, "seed")
@@ -118,7 +127,8 @@ def benchmark_hits(
     return (
         scored.groupBy("row", "item_id", "item_words")
         .agg(F.sum(F.when(F.col("best.score") >= F.least(F.lit(SCORE), "item_words"), F.col("best.matched"))).alias("matched"))
-        .withColumn("matched", F.least("matched", F.col("item_words").cast("long")))
+        # No stretch that counts is no match: least() alone would pass over the null and give all words.
+        .withColumn("matched", F.least(F.coalesce("matched", F.lit(0)), F.col("item_words").cast("long")))
         .filter((F.col("matched") >= F.ceil(COVER * F.col("item_words"))) | (F.col("matched") >= ENOUGH))
     )
 
