@@ -385,3 +385,19 @@ def test_every_overlap_of_a_short_item_is_found(spark, tmp_path_factory):
     got = decontaminate.contamination(spark.read.parquet(path), spark.createDataFrame(items, "item_id long, text string")).filter("contaminated")
     found = {(r.id, r.first_item) for r in got.collect()}
     assert (sorted(want - found)[:5], sorted(found - want)[:5]) == ([], [])
+
+
+def test_long_candidates_are_proposed_whole(spark):
+    texts = [
+        "secret=" + "a1" * 150, "x" * 30, "a" * 100 + "@" + "b" * 300, "n " + "1234 " * 9 + ".", "7" * 40,
+        "v 1.2.3.4.5.6.7.8.9.10", "v 1.2.1234567", "9" * 20000 + " " + "1." * 5000 + "1", "1.2.3 123456",
+    ]
+    rows = pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.id: sorted((pii.KINDS[x.kind], x.match) for x in r.wider) for r in rows}
+    want = [("token", "a1" * 150)], [("token", "x" * 30)], [("address", texts[2])], [("number", texts[3][2:-2])], [("number", "7" * 40)], \
+        [("dotted", texts[5][2:])], [("dotted", texts[6][2:])], [("number", texts[7]), ("dotted", texts[7].split()[1])]
+    for k, spans in enumerate(want):
+        assert set(spans) <= set(got[k]), (k, [(a, b[:40], len(b)) for a, b in got[k]])
+    assert got[8] == [("dotted", "1.2.3"), ("number", "1.2.3 123456"), ]
+    assert all(len(set((x.kind, x.start, x.end) for x in r.wider)) == len(r.wider) for r in rows)
+    assert all(texts[r.id][x.start : x.end] == x.match for r in rows for x in r.wider)

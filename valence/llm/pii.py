@@ -42,9 +42,13 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "number": r"(?<![0-9])[0-9](?:[\x20().-]{0,2}[0-9]){5,24}",
     "dotted": r"(?<![0-9.])[0-9]{1,5}(?:\.[0-9]{1,5}){2,7}",
-    "address": r"(?<!\S)[^\s@]{1,64}@[^\s@]{1,255}",
-    "token": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,200}(?![A-Za-z0-9_-])",
+    "address": r"(?<!\S)[^\s@]++@[^\s@]++",
+    "token": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+",
 }
+#: What is longer than the patterns above take is proposed whole too, beside their parts, as a part may lie beside the base where the whole doesn't.
+LONGER = {"number": r"(?<![0-9])[0-9](?:[\x20().-]{0,2}[0-9]){25,}+", "dotted": r"(?<![0-9.])[0-9]++(?:\.[0-9]++){2,}+"}
+#: What a text must have for a kind; a token needs nothing.
+NEEDS = {"email": "@", "address": "@", "token": ""} | dict.fromkeys(("ip", "card", "phone", "number", "dotted"), "[0-9]")
 _SECRET = r"(?i)(token|secret|key|passw(or)?d|pwd)[\"']?\s*[:=]\s*[\"']?$"
 FEATURES = (
     "length", "digits", "letters", "others", "groups", "dots", "at", "upper", "starts_digit", "ends_digit",
@@ -52,11 +56,11 @@ FEATURES = (
 )
 
 
-def matches(kind: str, body: Column) -> Column:
-    """The matches of a pattern (of a base kind those that pass its check), as structs with kind, start, end, match, and what is before and after."""
-    pattern = F.lit(PATTERNS[kind])
-    found = F.regexp_extract_all(body, pattern, F.lit(0))
-    gaps = F.split(body, PATTERNS[kind], -1)
+def matches(kind: str, body: Column, longer: bool = False) -> Column:
+    """The matches of a pattern, or of the one for longer ones (of a base kind those that pass its check), as structs with kind, start, end, match, and what is before and after."""
+    pattern = (LONGER if longer else PATTERNS)[kind]
+    found = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
+    gaps = F.split(body, pattern, -1)
     # Places: a running sum over gaps and matches.
     def step(s, x):
         start = s["at"] + F.length(x["gap"])
@@ -65,6 +69,8 @@ def matches(kind: str, body: Column) -> Column:
             x["match"].alias("match"), F.right(x["gap"], F.lit(BESIDE)).alias("before"), F.left(x["next"], F.lit(BESIDE)).alias("after"),
         )
         good = passes(span) if KINDS.index(kind) < 4 else F.lit(True)
+        if longer and kind == "dotted":  # not what the other pattern takes whole
+            good = ~x["match"].rlike(r"^[0-9]{1,5}(\.[0-9]{1,5}){2,7}$")
         # Only what counts is kept, as each addition copies the list.
         return F.struct(span["end"].alias("at"), F.when(good, F.array_append(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
 
@@ -115,8 +121,15 @@ def listed(spans: Column) -> Column:
 def spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """row, id, h (hash of the text), ``base`` and ``wider`` (the spans of the base, and all candidates)."""
     body = F.col("body")
-    any_at_all = body.rlike("[0-9@]")  # every pattern of the base and every candidate that counts has one of them
-    found = {k: F.when(any_at_all, matches(k, body)).otherwise(F.lit([]).cast(_SPANS)) for k in KINDS}
+    none = F.lit([]).cast(_SPANS)
+
+    def all_of(kind: str) -> Column:
+        parts = matches(kind, body)
+        if kind in LONGER:
+            parts = F.concat(parts, matches(kind, body, longer=True))
+        return F.when(body.rlike(NEEDS[kind]), parts).otherwise(none) if NEEDS[kind] else parts
+
+    found = {k: all_of(k) for k in KINDS}
     rows = numbered(docs, text, id_column).select(
         "row", F.col(f"own_{id_column}").alias("id"), F.xxhash64("body").alias("h"), *[found[k].alias(k) for k in KINDS]
     )
