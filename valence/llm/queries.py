@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from valence.llm import (
-    decontaminate, exactdedup, licenses, lmscore, neardedup, packing, pii, toxicity, urlfilter, warc,
+    alignment, decontaminate, exactdedup, fillmiddle, licenses, lmscore, neardedup, packing, pii, toxicity, urlfilter, warc,
 )
 from valence.llm.common import table, training_part
 
@@ -108,11 +108,21 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    paths = [alignment.installed(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    found = alignment.alignment(table(spark, sf, "documents"), *paths)
+    return found.select(F.col("id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    return _doc_id(fillmiddle.fill_in_middle(table(spark, sf, "documents"), outputs=False))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_decontamination, op3_lm_scoring, op4_toxicity, op5_license_scan, op6_url_filter,
-        op7_exact_dedup, op8_near_dedup, op9_packing, op10_pii,
+        op7_exact_dedup, op8_near_dedup, op9_packing, op10_pii, op11_alignment, op13_fill_in_middle,
     )
 }
 
@@ -150,4 +160,23 @@ grouped AS (
   SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
          sha256(body) AS text_sha256 FROM plain)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM grouped""",
+    "op13_fill_in_middle": r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS body, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+drawn AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS c1,
+    CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS c2, CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS c3,
+    CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS c4 FROM units),
+cuts AS (
+  SELECT doc_id, body, n, array_to_string(u[1:least(c1, c2)], '') AS pre,
+    array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS mid, array_to_string(u[greatest(c1, c2) + 1:n], '') AS suf,
+    CASE WHEN body = '' OR c3 >= 50 OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') THEN 'plain'
+      WHEN c4 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(body) AS restored_sha256
+FROM cuts""",
 }
