@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from valence.llm import (
-    alignment, decontaminate, exactdedup, fillmiddle, licenses, lmscore, neardedup, packing, pii, toxicity, urlfilter, warc,
+    alignment, decontaminate, exactdedup, fillmiddle, licenses, lmscore, neardedup, packing, pii, suffixes,
+    toxicity, urlfilter, warc,
 )
 from valence.llm.common import table, training_part
 
@@ -114,6 +115,11 @@ def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffixes.without_repeats(table(spark, sf, "documents"), kept_text=False)
+    return _doc_id(found.select("id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
     return _doc_id(fillmiddle.fill_in_middle(table(spark, sf, "documents"), outputs=False))
 
@@ -122,7 +128,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_decontamination, op3_lm_scoring, op4_toxicity, op5_license_scan, op6_url_filter,
-        op7_exact_dedup, op8_near_dedup, op9_packing, op10_pii, op11_alignment, op13_fill_in_middle,
+        op7_exact_dedup, op8_near_dedup, op9_packing, op10_pii, op11_alignment,
+        op12_suffix_dedup, op13_fill_in_middle,
     )
 }
 
