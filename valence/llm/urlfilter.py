@@ -99,21 +99,21 @@ def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 stack.add(r.key, r.path, r.verdict, r.rule)
             else:
                 rule, verdict = stack.judge(r.key, r.path)
-                out.append((r.id, r.host, r.path, rule, verdict))
-        found = pd.DataFrame(out, columns=["id", "host", "path", "rule", "verdict"])
-        found["id"] = found["id"].astype("Int64")
-        yield found
+                out.append((r.id, r.none, r.host, r.path, rule, verdict))
+        yield pd.DataFrame(out, columns=["id", "none", "host", "path", "rule", "verdict"]).astype({"id": "int64", "none": "bool"})
 
 
 def judged(urls: DataFrame, rules: DataFrame, id_column: str = "page_id", url: str = "url") -> DataFrame:
     """A row per row of ``urls``: id, host, path, rule, verdict. ``rules`` has host, path and verdict (allow or block)."""
     spark = urls.sparkSession
     host, path = host_of(F.col(url))
-    mine = urls.select(F.col(id_column).cast("long").alias("id"), host.alias("host"), path.alias("path"), F.xxhash64(F.monotonically_increasing_id()).alias("tie"))
+    # Ids are never null in pandas, where numbers beside nulls become floats.
+    own = F.col(id_column).cast("long")
+    mine = urls.select(F.coalesce(own, F.lit(0)).alias("id"), own.isNull().alias("none"), host.alias("host"), path.alias("path"), F.xxhash64(F.monotonically_increasing_id()).alias("tie"))
     none = F.lit(None).cast("string")
-    mine = mine.select("id", "host", "path", "tie", host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), none.alias("verdict"), none.alias("rule"))
+    mine = mine.select("id", "none", "host", "path", "tie", host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), none.alias("verdict"), none.alias("rule"))
     given = rules.filter(F.col("host").isNotNull() & F.col("path").isNotNull()).select(
-        F.lit(None).cast("long").alias("id"), F.lower("host").alias("host"), "path", F.lit(0).cast("long").alias("tie"),
+        F.lit(0).cast("long").alias("id"), F.lit(True).alias("none"), F.lower("host").alias("host"), "path", F.lit(0).cast("long").alias("tie"),
         host_key(F.lower("host")).alias("key"), F.lit(0).alias("kind"), "verdict", F.concat(F.lower("host"), F.col("path")).alias("rule"),
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -122,7 +122,8 @@ def judged(urls: DataFrame, rules: DataFrame, id_column: str = "page_id", url: s
     # Any keys will do as bounds, so long ones are cut.
     drawn = sorted((r.key, r.tie) for r in mine.select(F.substring("key", 1, 256).alias("key"), "tie").sample(share, 7).collect())
     bounds = sorted({drawn[k * len(drawn) // parts] for k in range(1, parts)}) if drawn else []
-    columns = "id long, host string, path string, tie long, key string, kind int, verdict string, rule string, part long"
+    columns = "id long, none boolean, host string, path string, tie long, key string, kind int, verdict string, rule string, part long"
     dealt = mine.unionByName(given).mapInPandas(_dealt(bounds), columns)
-    ordered = dealt.repartition(parts, "part").sortWithinPartitions("part", "key", "kind", "tie")
-    return ordered.mapInPandas(_sweep, "id long, host string, path string, rule string, verdict string")
+    ordered = dealt.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "key", "kind", "tie")
+    swept = ordered.mapInPandas(_sweep, "id long, none boolean, host string, path string, rule string, verdict string")
+    return swept.select(F.when(~F.col("none"), F.col("id")).alias("id"), "host", "path", "rule", "verdict")
