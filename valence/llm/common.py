@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from valence.session import written
 
 PIECE = 4 << 20
-#: The column with the numbers that ``fixed`` gives, and the bits of it that count the rows of a file.
-ROW, _INDEX_BITS = "_valence_row", 36
+#: What marks the column with the numbers that ``fixed`` gives (its name is one that is free), and the bits that count the rows of a file.
+_MARK, _INDEX_BITS = "valence.row", 36
+#: Bytes of file names up to which the table of their numbers is broadcast.
+NAMES = 8 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
 
@@ -32,32 +34,58 @@ def numbered(docs: DataFrame, text: str, *also: str) -> DataFrame:
     has one; without it, it holds for a single scan only, as it depends on how Spark cuts the files.
     """
     return docs.select(
-        (F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias("row"),
+        row_of(docs),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"),
         *[F.col(c).alias(f"own_{c}") for c in also],
     )
 
 
+def row_column(docs: DataFrame) -> str | None:
+    """The name of the column that ``fixed`` added. It is known by a mark in the schema, so columns of users may have any name."""
+    return next((f.name for f in docs.schema if f.metadata.get(_MARK)), None)
+
+
+def row_of(docs: DataFrame) -> Column:
+    """Its number, under no mark, so that tables made from it can have several rows of a number."""
+    name = row_column(docs)
+    return (docs[name] if name else F.monotonically_increasing_id()).alias("row", metadata={_MARK: False})
+
+
+def of_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` (from ``fixed``) whose number is among those of ``rows`` (left_semi) or isn't (left_anti), without the number."""
+    name = row_column(docs)
+    found = rows.select(F.col("row").alias(name))
+    return docs.join(found, name, how).select(*[f"`{c}`" for c in docs.columns if c != name])
+
+
 def fixed(docs: DataFrame, *columns: str) -> DataFrame:
-    """``docs`` (or these columns of it) with ROW: a number of each row that is the same in every scan.
+    """``docs`` (or these columns of it) with a number of each row that is the same in every scan (``row_column``).
 
     Rows of a Parquet table are numbered by their file and their place in it, which don't depend on how the files
     are cut into tasks. Anything else is numbered and written to a table once.
     """
-    if ROW in docs.columns:
+    if row_column(docs):
         return docs
     kept = docs.select(*dict.fromkeys(columns)) if columns else docs
+    taken = {c.lower() for c in docs.columns}
+    row, file, first = (next(n for k in range(len(taken) + 1) if (n := f"_{name}{k}") not in taken) for name in ("row", "file", "first"))
+
+    def marked(number: Column) -> Column:
+        return number.alias(row, metadata={_MARK: True})
+
     if not _one_table(docs):
-        return written(kept.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+        return written(kept.select("*", marked(F.monotonically_increasing_id())), "numbered")
     place = docs.metadataColumn("_metadata")
     paths = sorted(r[0] for r in docs.select(place["file_path"]).distinct().collect())
     if len(paths) < 2:
-        return kept.withColumn(ROW, place["row_index"])
+        return kept.select("*", marked(place["row_index"]))
     numbers = [(path, n << _INDEX_BITS) for n, path in enumerate(paths)]
-    files = docs.sparkSession.createDataFrame(numbers, "_valence_file string, _valence_first long")
-    rows = kept.withColumn("_valence_file", place["file_path"]).withColumn(ROW, place["row_index"])
-    rows = rows.join(F.broadcast(files), "_valence_file")
-    return rows.withColumn(ROW, F.col(ROW) + F.col("_valence_first")).drop("_valence_file", "_valence_first")
+    files = docs.sparkSession.createDataFrame(numbers, f"{file} string, {first} long")
+    if sum(map(len, paths)) <= NAMES:
+        files = F.broadcast(files)
+    rows = kept.select("*", place["file_path"].alias(file), place["row_index"].alias(row))
+    rows = rows.join(files, file)
+    return rows.select(*[f"`{c}`" for c in kept.columns], marked(F.col(row) + F.col(first)))
 
 
 def _one_table(docs: DataFrame) -> bool:
@@ -139,15 +167,15 @@ class Words:
         self.first = np.searchsorted(self.text, np.arange(self.texts + 1))
 
 
-def pieces(bodies: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The texts, about PIECE bytes at a time: number of the first, bytes, bounds of the texts."""
+def pieces(bodies: pa.Array, size: int = PIECE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The texts, about ``size`` bytes at a time: number of the first, bytes, bounds of the texts."""
     bodies = pa.concat_arrays([bodies.cast(pa.large_binary()).fill_null(b"")])
     bounds = np.frombuffer(bodies.buffers()[1], np.int64)[bodies.offset : bodies.offset + len(bodies) + 1]
     held = bodies.buffers()[2]
     data = np.frombuffer(held, np.uint8) if held else np.zeros(0, np.uint8)
     i = 0
     while i < len(bodies):
-        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + PIECE, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + size, "right")) - 1)
         yield i, data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
         i = j
 

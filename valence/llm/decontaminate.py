@@ -27,7 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from valence.llm.common import ROW, Words, bloom_filter, fixed, may_hold, mixed, numbered, pieces, signed, signed_back, words_of
+from valence.llm.common import (
+    Words, bloom_filter, fixed, may_hold, mixed, numbered, of_rows, pieces, row_of, signed, signed_back, words_of,
+)
 from valence.session import written
 
 LEAST, BRIEF, SCORE, COVER, ENOUGH = 5, 20, 5, 0.7, 13
@@ -140,7 +142,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     found = hits.groupBy("row").agg(
         F.count(F.lit(1)).alias("n_items"), F.min("item_id").alias("first_item"), F.max("matched").alias("most_matched")
     )
-    rows = docs.select(F.col(ROW).alias("row"), F.col(id_column).alias("id"))
+    rows = docs.select(row_of(docs), F.col(id_column).alias("id"))
     return rows.join(found, "row", "left").select(
         "row", "id", F.col("n_items").isNotNull().alias("contaminated"),
         F.coalesce("n_items", F.lit(0)).alias("n_items"), "first_item", "most_matched",
@@ -150,5 +152,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no item was found, with all their columns."""
     docs = fixed(docs)
-    found = benchmark_hits(docs, benchmark, id_column, text).select(F.col("row").alias(ROW)).distinct()
-    return docs.join(found, ROW, "left_anti").select(*[c for c in docs.columns if c != ROW])
+    found = benchmark_hits(docs, benchmark, id_column, text).select("row").distinct()
+    return of_rows(docs, found, "left_anti")

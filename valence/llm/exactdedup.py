@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from valence.llm.common import ROW, fixed, numbered
+from valence.llm.common import fixed, numbered, of_rows
 from valence.session import written
 
 BLOCK = 4096
@@ -142,5 +142,4 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 def without_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     docs = fixed(docs)
-    stay = exact_groups(docs, id_column, text).filter("kept").select(F.col("row").alias(ROW))
-    return docs.join(stay, ROW, "left_semi").select(*[c for c in docs.columns if c != ROW])
+    return of_rows(docs, exact_groups(docs, id_column, text).filter("kept"), "left_semi")

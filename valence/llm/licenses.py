@@ -21,7 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from valence.llm.common import ROW, Words, bloom_filter, characters, fixed, may_hold, mixed, numbered, pieces, shingles, signed
+from valence.llm.common import (
+    Words, bloom_filter, characters, fixed, may_hold, mixed, numbered, pieces, row_of, shingles, signed,
+)
 from valence.session import written
 
 WIDTH, CONTAINED, HASHES = 5, 0.8, 24
@@ -140,7 +142,7 @@ def license_matches(docs: DataFrame, templates: DataFrame, id_column: str = "doc
     good = good.select("row", "template", "containment", F.array_min(F.transform("hits", lambda x: x["starts"])).alias("start"), F.array_max(F.transform("hits", lambda x: x["ends"])).alias("end"))
     best = good.groupBy("row", "template").agg(F.min(F.struct((-F.col("containment")).alias("order"), (F.col("end") - F.col("start")).alias("size"), "start", "end")).alias("best"))
     names = given.select(F.col("row").alias("template"), F.col("own_template_id").alias("template_id"))
-    ids = docs.select(F.col(ROW).alias("row"), F.col(id_column).alias("id"))
+    ids = docs.select(row_of(docs), F.col(id_column).alias("id"))
     return best.join(names, "template").join(ids, "row").select(
         "row", "id", "template_id", (-F.col("best.order")).alias("containment"), F.col("best.start").alias("start"), F.col("best.end").alias("end")
     )

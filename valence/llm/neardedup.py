@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from valence.llm.common import (
-    ROW, Words, bloom_filter, fixed, may_hold, mixed, numbered, pieces, shingles, signed, signed_back, spread,
+    Words, bloom_filter, fixed, may_hold, mixed, numbered, of_rows, pieces, shingles, signed, signed_back, spread,
 )
 from valence.llm.components import components
 from valence.session import written
@@ -276,8 +276,7 @@ def _unsettled(rows: DataFrame, classes: DataFrame, sketches: DataFrame, checked
 def without_near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with all their columns."""
     docs = fixed(docs)
-    stay = near_groups(docs, id_column, text).filter("kept").select(F.col("row").alias(ROW))
-    return docs.join(stay, ROW, "left_semi").select(*[c for c in docs.columns if c != ROW])
+    return of_rows(docs, near_groups(docs, id_column, text).filter("kept"), "left_semi")
 
 
 def near_groups(

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from valence.llm.common import ROW, Words, characters, fixed, mixed, numbered, pieces, shingles
+from valence.llm.common import Words, characters, fixed, mixed, numbered, of_rows, pieces, shingles
 
 SAMPLE, LONGEST = 800, 10_000
 LOG_ODDS, LEAST = 3.0, 0.03
@@ -286,5 +286,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
 def clean_only(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", use: Column | None = None) -> DataFrame:
     """The rows of ``docs`` with a score below 0.5, with all their columns."""
     docs = fixed(docs)
-    toxic = toxicity(docs, labels, id_column, text, use=use).filter("score >= 0.5").select(F.col("row").alias(ROW))
-    return docs.join(toxic, ROW, "left_anti").select(*[c for c in docs.columns if c != ROW])
+    toxic = toxicity(docs, labels, id_column, text, use=use).filter("score >= 0.5")
+    return of_rows(docs, toxic, "left_anti")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from valence.llm.common import ROW, fixed
+from valence.llm.common import fixed, row_of
 from valence.session import removed_at_end, shared_dir, written
 
 MAGIC = "WARC/1."
@@ -39,8 +39,9 @@ def base32_sha1(payload: Column) -> Column:
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> None:
     """Write a record per page below ``path``. Payloads of at least ``least`` bytes that repeat become revisits."""
-    rows = fixed(pages, page_id, url, html).select(
-        F.col(ROW).alias("row"), F.col(page_id).cast("string").alias("page"),
+    pages = fixed(pages, page_id, url, html)
+    rows = pages.select(
+        row_of(pages), F.col(page_id).cast("string").alias("page"),
         F.col(page_id).alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"),
     )
     body = F.col("html").cast("binary")
