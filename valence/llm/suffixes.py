@@ -38,17 +38,17 @@ from valence.session import written
 WINDOW, LEAD = 100, 32
 REACH = WINDOW - LEAD
 #: Hulls of a bucket, different hulls of a lead above which its windows are sorted each by itself, and keys that splitters are taken from.
-BUCKET, HOT, SAMPLE = 1 << 16, 4096, 20000
+BUCKET, HOT, SAMPLE = 1 << 14, 4096, 20000
 #: Documents that splitters are sampled from, about.
 SAMPLED = 2000
-SEGMENT = 4 << 20
+SEGMENT = 2 << 20
 _PLACE = np.uint64((1 << 23) - 1)
 _FACTORS = mixed(np.arange(1, 32, dtype=np.uint64)) | np.uint64(1)
 
 
 def segments(bodies: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Bytes of some texts, their bounds, which text each is of and where in it. Long texts come in parts that overlap by a window less 1."""
-    for i, data, bounds in pieces(bodies):
+    for i, data, bounds in pieces(bodies, SEGMENT):
         if len(data) <= SEGMENT:
             yield data, bounds, np.arange(i, i + len(bounds) - 1), np.zeros(len(bounds) - 1, np.int64)
             continue
