@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from valence.session import written
+from valence.sources.splitcsv import ENCODINGS, decoded, split_records
 
 POST_SCHEMA = T.StructType(
     [
@@ -44,14 +45,31 @@ def read_posts(
 ) -> DataFrame:
     """Read posts with a given schema, so no inference pass over the files.
 
-    A quoted text may hold line breaks, and files with such records cannot be cut into
-    several tasks: write many files (see ``write_posts``), or pass ``multi_line=False``
-    when no text has a line break and large files should be split. ``line_sep=None`` leaves
-    it to Spark to find out how the lines of a file end.
+    A quoted text may hold line breaks; large files are read in splits all the same (see
+    ``splitcsv``), with the records written to a table on the way. Without line breaks,
+    ``multi_line=False`` spares that table. Files in other encodings than ``ENCODINGS``, or
+    whose lines end with something else, are read by one task each; ``line_sep=None`` leaves it to
+    Spark to find out how the lines of a file end.
     """
+    if _in_splits(encoding, multi_line, line_sep):
+        return _parsed(spark, path, encoding, schema).select("post.*")
     return _read(spark, path, encoding, schema, multi_line, line_sep)
 
 
+def _in_splits(encoding: str, multi_line: bool, line_sep: str | None) -> bool:
+    return multi_line and line_sep == "\n" and encoding.upper() in ENCODINGS
+
+
+def _parsed(spark, path, encoding, schema, **more) -> DataFrame:
+    record = decoded(F.col("record"), encoding.upper())
+    options = _DIALECT | {"emptyValue": ""} | more
+    return split_records(spark, path).select(F.from_csv(record, _ddl(schema), options).alias("post"))
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
 def _read(spark, path, encoding, schema, multi_line, line_sep, **more) -> DataFrame:
     options = _DIALECT | {"emptyValue": "", "encoding": encoding, "multiLine": str(multi_line)}
     if line_sep is None:
@@ -72,13 +90,14 @@ def read_posts_and_rejects(
     """The posts, and the ``line`` of each record that does not fit the schema, so that none is lost.
 
     A record is rejected if a field does not fit its type, or if it has too few or too many
-    fields. Files are read once, into a table that both parts are filters of.
+    fields. Files are read once, into a table that both parts are made from.
     """
     marked = T.StructType([*schema.fields, T.StructField("_line", T.StringType())])
-    rows = _read(
-        spark, path, encoding, marked, multi_line, line_sep, columnNameOfCorruptRecord="_line"
-    )
-    rows = written(rows, "posts")
+    more = {"columnNameOfCorruptRecord": "_line"}
+    if _in_splits(encoding, multi_line, line_sep):
+        rows = _parsed(spark, path, encoding, marked, **more).select("post.*")
+    else:
+        rows = written(_read(spark, path, encoding, marked, multi_line, line_sep, **more), "posts")
     good = rows.filter(F.col("_line").isNull()).drop("_line")
     return good, rows.filter(F.col("_line").isNotNull()).select(F.col("_line").alias("line"))
 
