@@ -64,30 +64,45 @@ def test_curves_without_label(spark):
     assert all(r[c] == 0 for r in got for c in CURVES) and len(got) == 5
 
 
-@pytest.mark.parametrize("n, block", [(0, 50), (1, 50), (49, 50), (1000, 50), (1000, 77), (1000, 5000)])
-def test_history_in_blocks_is_the_plain_window(spark, n, block):
+@pytest.mark.parametrize("n, tasks", [(0, 3), (1, 3), (49, 9), (49, 49), (120, 60), (1000, 1), (1000, 13), (1000, 40)])
+def test_history_in_tasks_is_the_plain_window(spark, n, tasks):
     rows = _rows(n)
-    got = history_curves(_scored(spark, rows).repartition(5), "id", min_block=block)
+    got = history_curves(_scored(spark, rows).repartition(5), "id", tasks=tasks)
     got = got.orderBy("id").collect()
     assert [r.step for r in got] == list(range(1, n + 1))
     _assert_curves(got, _expected_curves(rows))
 
 
 def test_history_with_a_hot_group(spark):
-    # Group a holds most rows and spans many blocks; the small groups share blocks.
+    # Group a holds most rows and spans many tasks; the small groups share tasks.
     rows = _rows(900, groups=["a"] * 8 + ["b", "c", "d", None])
-    got = history_curves(_scored(spark, rows), "id", by=("g",), min_block=50).orderBy("id").collect()
-    assert len(got) == 900
-    for g in ("a", "b", "c", "d", None):
-        mine = [r for r in got if r.g == g]
-        assert [r.step for r in mine] == list(range(1, len(mine) + 1))
-        _assert_curves(mine, _expected_curves([r for r in rows if r[1] == g]))
-
-
-def test_history_has_no_window_over_everything(spark, plan):
-    lines = plan(history_curves(_scored(spark, _rows(10)), "id")).splitlines()
-    heavy = [line for line in lines if "Window [" in line and "_rank" in line]
-    assert heavy and all("_shown" in line for line in heavy)
+    for tasks in (2, 18, 150):
+        got = history_curves(_scored(spark, rows), "id", by=("g",), tasks=tasks).orderBy("id").collect()
+        assert len(got) == 900
+        for g in ("a", "b", "c", "d", None):
+            mine = [r for r in got if r.g == g]
+            assert [r.step for r in mine] == list(range(1, len(mine) + 1))
+            _assert_curves(mine, _expected_curves([r for r in rows if r[1] == g]))
+
+
+def test_history_sums_go_on_from_batch_to_batch(spark):
+    # Batches of 7 rows in tasks of hundreds: frames reach back over many of them.
+    rows = _rows(1000, groups=("a", "b"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = history_curves(_scored(spark, rows), "id", by=("g",), tasks=3).orderBy("id").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for g in ("a", "b"):
+        _assert_curves([r for r in got if r.g == g], _expected_curves([r for r in rows if r[1] == g]))
+
+
+def test_history_moves_rows_once(spark, plan):
+    shown = plan(history_curves(_scored(spark, _rows(10)), "id"))
+    # The one shuffle of rows is behind the table that this starts from; what is left is a small broadcast.
+    assert "Window" not in shown and "hashpartitioning" not in shown and "rangepartitioning" not in shown
+    assert "BroadcastExchange" in shown
 
 
 @pytest.mark.parametrize("direct", [2000, 10])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from valence.functions.labels import is_correct, real_value
@@ -11,8 +13,6 @@ from valence.session import written
 
 ROLLING_ROWS = 50  # fixed length of the rolling frame
 CURVES = ["running_accuracy", "running_error", "rolling_accuracy", "rolling_error"]
-_MAX_BLOCKS = 65_536  # blocks of a history, which bounds what is broadcast
-_ROW_BITS = 33  # monotonically_increasing_id(): partition above these bits, row number below
 
 
 def with_correctness(
@@ -41,80 +41,97 @@ def accuracy_curves(latest: DataFrame, *order: str, by: tuple[str, ...] = ()) ->
 
 
 def history_curves(
-    scored: DataFrame, *order: str, by: tuple[str, ...] = (), min_block: int = 50_000
+    scored: DataFrame, *order: str, by: tuple[str, ...] = (), tasks: int | None = None
 ) -> DataFrame:
     """The curves over a whole store, for any number of rows and any size of its groups.
 
-    ``order`` must be a unique key within ``by``. The rows are sorted once across the
-    cluster and written with their position; from the positions every row gets its block,
-    and all blocks have the same number of rows. A block starts from the totals of its
-    group in earlier blocks (one carry row per block) and sees the last rows of the block
-    before it, so that blocks can be computed independently of each other.
+    ``order`` must be a unique key within ``by``. The rows are sorted once across the cluster
+    (into ``tasks`` ranges), which is their only shuffle. Each task numbers and sums up its own
+    rows, the rolling sum being the difference of two running ones, and writes them. A scan over the
+    totals of the tasks says what the group that a task begins with brings from earlier ones: its rows, its hits, and the
+    hits of its last rows, which complete the frames that reach back over the border.
     """
     spark = scored.sparkSession
     keys = [*by, *order]
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     group = F.md5(F.to_json(F.struct(*by), {"ignoreNullFields": "false"})) if by else F.lit("")
-    positioned = (
+    ordered = (
         with_correctness(scored)
-        .select(*keys, "real_val", "is_correct")
-        .repartitionByRange(shards, *keys)
+        .select(*keys, F.struct("real_val", "is_correct").alias("_judged"), group.alias("_group"))
+        .repartitionByRange(tasks, *keys)
         .sortWithinPartitions(*keys)
-        .withColumn("_position", F.monotonically_increasing_id())
-        .withColumn("_group", group)
+        .withColumn("_task", F.spark_partition_id())
     )
-    shard = F.shiftright("_position", _ROW_BITS)
-    rows = written(positioned, "curves").withColumn("_shard", shard)
-
-    # One row per shard, hence at most `shards`: where it starts in the overall order.
-    sizes = sorted(rows.groupBy("_shard").count().collect())
-    ends = list(accumulate(size["count"] for size in sizes))
-    block_rows = max(min_block, ROLLING_ROWS, -(-sum(ends[-1:]) // _MAX_BLOCKS))
-    starts = spark.createDataFrame(
-        [(size["_shard"], end - size["count"]) for size, end in zip(sizes, ends)],
-        "_shard long, _start long",
-    )
-    in_shard = F.col("_position").bitwiseAND((1 << _ROW_BITS) - 1)
-    placed = (
-        rows.join(F.broadcast(starts), "_shard")
-        .withColumn("_rank", F.col("_start") + in_shard)
-        .withColumn("_block", F.expr(f"_rank div {block_rows}"))
-        .drop("_shard", "_start", "_position")
+    sums = "_n long, _hits long, _rolling long, _tail array<long>"
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema)
+    rows = written(ordered.mapInArrow(_summed, f"{fields}, {sums}"), "curves")
+
+    # A row per task, of a fixed size. It is what the driver scans and what is broadcast.
+    ends = rows.filter(F.col("_tail").isNotNull()).select("_task", "_group", "_n", "_hits", "_tail")
+    carried = spark.createDataFrame(
+        _carried(sorted(ends.collect())),
+        "_task int, _group string, _n0 long, _hits0 long, _tail0 array<long>",
     )
+    joined = rows.join(F.broadcast(carried), ["_task", "_group"], "left")
+    step = F.col("_n") + F.coalesce("_n0", F.lit(0))
+    missing = F.least(ROLLING_ROWS - F.col("_n"), F.size("_tail0"))
+    halo = F.when(missing > 0, F.get("_tail0", (missing - 1).cast("int")))
+    rolling = (F.col("_rolling") + F.coalesce(halo, F.lit(0))) / F.least(step, F.lit(ROLLING_ROWS))
+    running = (F.col("_hits") + F.coalesce("_hits0", F.lit(0))) / step
+    shares = running.alias("_running"), rolling.alias("_rolling")
+    judged = joined.select(*keys, step.alias("step"), "_judged.*", *shares)
+    return _with_curves(judged, F.col("_running"), F.col("_rolling")).drop("_running", "_rolling")
 
-    # What a group brings into a block from earlier ones. Groups are contiguous, so only one
-    # group per block brings anything: at most _MAX_BLOCKS rows, of a fixed size each.
-    earlier = (
-        Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = (
-        placed.groupBy("_block", "_group")
-        .agg(F.count("*").alias("_n"), F.sum("is_correct").alias("_correct"))
-        .withColumns({c: F.sum(c).over(earlier) for c in ("_n", "_correct")})
-        .filter(F.col("_n").isNotNull())
-    )
 
-    # The last rows of a block are also shown, as a halo, to the block after it.
-    tail = F.col("_rank") % block_rows >= block_rows - (ROLLING_ROWS - 1)
-    here, after = F.col("_block"), F.col("_block") + 1
-    shown = placed.withColumn(
-        "_shown", F.explode(F.when(tail, F.array(here, after)).otherwise(F.array(here)))
-    ).withColumn("_own", (F.col("_shown") == F.col("_block")).cast("int"))
-    ordered = Window.partitionBy("_shown", "_group").orderBy("_rank")
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    frame = ordered.rowsBetween(1 - ROLLING_ROWS, 0)
-    windowed = shown.withColumns(
-        {
-            "_own_rows": F.sum("_own").over(so_far),
-            "_own_correct": F.sum(F.col("_own") * F.col("is_correct")).over(so_far),
-            "_rolling": F.avg("is_correct").over(frame),
-        }
-    ).filter("_own = 1")
-    joined = windowed.join(F.broadcast(carry), ["_block", "_group"], "left")
-    step = F.col("_own_rows") + F.coalesce("_n", F.lit(0))
-    running = (F.col("_own_correct") + F.coalesce("_correct", F.lit(0))) / F.col("step")
-    curves = _with_curves(joined.withColumn("step", step), running, F.col("_rolling"))
-    return curves.select(*keys, "step", "real_val", "is_correct", *CURVES)
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number, hits so far and hits of the frame for each row of a task, within its group.
+
+    The last row of the task also has, for k from 1, the hits of the last k rows of its group, as many as a frame reaches back.
+    """
+    name, n, kept = None, 0, np.zeros(0, np.int64)  # the group so far: rows, and running hits of its last ROLLING_ROWS
+    held = None  # the last batch and its sums
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            yield _with_sums(*held, None)
+        groups = batch["_group"].to_numpy(zero_copy_only=False)
+        hits = batch["_judged"].field("is_correct").to_numpy().astype(np.int64)
+        out = np.zeros((3, len(hits)), np.int64)
+        first = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+        for start, end in zip(first.tolist(), [*first[1:].tolist(), len(hits)]):
+            if groups[start] != name:
+                name, n, kept = groups[start], 0, np.zeros(1, np.int64)
+            sums = np.cumsum(hits[start:end]) + kept[-1]
+            every = np.concatenate([kept, sums])
+            ends = np.arange(len(kept), len(every))
+            out[0, start:end] = n + np.arange(1, end - start + 1)
+            out[1, start:end] = sums
+            out[2, start:end] = sums - every[np.maximum(ends - ROLLING_ROWS, 0)]
+            n, kept = n + end - start, every[-ROLLING_ROWS:]
+        held = batch, out
+    if held is not None:
+        tail = (kept[-1] - kept[-2::-1]).tolist()
+        yield _with_sums(*held, tail)
+
+
+def _with_sums(batch: pa.RecordBatch, out: np.ndarray, tail: list[int] | None) -> pa.RecordBatch:
+    tails = pa.array([None] * (batch.num_rows - 1) + [tail], pa.list_(pa.int64()))
+    names = [*batch.schema.names, "_n", "_hits", "_rolling", "_tail"]
+    return pa.record_batch([*batch.columns, *map(pa.array, out), tails], names)
+
+
+def _carried(ends: list) -> list[tuple]:
+    """For each task the group that the tasks before it end with: its rows, its hits, and those of its last k rows."""
+    out, name, n, hits, tail = [], None, 0, 0, []
+    for task, group, own_n, own_hits, own_tail in ends:
+        if out or name is not None:
+            out.append((task, name, n, hits, tail))
+        if group == name:  # groups are in order, so the task has no other
+            own_tail = own_tail + [own_hits + x for x in tail[: ROLLING_ROWS - 1 - len(own_tail)]]
+            own_n, own_hits = n + own_n, hits + own_hits
+        name, n, hits, tail = group, own_n, own_hits, own_tail
+    return out
 
 
 def curve_bounds(curves: DataFrame) -> DataFrame:
