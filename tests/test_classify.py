@@ -153,6 +153,15 @@ def test_term_weights_with_hot_and_long_terms(spark, monkeypatch):
         assert math.isclose(row.tfidf, row.tf * math.log((len(texts) + 1) / (df + 1)), abs_tol=1e-12)
 
 
+def test_terms_of_repeated_ids_are_those_of_one_document(spark):
+    rows = [(1, "a a b"), (1, "A c"), (2, "a  "), (None, "b"), (None, "b"), (3, None), (4, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = sorted(((r.doc_id or 0, r.term, r.tf) for r in terms.term_counts(docs, "doc_id").collect()))
+    assert counts == [(0, "b", 2), (1, "a", 3), (1, "b", 1), (1, "c", 1), (2, "a", 1)]
+    weights = {(r.doc_id, r.term): (r.tf, r.df) for r in terms.tfidf_terms(docs, "doc_id").collect()}
+    assert weights == {(None, "b"): (2, 2), (1, "a"): (3, 2), (1, "b"): (1, 2), (1, "c"): (1, 1), (2, "a"): (1, 2)}
+
+
 def test_columns_may_have_any_names(spark):
     rows = [(0, "bad awful"), (4, "good great"), (0, "awful sad"), (4, "love great")]
     posts = spark.createDataFrame(rows, "target int, text string")

@@ -16,23 +16,12 @@ def words(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """How often each term occurs in each document, a row being a document. No shuffle.
+    """How often each term occurs in each document, a document being all rows with its key.
 
-    The words of a row are sorted; a term's count is the distance from where its run begins to
-    where the next one does.
+    Counted by key and term, and summed up in the tasks before anything is shuffled.
     """
-    sorted_words = docs.select(key, F.array_sort(tokens(text)).alias("_w")).filter(F.size("_w") > 0)
-    places = F.sequence(F.lit(0), F.size("_w") - 1)
-    begins = F.filter(places, lambda i: (i == 0) | (F.get("_w", i) != F.get("_w", i - 1)))
-    runs = sorted_words.withColumn("_begin", begins)
-    entry = F.transform(
-        "_begin",
-        lambda i, n: F.struct(
-            F.get("_w", i).alias("term"),
-            (F.coalesce(F.get("_begin", n + 1), F.size("_w")) - i).cast("long").alias("tf"),
-        ),
-    )
-    return runs.select(key, F.inline(entry))
+    found = docs.select(key, F.explode(tokens(text)).alias("term"))
+    return found.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def tfidf_terms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
