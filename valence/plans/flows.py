@@ -23,6 +23,7 @@ from valence.session import shared_dir
 from valence.sources.csvfiles import read_posts, read_posts_and_rejects, write_posts
 from valence.sources.messages import (
     MESSAGE_SCHEMA,
+    checked_messages,
     message_stream,
     parse_messages,
     publish,
@@ -79,6 +80,30 @@ def json_parse(spark, sf):
     return parse_messages(raw, _K, keep=("event_id",))
 
 
+#: Messages by the remainder of their number: what is in them, and what must come out.
+_BROKEN = (
+    ('{"text": "fine", "label": 4}', "fine", 4, None, None),
+    ('{"text": "as text", "label": "4"}', "as text", None, None, "not a number"),
+    ('{"text": "a half", "label": 4.5}', "a half", None, None, "not a whole number"),
+    ('{"text": "large", "label": 3000000000}', "large", None, None, "out of range"),
+    ('{"label": 0}', None, 0, "absent", None),
+    ('{"text": null, "label": null}', None, None, "absent", None),
+    ('{"text": "cut', None, None, "not JSON", None),
+    ('[{"text": "a list"}]', None, None, "not an object", None),
+    ('{"text": ["a"], "label": true}', None, None, "not a string", "not a number"),
+    ('{"label": -4, "text": 17, "more": {}}', "17", -4, None, None),
+)
+
+
+def json_reasons(spark, sf):
+    """Events as messages of which most are broken: each field is read, or has its own reason."""
+    which = F.element_at(F.array(*[F.lit(b[0]) for b in _BROKEN]), (F.col("event_id") % len(_BROKEN) + 1).cast("int"))
+    raw = table(spark, sf, "events").withColumn("value", which.cast("binary"))
+    found = checked_messages(raw, keep=("event_id",))
+    why = [F.col("reasons")[name].alias(f"{name}_reason") for name in ("text", "label")]
+    return found.select("event_id", "text", "label", *why)
+
+
 def _twice(first, second, rows):
     """Rows with the predictions of two models, ``one`` and ``prediction``."""
     return classify.predict(
@@ -266,6 +291,7 @@ QUERIES = {
     "csv_rejects": csv_rejects,
     "publish_json": publish_json,
     "json_parse": json_parse,
+    "json_reasons": json_reasons,
     "train_and_score": train_and_score,
     "holdout_accuracy": holdout_accuracy,
     "accuracy_text": accuracy_text,
@@ -291,10 +317,19 @@ _OVERVIEW = """count(*) AS total_rows,
   count(*) FILTER (prediction = 1 AND real_val = 1) AS tp,
   sum(is_correct)::DOUBLE / count(*) * 100 AS accuracy"""
 
+def _sql(x) -> str:
+    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+
+
+_BROKEN_SQL = ", ".join(f"({k}, {', '.join(map(_sql, b[1:]))})" for k, b in enumerate(_BROKEN))
+
 ORACLES = {
     "csv_roundtrip": f'WITH {POSTS_SQL} SELECT target, id, date, flag, "user", text FROM posts',
     "publish_json": _MESSAGES,
     "json_parse": _PARSED,
+    "json_reasons": f"""WITH kinds(k, text, label, text_reason, label_reason) AS (VALUES {_BROKEN_SQL})
+SELECT event_id, kinds.text, CAST(kinds.label AS INTEGER) AS label, text_reason, label_reason
+FROM events JOIN kinds ON event_id % {len(_BROKEN)} = k""",
     "stream_parse": _PARSED,
     "stream_replay": f"""WITH {POSTS_SQL}
 SELECT id, text, target AS label,

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from valence.operators.classify import score
-from valence.sources.messages import MESSAGE_SCHEMA, parse_messages
+from valence.sources.messages import MESSAGE_SCHEMA, checked_messages
 from valence.sources.store import SCORED, write_batch
 
 UNTIL_EMPTY = {"availableNow": True}
@@ -23,12 +23,14 @@ def scored_stream(
 ) -> DataFrame:
     """Parse and score a stream of messages.
 
-    A message without a readable text is not scored: it comes out as rejected, with its
-    original content in ``raw``.
+    A message without a text, or with a field that is there but cannot be read (such as a label that is no
+    whole number), is not scored: it comes out as rejected, with its original content in ``raw`` and
+    the ``reasons`` by field.
     """
-    parsed = parse_messages(raw, schema, keep=("value", *keep))
-    unread = F.when(F.col("text").isNull(), F.col("value").cast("string"))
-    return score(model, parsed.withColumn("raw", unread).drop("value"), names)
+    parsed = checked_messages(raw, schema, keep=("value", *keep))
+    well = F.col("reasons").isNull()
+    parsed = parsed.withColumn("raw", F.when(~well, F.col("value").cast("string")))
+    return score(model, parsed.withColumn("text", F.when(well, F.col("text"))).drop("value"), names)
 
 
 def start_store(
