@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from valence.operators.classify import score
 from valence.sources.messages import MESSAGE_SCHEMA, checked_messages
 from valence.sources.store import SCORED, write_batch
+from valence.streaming.ledger import append_once
 
 UNTIL_EMPTY = {"availableNow": True}
 
@@ -58,23 +61,23 @@ def start_sink(
     checkpoint: str,
     rejects: str,
     trigger: dict | None = None,
+    ledger: str | None = None,
+    seen: Callable[[SparkSession], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """Append the scored records of each micro-batch with any batch format, e.g. ``mongodb``.
-
-    The other records go to a store at ``rejects``, once each, so that none is lost.
+    """Append the scored records of each micro-batch with any batch format, e.g. ``mongodb``, each once.
 
-    Such a sink sees a batch twice if it is run again after a failure, unless its options
-    make rows with equal keys replace each other; ``batch_id`` is added for that.
+    The other records go to a store at ``rejects``, once each, so that none is lost. Below ``ledger`` (by
+    default in the folder of the rejects) it is kept which batches the sink has; see ``append_once``.
     """
 
     if not rejects:
         raise ValueError("name a place for the records that are not scored")
+    book = ledger or f"{rejects.rstrip('/')}/_ledger"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch.filter(~F.col("outcome").eqNullSafe(SCORED)), batch_id, rejects)
-        rows = batch.filter(F.col("outcome") == SCORED).drop("outcome", "raw")
-        numbered = rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        numbered.write.format(fmt).options(**options).mode("append").save()
+        rows = batch.filter(F.col("outcome") == SCORED).drop("outcome", "raw", "reasons")
+        append_once(rows, batch_id, book, fmt, options, seen)
 
     return _start(scored, write, checkpoint, trigger)
 
