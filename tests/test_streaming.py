@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -5,7 +7,7 @@ from pyspark.sql import types as T
 from valence.operators import classify, metrics
 from valence.operators.split import seeded_shuffle
 from valence.sources.messages import MESSAGE_SCHEMA, message_stream, parse_messages
-from valence.sources.store import REJECTED, STORE_SCHEMA, read_snapshot, read_store
+from valence.sources.store import REJECTED, STORE_SCHEMA, read_latest, read_store
 from valence.streaming.monitoring import last_rows, rolling_accuracy, start_metrics, start_rolling
 from valence.streaming.replay import write_replay
 from valence.streaming.scoring import UNTIL_EMPTY, scored_stream, start_sink, start_store
@@ -106,7 +108,7 @@ def test_other_sinks(spark, tmp_path, model, stream):
     schema = T.StructType([*STORE_SCHEMA.fields, T.StructField("raw", T.StringType())])
     assert [r.raw for r in read_store(spark, str(tmp_path / "r"), schema, REJECTED).collect()] == ["broken"]
     assert rows.count() == 4
-    assert sorted(rows.columns) == ["batch_id", "label", "prediction", "sentiment", "text"]
+    assert sorted(rows.columns) == ["batch_id", "batch_row", "label", "prediction", "sentiment", "text"]
 
 
 def _scored(spark, n):
@@ -124,7 +126,7 @@ def test_metrics_of_a_stream_are_those_of_the_table(spark, tmp_path, stream):
         path, progress = str(tmp_path / f"m{len(by)}"), str(tmp_path / f"p{len(by)}")
         start_metrics(stream(scored, 4), path, progress, by, UNTIL_EMPTY).awaitTermination()
         expected = metrics.overview(scored, by)
-        got = read_snapshot(spark, path, expected.schema)
+        got = read_latest(spark, path, expected.schema, by)
         assert sorted(got.collect()) == sorted(expected.collect())
 
 
@@ -188,7 +190,7 @@ def test_store_after_a_failure(spark, tmp_path, stream, fail_once):
 def test_rolling_after_a_failure(spark, tmp_path, stream, fail_once):
     from valence.streaming import monitoring
 
-    fail_once(monitoring, "write_snapshot")
+    fail_once(monitoring, "write_delta")
     scored = _scored(spark, 120)
     moving, path, progress = stream(scored), str(tmp_path / "r"), str(tmp_path / "p")
     with pytest.raises(Exception, match="lost after writing"):
@@ -199,13 +201,73 @@ def test_rolling_after_a_failure(spark, tmp_path, stream, fail_once):
     assert (got["last"], got.rows, got.rolling_accuracy) == (119, 50, last[0])
 
 
-def test_rolling_does_not_go_on_without_its_state(spark, tmp_path, stream, monkeypatch):
-    from valence.streaming import monitoring
-
-    monkeypatch.setattr(monitoring, "write_snapshot", lambda df, batch_id, path: None)
-    path, progress = str(tmp_path / "r"), str(tmp_path / "p")
-    with pytest.raises(Exception, match="has no state of micro-batch 0"):
-        start_rolling(stream(_scored(spark, 120)), "id", path, progress, trigger=UNTIL_EMPTY).awaitTermination()
+def test_a_batch_writes_only_the_groups_it_has(spark, tmp_path):
+    from valence.streaming.monitoring import ROLLING_ROWS
+
+    rows = _scored(spark, 400).filter("g <> 'hot'").orderBy("id").collect()
+    source = str(tmp_path / "in")
+    for k, part in enumerate(([r for r in rows if r.g != "g3"], [r for r in rows if r.g == "g3"][:5])):
+        spark.createDataFrame(part, _scored(spark, 1).schema).coalesce(1).write.parquet(f"{source}/{k}")
+        moving = spark.readStream.schema(_scored(spark, 1).schema).option("recursiveFileLookup", "true").parquet(source)
+        for name, start in (("m", lambda p, c: start_metrics(moving, p, c, ("g",), UNTIL_EMPTY)), ("r", lambda p, c: start_rolling(moving, "id", p, c, ("g",), UNTIL_EMPTY))):
+            start(str(tmp_path / name), str(tmp_path / f"c{name}")).awaitTermination()
+    for name in ("m", "r"):
+        assert [r.g for r in spark.read.parquet(str(tmp_path / name / "batch_id=1")).collect()] == ["g3"]
+    got = {r.g: r.rows for r in rolling_accuracy(spark, str(tmp_path / "r"), _scored(spark, 1).schema, "id", ("g",)).collect()}
+    many = Counter(r.g for r in rows if r.g != "g3")
+    assert got == {g: min(n, ROLLING_ROWS) for g, n in many.items()} | {"g3": 5}
+
+
+def test_tasks_cut_groups_down_before_they_are_sent():
+    import pyarrow as pa
+
+    from valence.streaming.monitoring import _newest_of_task
+
+    rows = [(f"g{k % 3}", k, k % 2) for k in range(1000)]
+    parts = [pa.RecordBatch.from_pylist([{"_group": g, "_place": k, "is_correct": c} for g, k, c in rows[i : i + 90]]) for i in range(0, 1000, 90)]
+    out = [r for b in _newest_of_task(iter(parts)) for r in b.to_pylist()]
+    assert len(out) == 150
+    for g in range(3):
+        assert sorted(r["_place"] for r in out if r["_group"] == f"g{g}") == [k for k in range(1000) if k % 3 == g][-50:]
+
+
+@pytest.mark.parametrize("where", ["before", "within", "after", "never"])
+def test_a_foreign_sink_has_each_record_once(spark, tmp_path, stream, monkeypatch, where):
+    """The second batch is interrupted before it is appended, when half of it is, or when all is; then it is run again."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from valence.streaming import ledger
+
+    out, rejects, progress = (str(tmp_path / n) for n in ("out", "rejects", "p"))
+    rows = spark.range(40).select("id", F.when(F.col("id") % 8 == 0, "rejected").otherwise("scored").alias("outcome"))
+    moving, save, failed = stream(rows), DataFrameWriter.save, []
+
+    def failing(self, *a, **b):
+        staged = self._df
+        if "batch_row" in staged.columns and staged.filter("batch_id = 1").count() and not failed and where != "never":
+            failed.append(1)
+            if where == "within":
+                staged.orderBy("id").limit(4).write.format("json").mode("append").options(path=out).save()
+            if where == "after":
+                save(self, *a, **b)
+            raise RuntimeError("lost")
+        return save(self, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "save", failing)
+    start = lambda: start_sink(moving, "json", {"path": out}, progress, rejects, UNTIL_EMPTY).awaitTermination()
+    if where != "never":
+        with pytest.raises(Exception, match="lost"):
+            start()
+    start()
+    got = spark.read.json(out)
+    assert sorted(r.id for r in got.collect()) == [k for k in range(40) if k % 8]
+    assert got.select("batch_id", "batch_row").distinct().count() == 35
+    book = ledger.Ledger(spark, f"{rejects}/_ledger")
+    assert book.done(2) and not book.done(3) and not book.is_staged(1)
+    # A batch that is in the ledger is not written again, whatever it holds.
+    ledger.append_once(rows.drop("outcome"), 2, f"{rejects}/_ledger", "json", {"path": out})
+    assert spark.read.json(out).count() == 35
+    assert sorted(r.id for r in read_store(spark, rejects, rows.schema, REJECTED).select("id").collect()) == list(range(0, 40, 8))
 
 
 def test_batch_without_rows(spark, tmp_path, model):

@@ -33,7 +33,7 @@ from valence.sources.store import (
     REJECTED,
     SCORED,
     STORE_SCHEMA,
-    read_snapshot,
+    read_latest,
     read_store,
 )
 from valence.streaming.monitoring import rolling_accuracy, start_metrics, start_rolling
@@ -274,7 +274,7 @@ def stream_metrics(spark, sf):
         stream, path, shared_dir(spark, "progress"), ("event_type",), UNTIL_EMPTY
     ).awaitTermination()
     schema = overview(scored(spark, sf), ("event_type",)).schema
-    return read_snapshot(spark, path, schema)
+    return read_latest(spark, path, schema, ("event_type",))
 
 
 def stream_rolling(spark, sf):

@@ -1,4 +1,4 @@
-"""Tables that a stream writes: an append-only store of batches, and a current snapshot."""
+"""Tables that a stream writes: an append-only store of batches, and the groups that each batch changed."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 SCORED, REJECTED = "scored", "rejected"
-_SNAPSHOTS = 2  # states kept
 
 STORE_SCHEMA = T.StructType(
     [
@@ -41,45 +40,16 @@ def read_store(
     return store.filter(F.col("outcome") == outcome).drop("outcome")
 
 
-def write_snapshot(current: DataFrame, batch_id: int, path: str) -> None:
-    """Write the state after a micro-batch to its own folder; the last ``_SNAPSHOTS`` are kept.
-
-    A batch that is run again still finds what it started from, and a reader what it began to read.
-    """
-    current.write.mode("overwrite").parquet(_snapshot(path, batch_id))
-    for old in finished_snapshots(current.sparkSession, path):
-        if old <= batch_id - _SNAPSHOTS:
-            folder, files = _files(current.sparkSession, _snapshot(path, old))
-            files.delete(folder, True)
-
-
-def read_snapshot(
-    spark: SparkSession, path: str, schema: T.StructType, batch_id: int | None = None
-) -> DataFrame:
-    """The state after a given micro-batch, or the newest that is complete; no rows if there is none.
-
-    A folder without Spark's mark of success is still being written, and is passed over.
-    """
-    done = finished_snapshots(spark, path)
-    wanted = max(done, default=-1) if batch_id is None else batch_id
-    if wanted in done:
-        return spark.read.schema(schema).parquet(_snapshot(path, wanted))
-    return spark.createDataFrame([], schema)
-
-
-def _snapshot(path: str, batch_id: int) -> str:
-    return f"{path}/batch-{batch_id}"
-
-
-def _files(spark: SparkSession, path: str):
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+def write_delta(changed: DataFrame, batch_id: int, path: str) -> None:
+    """Write the groups that a micro-batch changed, as they are after it; writing a batch again replaces it."""
+    changed.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def finished_snapshots(spark: SparkSession, path: str) -> set[int]:
-    """The micro-batches with a complete snapshot, of which there are few."""
-    marks, files = _files(spark, f"{path}/batch-*/_SUCCESS")
-    return {int(f.getPath().getParent().getName().removeprefix("batch-")) for f in files.globStatus(marks) or []}
+def read_latest(spark: SparkSession, path: str, schema: T.StructType, by: tuple[str, ...] = ()) -> DataFrame:
+    """Each group as the last micro-batch that changed it left it; no rows while there is none."""
+    deltas = _read(spark, path, T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())]))
+    newest = F.max_by(F.struct(*schema.names), "batch_id").alias("_newest")
+    return deltas.groupBy(*by).agg(newest).filter(F.col("_newest").isNotNull()).select("_newest.*")
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
