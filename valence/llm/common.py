@@ -6,6 +6,7 @@ Words are found and hashed a few megabytes of text at a time with numpy, inside
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,18 @@ def _one_table(docs: DataFrame) -> bool:
     return table.fileFormat().toString() == "Parquet" and table.location().rootPaths().size() == 1
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
+    """What is run within sends Arrow batches of about ``size`` bytes, so that a task holds less of its texts at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def training_part(id_column: str, part: int) -> Column:
     """True where crc32 of the id as text leaves another remainder by 5 than ``part``, or there is no id."""
     left = F.pmod(F.crc32(F.col(id_column).cast("string")), F.lit(5))

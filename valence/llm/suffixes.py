@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from valence.llm.common import bloom_filter, fixed, may_hold, mixed, numbered, pieces, signed
+from valence.llm.common import bloom_filter, fixed, may_hold, mixed, numbered, pieces, signed, small_batches
 from valence.session import written
 
 #: Bytes of a repeated string, bytes by which anchors are chosen, and the most bytes before an anchor.
@@ -41,7 +41,7 @@ REACH = WINDOW - LEAD
 BUCKET, HOT, SAMPLE = 1 << 14, 4096, 20000
 #: Documents that splitters are sampled from, about.
 SAMPLED = 2000
-SEGMENT = 2 << 20
+SEGMENT = 1 << 20
 _PLACE = np.uint64((1 << 23) - 1)
 _FACTORS = mixed(np.arange(1, 32, dtype=np.uint64)) | np.uint64(1)
 
@@ -297,7 +297,8 @@ def _binary(flat: np.ndarray, size: np.ndarray) -> pa.Array:
 def removed_spans(rows: DataFrame) -> DataFrame:
     """row, ``from`` and ``upto`` (bytes) of what repeats earlier bytes; spans may overlap. ``rows``: row, body, order_id."""
     spark = rows.sparkSession
-    leads = written(_lead_counts(rows).filter("occ > 1").select("lead", "hulls"), "leads")
+    with small_batches(spark):
+        leads = written(_lead_counts(rows).filter("occ > 1").select("lead", "hulls"), "leads")
     sizes = leads.groupBy((F.col("hulls") > HOT).alias("hot")).agg(F.sum("hulls").alias("n")).collect()
     sizes = {r["hot"]: r["n"] for r in sizes}
     repeated, hot = bloom_filter(leads, "lead"), bloom_filter(leads.filter(F.col("hulls") > HOT), "lead", 20)
@@ -345,7 +346,10 @@ def removed_spans(rows: DataFrame) -> DataFrame:
                 text, start, end = (np.concatenate(x) for x in (found.span_text, found.span_from, found.span_to))
                 yield _sent(batch, 2, texts[text], None, start + offset[text], None, None, None, None, end + offset[text])
 
-    found = written(rows.mapInArrow(sent, _SENT), "suffixes")
+    with small_batches(spark):
+        found = written(rows.mapInArrow(sent, _SENT), "suffixes")
+    repeated.unpersist()
+    hot.unpersist()
 
     def sorted_bucket(table: pa.Table) -> pa.Table:
         order_id = table["order_id"]
