@@ -270,6 +270,33 @@ def test_a_foreign_sink_has_each_record_once(spark, tmp_path, stream, monkeypatc
     assert sorted(r.id for r in read_store(spark, rejects, rows.schema, REJECTED).select("id").collect()) == list(range(0, 40, 8))
 
 
+def test_a_model_is_replaced_while_a_stream_runs(spark, tmp_path, model):
+    from valence.streaming.scoring import start_versioned_store
+
+    models, source, store, progress = (str(tmp_path / n) for n in ("models", "in", "s", "p"))
+    rows = [(4, "bad awful"), (0, "good great"), (4, "awful sad"), (0, "love great"), (0, "love it")]
+    turned = classify.fit(classify.classifier(), spark.createDataFrame(rows, "raw_label int, text string"))
+    with pytest.raises(ValueError, match="no complete version"):
+        classify.current_version(spark, models)
+    seen = []
+    for k, fitted in enumerate((model, None, turned)):
+        if fitted:
+            seen.append((classify.save_version(fitted, models), classify.load_version(models, 1)))
+        (tmp_path / "models" / f"version-{9 - k}").mkdir()  # one that was cut off: no mark
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{k}.txt").write_text('{"text": "love great", "label": 4}\n{"label": 4}\n')
+        raw = message_stream(spark, path=source)
+        start_versioned_store(raw, models, store, progress, trigger=UNTIL_EMPTY).awaitTermination()
+    first, second = seen[0][0], seen[1][0]
+    assert first < second == classify.current_version(spark, models)
+    schema = T.StructType([*STORE_SCHEMA.fields, T.StructField("model_version", T.IntegerType())])
+    got = [(r.batch_id, r.model_version, r.sentiment) for r in read_store(spark, store, schema).orderBy("batch_id").collect()]
+    assert got == [(0, first, "POSITIVE"), (1, first, "POSITIVE"), (2, second, "NEGATIVE")]
+    assert [r.model_version for r in read_store(spark, store, schema, REJECTED).orderBy("batch_id").collect()] == [first, first, second]
+    # Who read the first version before it was replaced still can.
+    assert classify.score(seen[0][1], spark.createDataFrame([("love great",)], "text string")).first().sentiment == "POSITIVE"
+
+
 def test_batch_without_rows(spark, tmp_path, model):
     folder = tmp_path / "in"
     folder.mkdir()

@@ -35,6 +35,7 @@ from valence.streaming.scoring import (  # noqa: E402
     scored_stream,
     start_sink,
     start_store,
+    start_versioned_store,
 )
 
 # Messages carry the id of the post, and records of a topic their place in it.
@@ -73,7 +74,10 @@ def train(spark: SparkSession, a: argparse.Namespace) -> None:
         if f["n"]:
             text = "accuracy: %{accuracy:.2f}, error: %{error:.2f}"
             print(text.format(**f.asDict()), f"(most common class: %{f['majority']:.2f})")
-    classify.save_model(model, a.model)
+    if a.versions:
+        print(f"{a.model}: version {classify.save_version(model, a.model)}")
+    else:
+        classify.save_model(model, a.model)
 
 
 def publish_posts(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -89,10 +93,14 @@ def score(spark: SparkSession, a: argparse.Namespace) -> None:
     options = _options(a.option) | ({"path": a.path} if a.path else {})
     raw = message_stream(spark, a.format, **options)
     keep = tuple(c for c in _TOPIC_ORDER if c in raw.columns)
-    scored = scored_stream(raw, classify.load_model(a.model), _MESSAGE, keep, tuple(a.names))
     trigger = UNTIL_EMPTY if a.until_empty else None
     if a.interval and not a.until_empty:
         trigger = {"processingTime": a.interval}
+    if a.versions:
+        names = tuple(a.names)
+        start_versioned_store(raw, a.model, a.store, a.checkpoint, _MESSAGE, keep, names, trigger).awaitTermination()
+        return
+    scored = scored_stream(raw, classify.load_model(a.model), _MESSAGE, keep, tuple(a.names))
     if a.sink:
         query = start_sink(
             scored, a.sink, _options(a.sink_option), a.checkpoint, a.rejects or f"{a.checkpoint}-rejects", trigger
@@ -135,6 +143,8 @@ def _parser() -> argparse.ArgumentParser:
             p.add_argument(f"--{n}", required=True)
         p.add_argument("--seed", type=int, default=42)
         p.add_argument("--encoding", default=LATIN_1)
+        if "model" in needed:
+            p.add_argument("--versions", action="store_true", help="--model has numbered versions, of which the newest is current")
         if "posts" in needed:
             p.add_argument("--any-line-end", action="store_true", help="also \\r\\n or \\r ends a line")
             p.add_argument("--single-line", action="store_true", help="no text has a line break; large files are split")

@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF, StringIndexer, StringIndexerModel, Tokenizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from valence.functions.labels import sentiment
 from valence.sources.store import REJECTED, SCORED
@@ -81,6 +81,42 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def save_version(model: PipelineModel, path: str) -> int:
+    """Save a model as the next version below ``path``, and make it the current one. Returns its number.
+
+    A version has a folder that is never written again, so whoever reads an older one goes on undisturbed. It
+    becomes current by a mark that is set once the folder is complete; what was cut off is passed over.
+    """
+    spark = SparkSession.active()
+    number = max([*_numbers(spark, path, "version-*"), *_numbers(spark, path, "current-*")], default=0) + 1
+    model.save(f"{path}/version-{number}")
+    mark, files = _files(spark, f"{path}/current-{number}")
+    files.create(mark, False).close()
+    return number
+
+
+def current_version(spark: SparkSession, path: str) -> int:
+    """The newest version that is complete."""
+    found = _numbers(spark, path, "current-*")
+    if not found:
+        raise ValueError(f"{path} has no complete version of a model")
+    return max(found)
+
+
+def load_version(path: str, number: int) -> PipelineModel:
+    return load_model(f"{path}/version-{number}")
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _numbers(spark: SparkSession, path: str, pattern: str) -> list[int]:
+    place, files = _files(spark, f"{path}/{pattern}")
+    return [int(f.getPath().getName().rpartition("-")[2]) for f in files.globStatus(place) or []]
+
+
 def scorer(model: PipelineModel) -> PipelineModel:
     """The part of a fitted model that scoring needs.
 

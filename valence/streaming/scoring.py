@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from valence.operators.classify import score
+from valence.operators.classify import current_version, load_version, score
 from valence.sources.messages import MESSAGE_SCHEMA, checked_messages
 from valence.sources.store import SCORED, write_batch
 from valence.streaming.ledger import append_once
@@ -54,6 +54,34 @@ def start_store(
     return _start(scored, write, checkpoint, trigger)
 
 
+def start_versioned_store(
+    raw: DataFrame,
+    models: str,
+    path: str,
+    checkpoint: str,
+    schema: T.StructType = MESSAGE_SCHEMA,
+    keep: tuple[str, ...] = (),
+    names: tuple[str, str] = ("NEGATIVE", "POSITIVE"),
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Score messages into a store with the model that is current below ``models`` (see ``save_version``).
+
+    Which one that is, is looked up when a micro-batch begins and holds for all of it; the column ``model_version`` says so.
+    So a model can be replaced while the stream runs.
+    """
+    loaded: dict[int, PipelineModel] = {}
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        version = current_version(batch.sparkSession, models)
+        if version not in loaded:
+            loaded.clear()
+            loaded[version] = load_version(models, version)
+        scored = scored_stream(batch, loaded[version], schema, keep, names)
+        write_batch(scored.withColumn("model_version", F.lit(version)), batch_id, path)
+
+    return _start(raw, write, checkpoint, trigger)
+
+
 def start_sink(
     scored: DataFrame,
     fmt: str,
