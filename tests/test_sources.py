@@ -8,10 +8,10 @@ from valence.sources.messages import parse_messages, publish, to_messages
 from valence.sources.store import (
     REJECTED,
     STORE_SCHEMA,
-    read_snapshot,
+    read_latest,
     read_store,
     write_batch,
-    write_snapshot,
+    write_delta,
 )
 
 TEXTS = [
@@ -91,9 +91,11 @@ def test_csv_lines_can_be_split_over_tasks(spark, tmp_path):
     size = "spark.sql.files.maxPartitionBytes"
     spark.conf.set(size, "100k")
     try:
-        assert read_posts(spark, path).rdd.getNumPartitions() == 1
-        lines = read_posts(spark, path, multi_line=False)
-        assert lines.rdd.getNumPartitions() > 1 and lines.count() == 20_000
+        for multi_line in (True, False):
+            lines = read_posts(spark, path, multi_line=multi_line)
+            assert lines.rdd.getNumPartitions() > 1 and lines.count() == 20_000
+        # With line ends that Spark has to find out, a file is still one task.
+        assert read_posts(spark, path, line_sep=None).rdd.getNumPartitions() == 1
     finally:
         spark.conf.unset(size)
 
@@ -101,8 +103,8 @@ def test_csv_lines_can_be_split_over_tasks(spark, tmp_path):
 def test_csv_files_are_bounded(spark, tmp_path):
     path = str(tmp_path / "csv")
     write_posts(_posts(spark, ["x"] * 100).coalesce(1), path, rows_per_file=10)
-    back = read_posts(spark, path)
-    assert len(back.inputFiles()) == 10 and back.count() == 100
+    files = read_posts(spark, path, multi_line=False).inputFiles()
+    assert len(files) == 10 and read_posts(spark, path).count() == 100
 
 
 def test_csv_does_not_replace_characters(spark, tmp_path):
@@ -166,25 +168,23 @@ def test_store_reads_the_wanted_folders_only(spark, tmp_path, plan):
     assert "batch_id" in partition_filters and "outcome" in partition_filters
 
 
-def test_snapshot_keeps_what_a_repeated_batch_needs(spark, tmp_path):
-    path = str(tmp_path / "state")
-    state = spark.createDataFrame([(1,)], "x int")
-    read = lambda *batch: [r.x for r in read_snapshot(spark, path, state.schema, *batch).collect()]
-    assert read() == [] and read(-1) == []
-    for batch_id in (0, 1, 2, 2):
-        write_snapshot(state.withColumn("x", F.lit(10 + batch_id)), batch_id, path)
-    assert read() == [12] and read(1) == [11] and read(0) == []
-
-
-def test_snapshot_is_passed_over_while_it_is_written(spark, tmp_path):
-    path = str(tmp_path / "state")
-    state = spark.createDataFrame([(1,), (2,)], "x int")
-    write_snapshot(state, 0, path)
-    write_snapshot(state.withColumn("x", F.col("x") * 10), 1, path)
-    (tmp_path / "state" / "batch-1" / "_SUCCESS").unlink()
-    assert sorted(r.x for r in read_snapshot(spark, path, state.schema).collect()) == [1, 2]
-    write_snapshot(state.withColumn("x", F.col("x") * 10), 1, path)  # the batch is run again
-    assert sorted(r.x for r in read_snapshot(spark, path, state.schema).collect()) == [10, 20]
+def test_each_group_as_the_last_batch_left_it(spark, tmp_path):
+    path, schema = str(tmp_path / "deltas"), "g string, x int"
+    read = lambda: sorted((r.g or "", r.x) for r in read_latest(spark, path, spark.createDataFrame([], schema).schema, ("g",)).collect())
+    assert read() == []
+    write_delta(spark.createDataFrame([("a", 1), ("b", 1), (None, 1)], schema), 0, path)
+    write_delta(spark.createDataFrame([("a", 2), ("c", 2)], schema), 1, path)
+    write_delta(spark.createDataFrame([(None, None)], schema), 2, path)
+    write_delta(spark.createDataFrame([], schema), 3, path)
+    assert read() == [("", None), ("a", 2), ("b", 1), ("c", 2)]
+    write_delta(spark.createDataFrame([("a", 20)], schema), 1, path)  # the batch is run again
+    assert read() == [("", None), ("a", 20), ("b", 1)]
+    # Without groups there is one row, or none.
+    one = str(tmp_path / "one")
+    assert read_latest(spark, one, spark.createDataFrame([], "x int").schema).collect() == []
+    for batch_id in (0, 1):
+        write_delta(spark.createDataFrame([(batch_id,)], "x int"), batch_id, one)
+    assert [r.x for r in read_latest(spark, one, spark.createDataFrame([], "x int").schema).collect()] == [1]
 
 
 def test_records_that_do_not_fit_are_kept_apart(spark, tmp_path):
