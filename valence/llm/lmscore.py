@@ -12,11 +12,11 @@ word. With the counts that the filter gives, and mu = MU:
 
 and a bigram is taken for no commoner than its words. The score is the sum of log10 p(w | h). The base score has log10 p(w) with exact counts.
 
-**Size.** The filter has BITS bits for each training token, so it grows with the corpus, and no n-gram is left out. It is built in
-segments by the tasks, from counts summed up before the shuffle. A filter larger than LIMIT bytes is made and used in shards, by the
-hash of the history: each pass over the texts has one shard and scores the words after its histories, so the broadcast
-stays below LIMIT at any size, and the passes grow instead. Exact counts for the base score are broadcast for at most COMMON
-words, the commonest; for the others texts and counts are joined.
+**Size.** The filter has BITS bits for each training token, so it grows with the corpus, and no n-gram is left out. Bigrams are counted once,
+and the commonest make a filter of at most LIMIT bytes that is broadcast; most probes end there, in the pass that reads the texts. The
+others go to the tasks that hold the rest of the filter, segment by segment. A bigram outside the broadcast part occurs less often than
+the rarest that fits, so no segment gets many probes of one. Counts of words, for both scores, are broadcast for at most COMMON words,
+the commonest; the others are looked up by a join. So a text is read once to count and once to score at any size, and what is broadcast is bounded.
 
 Defined: a null or empty text is one end token. Rows without an id are learnt from. Repeated rows count as often as they are there.
 With no training rows N and V are 0, and each token has probability 1 (0.5 / 0.5).
@@ -25,18 +25,22 @@ With no training rows N and V are 0, and each token has probability 1 (0.5 / 0.5
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from valence.llm.common import Words, fixed, mixed, numbered, pieces, signed, signed_back
 from valence.session import written
 
-BITS, LIMIT, SEGMENT = 6, 128 << 20, 512 << 10
+BITS, LIMIT, SEGMENT = 6, 32 << 20, 512 << 10
 COMMON = 1 << 20
 MU = 1000.0
+#: Levels above any that a count has. Both are members for each n-gram of the broadcast part; no level is known yet.
+_MARKS, _OPEN = (64, 65), 255
+#: Segments of the filter to a task.
+_TOGETHER = 4
 END = np.uint64(0x243F6A8885A308D3)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -56,7 +60,7 @@ def pair(history: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """One shard: ``words`` (segments by 64-bit words). A member sets two bits in one word of its segment."""
+    """``words``: segments by 64-bit words. A member sets four bits in one word of its segment."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
@@ -72,20 +76,26 @@ class Filter:
         segment = (keys >> np.uint64(24)) % np.uint64(segments)
         return segment.astype(np.int64), ((h >> np.uint64(24)) % np.uint64(size)).astype(np.int64), mask
 
+    def has(self, keys: np.ndarray, level: int) -> np.ndarray:
+        segments, size = self.words.shape
+        segment, place, mask = self.places(keys, level, segments, size)
+        return self.words.ravel()[segment * size + place] & mask == mask
+
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each n-gram, 0 if it isn't there: probe level after level."""
-        segments, size = self.words.shape
-        flat = self.words.ravel()
         out = np.zeros(len(keys), np.int64)
         live = np.arange(len(keys))
         level = 0
         while len(live):
             level += 1
-            segment, place, mask = self.places(keys[live], level, segments, size)
-            live = live[flat[segment * size + place] & mask == mask]
+            live = live[self.has(keys[live], level)]
             out[live] = level
         return out
 
+    def marked(self, keys: np.ndarray) -> np.ndarray:
+        """Which n-grams this filter answers for, whether or not they occur where was learnt."""
+        return self.has(keys, _MARKS[0]) & self.has(keys, _MARKS[1])
+
 
 def count_of(level: np.ndarray) -> np.ndarray:
     """The middle of the counts of a level."""
@@ -103,134 +113,243 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(signed(h)), pa.array(c)], ["h", "c"])
 
 
-def _segments(keys, counts, segments):
-    return pa.record_batch(
-        [pa.array(((keys >> np.uint64(24)) % np.uint64(segments)).astype(np.int64)), pa.array(signed(keys)), pa.array(counts)],
-        ["segment", "x", "c"],
-    )
-
+def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """x, c (how often where is learnt) and n (how often at all)."""
+    for batch in batches:
+        learnt = ~batch["held_out"].to_numpy(zero_copy_only=False)
+        for i, data, bounds in pieces(batch["body"]):
+            now, before, text = tokens(Words(data, bounds, "visible"))
+            keys, which = np.unique(pair(before, now), return_inverse=True)
+            c = np.bincount(which, learnt[i + text], len(keys)).astype(np.int64)
+            yield pa.record_batch([pa.array(signed(keys)), pa.array(c), pa.array(np.bincount(which, minlength=len(keys)))], ["x", "c", "n"])
 
-def _bigrams(shard: int, shards: int, segments: int):
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, data, bounds in pieces(batch["body"]):
-                now, before, _ = tokens(Words(data, bounds, "visible"))
-                mine = mixed(before) % np.uint64(shards) == shard
-                yield _segments(*_summed(pair(before[mine], now[mine])), segments)
 
-    return counted
+def _set(words: np.ndarray, keys: np.ndarray, level: int) -> None:
+    """Make (key, level) members, for all keys; a filter of one segment or of several."""
+    segment, place, mask = Filter.places(keys, level, *words.shape)
+    np.bitwise_or.at(words, (segment, place), mask)
 
 
-def _words(segments: int):
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _segments(mixed(signed_back(batch["h"].to_numpy())), batch["c"].to_numpy(), segments)
-
-    return keyed
+def _set_counts(words: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> None:
+    top = np.frexp(counts)[1]  # 1 + floor(log2), 0 for 0
+    level = 0
+    while len(keys):
+        level += 1
+        live = top >= level
+        keys, top = keys[live], top[live]
+        _set(words, keys, level)
 
 
 def _filled(segments: int, size: int):
-    """Each partition has all counts of its segments; it sums them up and sets the bits."""
+    """A segment of the broadcast part from all its n-grams (sorted by segment): marks, then levels."""
+
+    def made(number, keys, counts):
+        words = np.zeros((1, size), np.uint64)
+        keys, counts = np.concatenate(keys), np.concatenate(counts)
+        for mark in _MARKS:
+            _set(words, keys, mark)
+        _set_counts(words, keys, counts)
+        return pa.record_batch([pa.array([number]), pa.array([words.tobytes()], pa.binary())], ["segment", "words"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for batch in batches:
-            keys.append(signed_back(batch["x"].to_numpy()))
-            counts.append(batch["c"].to_numpy())
-        key, which = np.unique(np.concatenate(keys), return_inverse=True)
-        top = np.frexp(np.bincount(which, np.concatenate(counts), len(key)))[1]  # 1 + floor(log2)
-        held: dict[int, np.ndarray] = {}
-        which = np.unique((key >> np.uint64(24)) % np.uint64(segments)).astype(np.int64)
-        for s in which:
-            held[int(s)] = np.zeros(size, np.uint64)
-        level = 0
-        while len(key):
-            level += 1
-            segment, place, mask = Filter.places(key, level, segments, size)
-            for s in np.unique(segment):
-                here = segment == s
-                np.bitwise_or.at(held[int(s)], place[here], mask[here])
-            live = top > level
-            key, top = key[live], top[live]
-        for s, words in held.items():
-            yield pa.record_batch([pa.array([s]), pa.array([words.tobytes()], pa.binary())], ["segment", "words"])
+        held = None
+        for number, _, at, batch in _runs(batches):
+            if held and held[0] != number:
+                yield made(*held)
+                held = None
+            held = held or (number, [], [])
+            held[1].append(signed_back(batch["x"].to_numpy()[at]))
+            held[2].append(batch["c"].to_numpy()[at])
+        if held:
+            yield made(*held)
 
     return fill
 
 
-def build_filter(body: DataFrame, vocabulary: DataFrame, shard: int, shards: int, total: int, size_v: int) -> Filter:
-    """The shard of the filter over the texts in ``body``."""
-    nbytes = max(4096, (BITS * total // shards + 2 * BITS * size_v) // 8)
+def _runs(batches: Iterator[pa.RecordBatch]):
+    """Number of the segment, whether its first rows are here, the slice, and the batch; rows come sorted by segment."""
+    last = None
+    for batch in batches:
+        numbers = batch["segment"].to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1), len(numbers)]
+        for i, j in zip(edges, edges[1:], strict=False):
+            if i < j:
+                yield int(numbers[i]), numbers[i] != last, slice(i, j), batch
+                last = numbers[i]
+
+
+def _segment(segments: int) -> Column:
+    """The segment of ``x``, as ``Filter.places`` has it."""
+    return F.pmod(F.shiftrightunsigned("x", 24), F.lit(segments))
+
+
+def _shape(nbytes: int) -> tuple[int, int]:
+    """Segments, and 64-bit words in each."""
     segments = max(1, -(-nbytes // SEGMENT))
-    size = nbytes // segments // 8 + 1
-    columns = "segment long, x long, c long"
-    counts = body.select("body").mapInArrow(_bigrams(shard, shards, segments), columns)
-    counts = counts.union(vocabulary.mapInArrow(_words(segments), columns))
-    made = written(counts.repartition(segments, "segment").mapInArrow(_filled(segments, size), "segment long, words binary"), "filter")
+    return segments, max(4096, nbytes) // segments // 8 + 1
+
+
+def common_part(grams: DataFrame, limit: int) -> tuple[Filter, int]:
+    """A filter of at most about ``limit`` bytes for the commonest bigrams, and how often each of these occurs at least."""
+    members = F.lit(len(_MARKS)) + F.when(F.col("c") > 0, F.length(F.bin("c"))).otherwise(0)
+    steps = grams.groupBy((F.length(F.bin("n")) - 1).alias("step")).agg(F.sum(members).alias("members"))
+    least, held = 1 << 62, 0
+    for r in steps.orderBy(F.desc("step")).collect():  # at most 63 rows
+        if held + r["members"] > limit:  # a byte to a member
+            break
+        held += r["members"]
+        least = 1 << r["step"]
+    segments, size = _shape(held)
+    ours = grams.filter(F.col("n") >= least).select(_segment(segments).alias("segment"), "x", "c")
+    ours = ours.repartition(-(-segments // _TOGETHER), "segment").sortWithinPartitions("segment")
     words = np.zeros((segments, size), np.uint64)
-    for batch in made.toArrow().to_batches():
-        for s, held in zip(batch["segment"].to_pylist(), batch["words"], strict=True):
-            words[s] = np.frombuffer(held.as_buffer(), np.uint64)
-    return Filter(words)
+    for batch in ours.mapInArrow(_filled(segments, size), "segment long, words binary").toArrow().to_batches():
+        for s, made in zip(batch["segment"].to_pylist(), batch["words"], strict=True):
+            words[s] = np.frombuffer(made.as_buffer(), np.uint64)
+    return Filter(words), least
 
 
-def _scored(held, shard: int, shards: int, total: int, size_v: int, mu: float):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        for batch in batches:
-            for i, data, bounds in pieces(batch["body"]):
-                w = Words(data, bounds, "visible")
-                now, before, text = tokens(w)
-                names, which = np.unique(now, return_inverse=True)
-                level = model.levels(mixed(names))
-                count = count_of(level)
-                at = np.flatnonzero(mixed(before) % np.uint64(shards) == shard)
-                left = np.searchsorted(names, before[at])
-                left = np.where(names[np.minimum(left, len(names) - 1)] == before[at], left, 0)
-                word = which[at]
-                both = np.minimum(level[left], level[word])
-                known = np.flatnonzero(both > 0)
-                seen = np.zeros(len(at), np.int64)
-                seen[known] = np.minimum(model.levels(pair(before[at][known], now[at][known])), both[known])
-                alone = (count[word] + 0.5) / (total + 0.5 * (size_v + 1))
-                c = np.minimum(count_of(seen), np.minimum(count[left], count[word]))
-                logs = np.log10((c + mu * alone) / (count[left] + mu))
-                yield pa.record_batch(
-                    [batch["row"].slice(i, w.texts), pa.array(np.bincount(text[at], logs, w.texts))], ["row", "score"]
-                )
+def _logs(seen, left, word, total: int, size_v: int, mu: float) -> np.ndarray:
+    """log10 p(w | h) from the levels of the bigram, its history and its word."""
+    before, now = count_of(left), count_of(word)
+    alone = (now + 0.5) / (total + 0.5 * (size_v + 1))
+    return np.log10((np.minimum(count_of(seen), np.minimum(before, now)) + mu * alone) / (before + mu))
+
+
+def _packed(left, word, seen) -> np.ndarray:
+    return (left | word << 8 | seen << 16).astype(np.int32)
+
+
+def _nested(text: np.ndarray, n: int, which: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+    """Lists for each of ``n`` texts of the values at ``which``; ``text`` is in order."""
+    cuts = pa.array(np.searchsorted(text[which], np.arange(n + 1)), pa.int32())
+    return [pa.ListArray.from_arrays(cuts, pa.array(v[which])) for v in values]
+
 
-    return score
+_READ = (
+    "row long, id long, held_out boolean, n_tokens long, known long, base double, rare array<long>, found double, "
+    "x array<long>, packed array<int>, far_x array<long>, far_packed array<int>, h array<long>, w array<long>"
+)
 
 
-def _based(common, total: int, size_v: int):
+def _read(sent: Broadcast, whole: bool, total: int, size_v: int, mu: float):
+    """What the broadcast counts and the broadcast part of the filter give for each text, and what is left to look up.
+
+    Left are rare words (for the base score), bigrams outside the filter (x, packed), and bigrams with a rare
+    word (far_*; h and w are the rare words, 0 where that word isn't rare).
+    """
     below = np.log10(total + 0.5 * (size_v + 1))
 
-    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts = common.value
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts, common = sent.value
         for batch in batches:
             for i, data, bounds in pieces(batch["body"]):
-                now, _, text = tokens(Words(data, bounds, "visible"))
+                now, before, text = tokens(Words(data, bounds, "visible"))
                 n = len(bounds) - 1
-                at = np.minimum(np.searchsorted(names, now), max(0, len(names) - 1))
-                hit = names[at] == now if len(names) else np.zeros(len(now), bool)
-                logs = np.log10(counts[at[hit]] + 0.5) - below
-                rare, rare_text = now[~hit], text[~hit]
-                order = np.argsort(rare_text, kind="stable")
-                cuts = np.searchsorted(rare_text[order], np.arange(n + 1))
+                word, which = np.unique(now, return_inverse=True)
+                left = np.searchsorted(word, before)  # histories are words of these texts, or the end
+                at = np.minimum(np.searchsorted(names, word), max(0, len(names) - 1))
+                hit = names[at] == word if len(names) else np.zeros(len(word), bool)
+                count = np.where(hit, counts[at], 0) if len(names) else np.zeros(len(word), np.int64)
+                rare = ~hit & (not whole)
+                level = np.frexp(count)[1].astype(np.int64)
+                lh, lw, near = level[left], level[which], ~(rare[left] | rare[which])
+
+                x = pair(before, now)
+                key, of = np.unique(x, return_inverse=True)
+                ours = common.marked(key)
+                held = np.full(len(key), _OPEN, np.int64)
+                held[ours] = common.levels(key[ours])
+                seen = held[of]
+                seen[near & (np.minimum(lh, lw) == 0)] = 0
+                done = np.flatnonzero(near & (seen != _OPEN))
+                found = np.bincount(text[done], _logs(seen[done], lh[done], lw[done], total, size_v, mu), n).astype(float)  # of no rows it is whole numbers
+                packed = _packed(lh, lw, seen)
+                based = ~rare[which]
                 yield pa.record_batch(
                     [batch["row"].slice(i, n), batch["id"].slice(i, n), batch["held_out"].slice(i, n),
-                     pa.array(np.bincount(text, minlength=n)), pa.array(np.bincount(text[hit], minlength=n)),
-                     pa.array(np.bincount(text[hit], logs, n)),
-                     pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(signed(rare[order])))],
-                    ["row", "id", "held_out", "n_tokens", "known", "base", "rare"],
+                     pa.array(np.bincount(text, minlength=n)), pa.array(np.bincount(text, count[which] > 0, n).astype(np.int64)),
+                     pa.array(np.bincount(text[based], np.log10(count[which[based]] + 0.5) - below, n).astype(float)),
+                     *_nested(text, n, np.flatnonzero(~based), signed(now)), pa.array(found),
+                     *_nested(text, n, np.flatnonzero(near & (seen == _OPEN)), signed(x), packed),
+                     *_nested(text, n, np.flatnonzero(~near), signed(x), packed,
+                              signed(np.where(rare[left], before, 0)), signed(np.where(rare[which], now, 0)))],
+                    ["row", "id", "held_out", "n_tokens", "known", "base", "rare", "found", "x", "packed", "far_x", "far_packed", "h", "w"],
                 )
 
-    return base
+    return read
+
 
+def _flat(columns: list[str], names: list[str]):
+    """A row per element of the list columns, with the number of its row."""
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch[c] for c in columns]
+            size = np.diff(np.asarray(lists[0].offsets))
+            rows = pa.array(np.repeat(batch["row"].to_numpy(), size))
+            yield pa.record_batch([rows, *[c.flatten() for c in lists]], ["row", *names])
+
+    return flat
+
+
+def _levelled(far: DataFrame, vocabulary: DataFrame, word: str, shift: int) -> DataFrame:
+    """``packed`` with the level of a rare word in its place. Words of 0 are not rare; they are spread over the tasks."""
+    known = vocabulary.select(F.col("h").alias("_name"), F.length(F.bin("c")).alias("_level"))
+    name = F.when(F.col(word) == 0, F.xxhash64("x", "row")).otherwise(F.col(word))
+    level = F.when(F.col(word) == 0, 0).otherwise(F.coalesce("_level", F.lit(0)))
+    joined = far.withColumn("_name", name).join(known, "_name", "left")
+    return joined.withColumn("packed", F.col("packed") + level * (1 << shift)).drop("_name", "_level")
+
+
+def _answered(size: int, total: int, size_v: int, mu: float):
+    """Segment after segment: fill it from its n-grams (kind 0, which come first), then probe it (kind 1)."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = None
+        for number, first, at, batch in _runs(batches):
+            if first:
+                part = Filter(np.zeros((1, size), np.uint64))
+            kind, x = batch["kind"].to_numpy()[at], signed_back(batch["x"].to_numpy()[at])
+            row, packed = batch["row"].to_numpy()[at], batch["packed"].to_numpy()[at].astype(np.int64)
+            cut = int(np.searchsorted(kind, 1))
+            _set_counts(part.words, x[:cut], row[:cut])
+            if cut == len(kind):
+                continue
+            left, word, seen = packed[cut:] & 255, packed[cut:] >> 8 & 255, packed[cut:] >> 16
+            probed = np.flatnonzero((seen == _OPEN) & (np.minimum(left, word) > 0))
+            seen[seen == _OPEN] = 0
+            seen[probed] = part.levels(x[cut:][probed])
+            rows, of = np.unique(row[cut:], return_inverse=True)
+            sums = np.bincount(of, _logs(seen, left, word, total, size_v, mu))
+            yield pa.record_batch([pa.array(rows), pa.array(sums)], ["row", "score"])
+
+    return answer
+
+
+def rest_scores(read: DataFrame, grams: DataFrame, vocabulary: DataFrame | None, total: int, size_v: int, mu: float) -> DataFrame:
+    """row, score: sums over the bigrams that the broadcast part did not answer. ``grams`` are the others."""
+    probes = read.select("row", "x", "packed").mapInArrow(_flat(["x", "packed"], ["x", "packed"]), "row long, x long, packed int")
+    if vocabulary is not None:
+        columns = ["far_x", "far_packed", "h", "w"]
+        far = read.select("row", *columns).mapInArrow(_flat(columns, ["x", "packed", "h", "w"]), "row long, x long, packed int, h long, w long")
+        far = _levelled(_levelled(far, vocabulary, "h", 0), vocabulary, "w", 8)
+        probes = probes.union(far.select("row", "x", "packed"))
+    segments, size = _shape(BITS * total // 8)
+    # A probe that is answered already only needs its score: to any segment.
+    answered = F.shiftright("packed", 16) != _OPEN
+    number = F.when(answered, F.pmod(F.xxhash64("row", "x"), F.lit(segments))).otherwise(_segment(segments))
+    held = grams.filter(F.col("c") > 0).select(
+        _segment(segments).alias("segment"), F.lit(0).alias("kind"), "x", F.col("c").alias("row"), F.lit(0).alias("packed")
+    )
+    both = held.union(probes.select(number.alias("segment"), F.lit(1).alias("kind"), "x", "row", "packed"))
+    both = both.repartition(-(-segments // _TOGETHER), "segment").sortWithinPartitions("segment", "kind")
+    return both.mapInArrow(_answered(size, total, size_v, mu), "row long, score double")
 
-def base_scores(rows: DataFrame, vocabulary: DataFrame, total: int, size_v: int, common: int = COMMON) -> DataFrame:
-    """row, id, held_out, n_tokens, n_known, base_score, all by exact counts."""
-    steps = vocabulary.groupBy(F.floor(F.log2("c")).alias("step")).count().orderBy(F.desc("step")).collect()
+
+def _common_words(vocabulary: DataFrame, common: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes and counts of the commonest words, at most ``common``, and how often each of them occurs at least."""
+    steps = vocabulary.groupBy((F.length(F.bin("c")) - 1).alias("step")).count().orderBy(F.desc("step")).collect()
     least, held = 1 << 62, 0
     for r in steps:  # at most 63 rows
         held += r["count"]
@@ -240,22 +359,25 @@ def base_scores(rows: DataFrame, vocabulary: DataFrame, total: int, size_v: int,
     known = vocabulary.filter(F.col("c") >= least).toArrow()
     names, counts = signed_back(known["h"].to_numpy()), known["c"].to_numpy()
     order = np.argsort(names)
-    sent = rows.sparkSession.sparkContext.broadcast((names[order], counts[order]))
-    based = written(
-        rows.mapInArrow(_based(sent, total, size_v), "row long, id long, held_out boolean, n_tokens long, known long, base double, rare array<long>"),
-        "base",
-    )
-    rare = based.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count(F.lit(1)).alias("n"))
-    rare = rare.join(vocabulary.filter(F.col("c") < least), "h", "left")
+    return names[order], counts[order], least
+
+
+def base_scores(read: DataFrame, vocabulary: DataFrame | None, total: int, size_v: int) -> DataFrame:
+    """row, id, held_out, n_tokens, n_known, base_score, by exact counts; ``vocabulary`` has the rare words."""
+    base = read.select("row", "id", "held_out", "n_tokens", "known", "base", "found")
+    if vocabulary is None:
+        return base.withColumnsRenamed({"known": "n_known", "base": "base_score"})
+    rare = read.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count(F.lit(1)).alias("n"))
+    rare = rare.join(vocabulary, "h", "left")
     below = float(np.log10(total + 0.5 * (size_v + 1)))
     of = rare.groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5)) - F.lit(below))).alias("rare_base"),
     )
     zero = F.lit(0)
-    return based.drop("rare").join(of, "row", "left").select(
+    return base.join(of, "row", "left").select(
         "row", "id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", zero)).alias("n_known"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "found",
     )
 
 
@@ -272,19 +394,22 @@ def lm_scores(
     rows = numbered(docs.withColumn("_held", ~learnt), text, id_column, "_held").select(
         "row", F.col(f"own_{id_column}").alias("id"), F.col("own__held").alias("held_out"), "body"
     )
-    training = numbered(docs.filter(learnt), text).select("body")
+    training = rows.filter(~F.col("held_out")).select("body")
     vocabulary = training.mapInArrow(_unigrams, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     vocabulary = written(vocabulary, "vocabulary")
     sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     total, size_v = int(sums[0]), int(sums[1])
-
-    shards = max(1, -(-BITS * total // 8 // limit))
-    parts = []
-    for shard in range(shards):
-        held = docs.sparkSession.sparkContext.broadcast(build_filter(training, vocabulary, shard, shards, total, size_v))
-        scored = rows.select("row", "body").mapInArrow(_scored(held, shard, shards, total, size_v, mu), "row long, score double")
-        parts.append(written(scored, "scores"))
-        held.unpersist()
-    scores = reduce(DataFrame.union, parts).groupBy("row").agg(F.sum("score").alias("score"))
-    base = base_scores(rows, vocabulary, total, size_v, common)
-    return base.join(scores, "row").withColumn("train_tokens", F.lit(total).cast("long"))
+    counted = rows.select("held_out", "body").mapInArrow(_bigrams, "x long, c long, n long")
+    grams = written(counted.groupBy("x").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "bigrams")
+
+    names, counts, least = _common_words(vocabulary, common)
+    rare = vocabulary.filter(F.col("c") < least) if len(names) < size_v else None
+    part, fewest = common_part(grams, limit)
+    sent = docs.sparkSession.sparkContext.broadcast((names, counts, part))
+    read = written(rows.mapInArrow(_read(sent, rare is None, total, size_v, mu), _READ), "read")
+    sent.unpersist()
+    rest = rest_scores(read, grams.filter(F.col("n") < fewest), rare, total, size_v, mu)
+    rest = rest.groupBy("row").agg(F.sum("score").alias("rest"))
+    scored = base_scores(read, rare, total, size_v).join(rest, "row", "left")
+    score = F.col("found") + F.coalesce("rest", F.lit(0.0))
+    return scored.withColumn("score", score).drop("found", "rest").withColumn("train_tokens", F.lit(total).cast("long"))
