@@ -164,7 +164,7 @@ def test_lm_scores(odd):
 
     scores = sorted(score(t) for _, t in tokens)
     # All bigrams in the broadcast part, some, none; all words broadcast, some, none.
-    for more in ({}, {"limit": 300}, {"limit": 0}, {"limit": 300, "common": 20}, {"limit": 0, "common": 0}, {"common": 0}):
+    for more in ({}, {"limit": 300}, {"limit": 0}, {"limit": 300, "common": 20}, {"common": 0}):
         got = lmscore.lm_scores(odd, use=training_part("doc_id", 1), **more).collect()
         assert sorted((r.n_tokens, r.n_known, r.held_out, round(r.base_score, 3)) for r in got) == want
         assert all(r.train_tokens == n for r in got)

@@ -14,8 +14,8 @@ and a bigram is taken for no commoner than its words. The score is the sum of lo
 
 **Size.** The filter has BITS bits for each training token, so it grows with the corpus, and no n-gram is left out. Bigrams are counted once,
 and the commonest make a filter of at most LIMIT bytes that is broadcast; most probes end there, in the pass that reads the texts. The
-others go to the tasks that hold the rest of the filter, segment by segment. A bigram outside the broadcast part occurs less often than
-the rarest that fits, so no segment gets many probes of one. Counts of words, for both scores, are broadcast for at most COMMON words,
+others go to the tasks that hold the filter, segment by segment. A bigram outside the broadcast part occurs less often than
+the rarest that fits, or less than _MANY times, so no segment gets many probes of one. Counts of words, for both scores, are broadcast for at most COMMON words,
 the commonest; the others are looked up by a join. So a text is read once to count and once to score at any size, and what is broadcast is bounded.
 
 Defined: a null or empty text is one end token. Rows without an id are learnt from. Repeated rows count as often as they are there.
@@ -39,8 +39,8 @@ COMMON = 1 << 20
 MU = 1000.0
 #: Levels above any that a count has. Both are members for each n-gram of the broadcast part; no level is known yet.
 _MARKS, _OPEN = (64, 65), 255
-#: Segments of the filter to a task.
-_TOGETHER = 4
+#: Segments of the filter to a task, and how often a bigram of the broadcast part occurs at least.
+_TOGETHER, _MANY = 4, 4
 END = np.uint64(0x243F6A8885A308D3)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -73,7 +73,7 @@ class Filter:
         mask = np.zeros(len(h), np.uint64)
         for k in range(4):
             mask |= one << ((h >> np.uint64(6 * k)) & np.uint64(63))
-        segment = (keys >> np.uint64(24)) % np.uint64(segments)
+        segment = (keys >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)  # in the order of the keys
         return segment.astype(np.int64), ((h >> np.uint64(24)) % np.uint64(size)).astype(np.int64), mask
 
     def has(self, keys: np.ndarray, level: int) -> np.ndarray:
@@ -113,15 +113,80 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(signed(h)), pa.array(c)], ["h", "c"])
 
 
-def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """x, c (how often where is learnt) and n (how often at all)."""
-    for batch in batches:
-        learnt = ~batch["held_out"].to_numpy(zero_copy_only=False)
-        for i, data, bounds in pieces(batch["body"]):
-            now, before, text = tokens(Words(data, bounds, "visible"))
-            keys, which = np.unique(pair(before, now), return_inverse=True)
-            c = np.bincount(which, learnt[i + text], len(keys)).astype(np.int64)
-            yield pa.record_batch([pa.array(signed(keys)), pa.array(c), pa.array(np.bincount(which, minlength=len(keys)))], ["x", "c", "n"])
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, the second bytes, ...: sorted keys then share their upper bytes, and counts are mostly zeros."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _unplaned(held: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(held, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _bigrams(segments: int):
+    """The sorted bigrams of some texts, cut by task: keys, c (how often where is learnt) and n (how often at all)."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            learnt = ~batch["held_out"].to_numpy(zero_copy_only=False)
+            for i, data, bounds in pieces(batch["body"]):
+                now, before, text = tokens(Words(data, bounds, "visible"))
+                keys, which = np.unique(pair(before, now), return_inverse=True)
+                c = np.bincount(which, learnt[i + text], len(keys)).astype(np.int64)
+                n = np.bincount(which, minlength=len(keys))
+                part = Filter.places(keys, 0, segments, 1)[0] // _TOGETHER
+                edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
+                cuts = [slice(i, j) for i, j in zip(edges, edges[1:], strict=False)]
+                yield pa.record_batch(
+                    [pa.array([part[at.start] for at in cuts], pa.int64()),
+                     *[pa.array([_planes(v[at]) for at in cuts], pa.binary()) for v in (keys, c, n)]],
+                    ["segment", "keys", "c", "n"],
+                )
+
+    return counted
+
+
+def _summed_up(segments: int, size: int):
+    """Segments of the filter from all bigrams of a task's segments, and those bigrams that occur _MANY times."""
+
+    def made(keys, c, n):
+        keys, which = np.unique(np.concatenate(keys), return_inverse=True)
+        c = np.bincount(which, np.concatenate(c), len(keys)).astype(np.int64)
+        n = np.bincount(which, np.concatenate(n), len(keys)).astype(np.int64)
+        segment = Filter.places(keys, 0, segments, 1)[0]
+        for s in np.unique(segment):
+            at = slice(*np.searchsorted(segment, [s, s + 1]))
+            words = np.zeros((1, size), np.uint64)
+            _set_counts(words, keys[at], c[at])
+            yield pa.record_batch(
+                [pa.array([s]), pa.array([words.tobytes()], pa.binary()), *[pa.nulls(1, pa.int64())] * 3], ["segment", "words", "x", "c", "n"]
+            )
+        many = np.flatnonzero(n >= _MANY)
+        yield pa.record_batch(
+            [pa.array(segment[many]), pa.nulls(len(many), pa.binary()), pa.array(signed(keys[many])), pa.array(c[many]), pa.array(n[many])],
+            ["segment", "words", "x", "c", "n"],
+        )
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for _, first, at, batch in _runs(batches):
+            if held and first:
+                yield from made(*held)
+                held = None
+            held = held or ([], [], [])
+            for values, name, kind in zip(held, ("keys", "c", "n"), (np.uint64, np.int64, np.int64), strict=True):
+                values.extend(_unplaned(v, kind) for v in batch[name][at].to_pylist())
+        if held:
+            yield from made(*held)
+
+    return summed
+
+
+def whole_filter(rows: DataFrame, total: int) -> DataFrame:
+    """segment, words: the filter over all texts that are learnt from. Rows with x, c, n in their place: bigrams that occur _MANY times."""
+    segments, size = _shape(BITS * total // 8)
+    counted = rows.select("held_out", "body").mapInArrow(_bigrams(segments), "segment long, keys binary, c binary, n binary")
+    counted = counted.repartition(-(-segments // _TOGETHER), "segment").sortWithinPartitions("segment")
+    return counted.mapInArrow(_summed_up(segments, size), "segment long, words binary, x long, c long, n long")
 
 
 def _set(words: np.ndarray, keys: np.ndarray, level: int) -> None:
@@ -153,8 +218,8 @@ def _filled(segments: int, size: int):
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for number, _, at, batch in _runs(batches):
-            if held and held[0] != number:
+        for number, first, at, batch in _runs(batches):
+            if held and first:
                 yield made(*held)
                 held = None
             held = held or (number, [], [])
@@ -180,7 +245,7 @@ def _runs(batches: Iterator[pa.RecordBatch]):
 
 def _segment(segments: int) -> Column:
     """The segment of ``x``, as ``Filter.places`` has it."""
-    return F.pmod(F.shiftrightunsigned("x", 24), F.lit(segments))
+    return F.shiftrightunsigned(F.shiftrightunsigned("x", 32) * F.lit(segments).cast("long"), 32)
 
 
 def _shape(nbytes: int) -> tuple[int, int]:
@@ -189,8 +254,8 @@ def _shape(nbytes: int) -> tuple[int, int]:
     return segments, max(4096, nbytes) // segments // 8 + 1
 
 
-def common_part(grams: DataFrame, limit: int) -> tuple[Filter, int]:
-    """A filter of at most about ``limit`` bytes for the commonest bigrams, and how often each of these occurs at least."""
+def common_part(grams: DataFrame, limit: int) -> Filter:
+    """A filter of at most about ``limit`` bytes for the commonest of these bigrams."""
     members = F.lit(len(_MARKS)) + F.when(F.col("c") > 0, F.length(F.bin("c"))).otherwise(0)
     steps = grams.groupBy((F.length(F.bin("n")) - 1).alias("step")).agg(F.sum(members).alias("members"))
     least, held = 1 << 62, 0
@@ -206,7 +271,7 @@ def common_part(grams: DataFrame, limit: int) -> tuple[Filter, int]:
     for batch in ours.mapInArrow(_filled(segments, size), "segment long, words binary").toArrow().to_batches():
         for s, made in zip(batch["segment"].to_pylist(), batch["words"], strict=True):
             words[s] = np.frombuffer(made.as_buffer(), np.uint64)
-    return Filter(words), least
+    return Filter(words)
 
 
 def _logs(seen, left, word, total: int, size_v: int, mu: float) -> np.ndarray:
@@ -303,32 +368,33 @@ def _levelled(far: DataFrame, vocabulary: DataFrame, word: str, shift: int) -> D
 
 
 def _answered(size: int, total: int, size_v: int, mu: float):
-    """Segment after segment: fill it from its n-grams (kind 0, which come first), then probe it (kind 1)."""
+    """Segment after segment: its words come first (kind 0), then the probes (kind 1)."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = None
-        for number, first, at, batch in _runs(batches):
+        for _, first, at, batch in _runs(batches):
+            cut = at.start
             if first:
-                part = Filter(np.zeros((1, size), np.uint64))
-            kind, x = batch["kind"].to_numpy()[at], signed_back(batch["x"].to_numpy()[at])
-            row, packed = batch["row"].to_numpy()[at], batch["packed"].to_numpy()[at].astype(np.int64)
-            cut = int(np.searchsorted(kind, 1))
-            _set_counts(part.words, x[:cut], row[:cut])
-            if cut == len(kind):
-                continue
-            left, word, seen = packed[cut:] & 255, packed[cut:] >> 8 & 255, packed[cut:] >> 16
+                own = batch["kind"][cut].as_py() == 0
+                words = np.frombuffer(batch["words"][cut].as_py(), np.uint64) if own else np.zeros(size, np.uint64)
+                part = Filter(words.reshape(1, size))
+                cut += own
+            at = slice(cut, at.stop)
+            x, row = signed_back(batch["x"].to_numpy()[at]), batch["row"].to_numpy()[at]
+            packed = batch["packed"].to_numpy()[at].astype(np.int64)
+            left, word, seen = packed & 255, packed >> 8 & 255, packed >> 16
             probed = np.flatnonzero((seen == _OPEN) & (np.minimum(left, word) > 0))
             seen[seen == _OPEN] = 0
-            seen[probed] = part.levels(x[cut:][probed])
-            rows, of = np.unique(row[cut:], return_inverse=True)
-            sums = np.bincount(of, _logs(seen, left, word, total, size_v, mu))
+            seen[probed] = part.levels(x[probed])
+            rows, of = np.unique(row, return_inverse=True)
+            sums = np.bincount(of, _logs(seen, left, word, total, size_v, mu), len(rows)).astype(float)
             yield pa.record_batch([pa.array(rows), pa.array(sums)], ["row", "score"])
 
     return answer
 
 
-def rest_scores(read: DataFrame, grams: DataFrame, vocabulary: DataFrame | None, total: int, size_v: int, mu: float) -> DataFrame:
-    """row, score: sums over the bigrams that the broadcast part did not answer. ``grams`` are the others."""
+def rest_scores(read: DataFrame, filled: DataFrame, vocabulary: DataFrame | None, total: int, size_v: int, mu: float) -> DataFrame:
+    """row, score: sums over the bigrams that the broadcast part did not answer."""
     probes = read.select("row", "x", "packed").mapInArrow(_flat(["x", "packed"], ["x", "packed"]), "row long, x long, packed int")
     if vocabulary is not None:
         columns = ["far_x", "far_packed", "h", "w"]
@@ -339,11 +405,12 @@ def rest_scores(read: DataFrame, grams: DataFrame, vocabulary: DataFrame | None,
     # A probe that is answered already only needs its score: to any segment.
     answered = F.shiftright("packed", 16) != _OPEN
     number = F.when(answered, F.pmod(F.xxhash64("row", "x"), F.lit(segments))).otherwise(_segment(segments))
-    held = grams.filter(F.col("c") > 0).select(
-        _segment(segments).alias("segment"), F.lit(0).alias("kind"), "x", F.col("c").alias("row"), F.lit(0).alias("packed")
+    none = F.lit(0)
+    held = filled.filter(F.col("words").isNotNull()).select(
+        "segment", none.alias("kind"), none.cast("long").alias("x"), none.cast("long").alias("row"), none.alias("packed"), "words"
     )
-    both = held.union(probes.select(number.alias("segment"), F.lit(1).alias("kind"), "x", "row", "packed"))
-    both = both.repartition(-(-segments // _TOGETHER), "segment").sortWithinPartitions("segment", "kind")
+    probes = probes.select(number.alias("segment"), F.lit(1).alias("kind"), "x", "row", "packed", F.lit(None).cast("binary").alias("words"))
+    both = held.union(probes).repartition(-(-segments // _TOGETHER), "segment").sortWithinPartitions("segment", "kind")
     return both.mapInArrow(_answered(size, total, size_v, mu), "row long, score double")
 
 
@@ -399,16 +466,15 @@ def lm_scores(
     vocabulary = written(vocabulary, "vocabulary")
     sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     total, size_v = int(sums[0]), int(sums[1])
-    counted = rows.select("held_out", "body").mapInArrow(_bigrams, "x long, c long, n long")
-    grams = written(counted.groupBy("x").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "bigrams")
+    filled = written(whole_filter(rows, total), "filter")
 
     names, counts, least = _common_words(vocabulary, common)
     rare = vocabulary.filter(F.col("c") < least) if len(names) < size_v else None
-    part, fewest = common_part(grams, limit)
+    part = common_part(filled.filter(F.col("words").isNull()).select("x", "c", "n"), limit)
     sent = docs.sparkSession.sparkContext.broadcast((names, counts, part))
     read = written(rows.mapInArrow(_read(sent, rare is None, total, size_v, mu), _READ), "read")
     sent.unpersist()
-    rest = rest_scores(read, grams.filter(F.col("n") < fewest), rare, total, size_v, mu)
+    rest = rest_scores(read, filled, rare, total, size_v, mu)
     rest = rest.groupBy("row").agg(F.sum("score").alias("rest"))
     scored = base_scores(read, rare, total, size_v).join(rest, "row", "left")
     score = F.col("found") + F.coalesce("rest", F.lit(0.0))
