@@ -60,10 +60,10 @@ def pair(history: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """``words``: segments by 64-bit words. A member sets four bits in one word of its segment."""
+    """``words``: segments by 64-bit words, those from ``first`` on of ``segments``. A member sets four bits in one word of its segment."""
 
-    def __init__(self, words: np.ndarray):
-        self.words = words
+    def __init__(self, words: np.ndarray, first: int = 0, segments: int | None = None):
+        self.words, self.first, self.segments = words, first, segments or len(words)
 
     @staticmethod
     def places(keys: np.ndarray, level: int | np.ndarray, segments: int, size: int):
@@ -77,9 +77,9 @@ class Filter:
         return segment.astype(np.int64), ((h >> np.uint64(24)) % np.uint64(size)).astype(np.int64), mask
 
     def has(self, keys: np.ndarray, level: int) -> np.ndarray:
-        segments, size = self.words.shape
-        segment, place, mask = self.places(keys, level, segments, size)
-        return self.words.ravel()[segment * size + place] & mask == mask
+        size = self.words.shape[1]
+        segment, place, mask = self.places(keys, level, self.segments, size)
+        return self.words.ravel()[(segment - self.first) * size + place] & mask == mask
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each n-gram, 0 if it isn't there: probe level after level."""
@@ -114,7 +114,7 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """The first bytes of all values, the second bytes, ...: sorted keys then share their upper bytes, and counts are mostly zeros."""
+    """The first bytes of all values, the second bytes, ...: what compresses well where values are small or alike."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
 
 
@@ -122,6 +122,23 @@ def _unplaned(held: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(held, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted keys by what each is above the one before it."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unstepped(held: bytes) -> np.ndarray:
+    return np.cumsum(_unplaned(held, np.uint64), dtype=np.uint64)
+
+
+def _parts(keys: np.ndarray, segments: int) -> tuple[pa.Array, list[slice]]:
+    """Sorted keys cut by the task that holds their segments: number of the task, slice."""
+    part = Filter.places(keys, 0, segments, 1)[0] // _TOGETHER
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
+    cuts = [slice(i, j) for i, j in zip(edges, edges[1:], strict=False) if i < j]
+    return pa.array([part[at.start] for at in cuts], pa.int64()), cuts
+
+
 def _bigrams(segments: int):
     """The sorted bigrams of some texts, cut by task: keys, c (how often where is learnt) and n (how often at all)."""
 
@@ -133,14 +150,9 @@ def _bigrams(segments: int):
                 keys, which = np.unique(pair(before, now), return_inverse=True)
                 c = np.bincount(which, learnt[i + text], len(keys)).astype(np.int64)
                 n = np.bincount(which, minlength=len(keys))
-                part = Filter.places(keys, 0, segments, 1)[0] // _TOGETHER
-                edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
-                cuts = [slice(i, j) for i, j in zip(edges, edges[1:], strict=False)]
-                yield pa.record_batch(
-                    [pa.array([part[at.start] for at in cuts], pa.int64()),
-                     *[pa.array([_planes(v[at]) for at in cuts], pa.binary()) for v in (keys, c, n)]],
-                    ["segment", "keys", "c", "n"],
-                )
+                part, cuts = _parts(keys, segments)
+                packed = [[_steps(keys[at]) for at in cuts], [_planes(c[at]) for at in cuts], [_planes(n[at]) for at in cuts]]
+                yield pa.record_batch([part, *[pa.array(v, pa.binary()) for v in packed]], ["part", "keys", "c", "n"])
 
     return counted
 
@@ -168,13 +180,14 @@ def _summed_up(segments: int, size: int):
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for _, first, at, batch in _runs(batches):
+        for _, first, at, batch in _runs(batches, "part"):
             if held and first:
                 yield from made(*held)
                 held = None
             held = held or ([], [], [])
-            for values, name, kind in zip(held, ("keys", "c", "n"), (np.uint64, np.int64, np.int64), strict=True):
-                values.extend(_unplaned(v, kind) for v in batch[name][at].to_pylist())
+            held[0].extend(map(_unstepped, batch["keys"][at].to_pylist()))
+            for values, name in zip(held[1:], ("c", "n"), strict=True):
+                values.extend(_unplaned(v, np.int64) for v in batch[name][at].to_pylist())
         if held:
             yield from made(*held)
 
@@ -184,8 +197,8 @@ def _summed_up(segments: int, size: int):
 def whole_filter(rows: DataFrame, total: int) -> DataFrame:
     """segment, words: the filter over all texts that are learnt from. Rows with x, c, n in their place: bigrams that occur _MANY times."""
     segments, size = _shape(BITS * total // 8)
-    counted = rows.select("held_out", "body").mapInArrow(_bigrams(segments), "segment long, keys binary, c binary, n binary")
-    counted = counted.repartition(-(-segments // _TOGETHER), "segment").sortWithinPartitions("segment")
+    counted = rows.select("held_out", "body").mapInArrow(_bigrams(segments), "part long, keys binary, c binary, n binary")
+    counted = counted.repartition(-(-segments // _TOGETHER), "part").sortWithinPartitions("part")
     return counted.mapInArrow(_summed_up(segments, size), "segment long, words binary, x long, c long, n long")
 
 
@@ -231,11 +244,11 @@ def _filled(segments: int, size: int):
     return fill
 
 
-def _runs(batches: Iterator[pa.RecordBatch]):
-    """Number of the segment, whether its first rows are here, the slice, and the batch; rows come sorted by segment."""
+def _runs(batches: Iterator[pa.RecordBatch], by: str = "segment"):
+    """Number of the segment or part, whether its first rows are here, the slice, and the batch; rows come sorted by it."""
     last = None
     for batch in batches:
-        numbers = batch["segment"].to_numpy()
+        numbers = batch[by].to_numpy()
         edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1), len(numbers)]
         for i, j in zip(edges, edges[1:], strict=False):
             if i < j:
@@ -293,15 +306,18 @@ def _nested(text: np.ndarray, n: int, which: np.ndarray, *values: np.ndarray) ->
 
 _READ = (
     "row long, id long, held_out boolean, n_tokens long, known long, base double, rare array<long>, found double, "
-    "x array<long>, packed array<int>, far_x array<long>, far_packed array<int>, h array<long>, w array<long>"
+    "far_x array<long>, far_packed array<int>, h array<long>, w array<long>, part long, keys binary, packed binary, rows binary"
 )
+_LISTS = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+_TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.float64(), *_LISTS]
+_COLUMNS = [field.split()[0] for field in _READ.split(", ")]
 
 
-def _read(sent: Broadcast, whole: bool, total: int, size_v: int, mu: float):
+def _read(sent: Broadcast, whole: bool, segments: int, total: int, size_v: int, mu: float):
     """What the broadcast counts and the broadcast part of the filter give for each text, and what is left to look up.
 
-    Left are rare words (for the base score), bigrams outside the filter (x, packed), and bigrams with a rare
-    word (far_*; h and w are the rare words, 0 where that word isn't rare).
+    Left are rare words (for the base score), bigrams outside the filter (in rows of their own, of all texts at hand, sorted
+    and cut by task: keys, packed, rows), and bigrams with a rare word (far_*; h and w are the rare words, 0 where that word isn't rare).
     """
     below = np.log10(total + 0.5 * (size_v + 1))
 
@@ -336,10 +352,18 @@ def _read(sent: Broadcast, whole: bool, total: int, size_v: int, mu: float):
                      pa.array(np.bincount(text, minlength=n)), pa.array(np.bincount(text, count[which] > 0, n).astype(np.int64)),
                      pa.array(np.bincount(text[based], np.log10(count[which[based]] + 0.5) - below, n).astype(float)),
                      *_nested(text, n, np.flatnonzero(~based), signed(now)), pa.array(found),
-                     *_nested(text, n, np.flatnonzero(near & (seen == _OPEN)), signed(x), packed),
                      *_nested(text, n, np.flatnonzero(~near), signed(x), packed,
-                              signed(np.where(rare[left], before, 0)), signed(np.where(rare[which], now, 0)))],
-                    ["row", "id", "held_out", "n_tokens", "known", "base", "rare", "found", "x", "packed", "far_x", "far_packed", "h", "w"],
+                              signed(np.where(rare[left], before, 0)), signed(np.where(rare[which], now, 0))),
+                     pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.binary())] * 3],
+                    _COLUMNS,
+                )
+                away = np.flatnonzero(near & (seen == _OPEN))
+                away = away[np.argsort(x[away])]
+                part, cuts = _parts(x[away], segments)
+                rows = batch["row"].slice(i, n).to_numpy()[text[away]]
+                lists = [[_steps(x[away[at]]) for at in cuts], [_planes(packed[away[at]]) for at in cuts], [_planes(rows[at]) for at in cuts]]
+                yield pa.record_batch(
+                    [pa.nulls(len(cuts), t) for t in _TYPES] + [part, *[pa.array(v, pa.binary()) for v in lists]], _COLUMNS
                 )
 
     return read
@@ -367,51 +391,57 @@ def _levelled(far: DataFrame, vocabulary: DataFrame, word: str, shift: int) -> D
     return joined.withColumn("packed", F.col("packed") + level * (1 << shift)).drop("_name", "_level")
 
 
-def _answered(size: int, total: int, size_v: int, mu: float):
-    """Segment after segment: its words come first (kind 0), then the probes (kind 1)."""
+def _answered(segments: int, size: int, total: int, size_v: int, mu: float):
+    """Part after part: the words of its segments come first (kind 0), then the probes, single (1) and packed (2)."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = None
-        for _, first, at, batch in _runs(batches):
-            cut = at.start
+        for number, first, at, batch in _runs(batches, "part"):
             if first:
-                own = batch["kind"][cut].as_py() == 0
-                words = np.frombuffer(batch["words"][cut].as_py(), np.uint64) if own else np.zeros(size, np.uint64)
-                part = Filter(words.reshape(1, size))
-                cut += own
-            at = slice(cut, at.stop)
-            x, row = signed_back(batch["x"].to_numpy()[at]), batch["row"].to_numpy()[at]
-            packed = batch["packed"].to_numpy()[at].astype(np.int64)
-            left, word, seen = packed & 255, packed >> 8 & 255, packed >> 16
-            probed = np.flatnonzero((seen == _OPEN) & (np.minimum(left, word) > 0))
-            seen[seen == _OPEN] = 0
-            seen[probed] = part.levels(x[probed])
-            rows, of = np.unique(row, return_inverse=True)
-            sums = np.bincount(of, _logs(seen, left, word, total, size_v, mu), len(rows)).astype(float)
-            yield pa.record_batch([pa.array(rows), pa.array(sums)], ["row", "score"])
+                words = np.zeros((_TOGETHER, size), np.uint64)
+                part = Filter(words, number * _TOGETHER, segments)
+            kind = batch["kind"].to_numpy()[at]
+            one, two = (at.start + int(k) for k in np.searchsorted(kind, [1, 2]))
+            for k in range(at.start, one):
+                part.words[batch["row"][k].as_py() - part.first] = np.frombuffer(batch["keys"][k].as_py(), np.uint64)
+            x, row, packed = (batch[c].to_numpy()[one:two] for c in ("x", "row", "packed"))
+            probes = [(signed_back(x), row, packed)] if one < two else []
+            for k in range(two, at.stop):
+                held = [batch[c][k].as_py() for c in ("keys", "rows", "packs")]
+                probes.append((_unstepped(held[0]), _unplaned(held[1], np.int64), _unplaned(held[2], np.int32)))
+            for x, row, packed in probes:
+                left, word, seen = (packed >> shift & 255 for shift in (0, 8, 16))
+                probed = np.flatnonzero((seen == _OPEN) & (np.minimum(left, word) > 0))
+                seen[seen == _OPEN] = 0
+                seen[probed] = part.levels(x[probed])
+                rows, of = np.unique(row, return_inverse=True)
+                sums = np.bincount(of, _logs(seen, left, word, total, size_v, mu))
+                yield pa.record_batch([pa.array(rows), pa.array(sums)], ["row", "score"])
 
     return answer
 
 
 def rest_scores(read: DataFrame, filled: DataFrame, vocabulary: DataFrame | None, total: int, size_v: int, mu: float) -> DataFrame:
     """row, score: sums over the bigrams that the broadcast part did not answer."""
-    probes = read.select("row", "x", "packed").mapInArrow(_flat(["x", "packed"], ["x", "packed"]), "row long, x long, packed int")
+    segments, size = _shape(BITS * total // 8)
+    none, no, nothing = F.lit(0), F.lit(0).cast("long"), F.lit(None).cast("binary")
+    parts = filled.filter(F.col("words").isNotNull()).select(
+        F.floor(F.col("segment") / _TOGETHER).alias("part"), none.alias("kind"), no.alias("x"), F.col("segment").alias("row"), none.alias("packed"),
+        F.col("words").alias("keys"), nothing.alias("packs"), nothing.alias("rows"),
+    )
+    away = read.filter(F.col("part").isNotNull())
+    parts = parts.union(away.select("part", F.lit(2), no, no, none, "keys", "packed", "rows"))
     if vocabulary is not None:
         columns = ["far_x", "far_packed", "h", "w"]
-        far = read.select("row", *columns).mapInArrow(_flat(columns, ["x", "packed", "h", "w"]), "row long, x long, packed int, h long, w long")
+        far = read.filter(F.col("part").isNull()).select("row", *columns)
+        far = far.mapInArrow(_flat(columns, ["x", "packed", "h", "w"]), "row long, x long, packed int, h long, w long")
         far = _levelled(_levelled(far, vocabulary, "h", 0), vocabulary, "w", 8)
-        probes = probes.union(far.select("row", "x", "packed"))
-    segments, size = _shape(BITS * total // 8)
-    # A probe that is answered already only needs its score: to any segment.
-    answered = F.shiftright("packed", 16) != _OPEN
-    number = F.when(answered, F.pmod(F.xxhash64("row", "x"), F.lit(segments))).otherwise(_segment(segments))
-    none = F.lit(0)
-    held = filled.filter(F.col("words").isNotNull()).select(
-        "segment", none.alias("kind"), none.cast("long").alias("x"), none.cast("long").alias("row"), none.alias("packed"), "words"
-    )
-    probes = probes.select(number.alias("segment"), F.lit(1).alias("kind"), "x", "row", "packed", F.lit(None).cast("binary").alias("words"))
-    both = held.union(probes).repartition(-(-segments // _TOGETHER), "segment").sortWithinPartitions("segment", "kind")
-    return both.mapInArrow(_answered(size, total, size_v, mu), "row long, score double")
+        # A probe that is answered already only needs its score: to any part.
+        answered = F.shiftright("packed", 16) != _OPEN
+        segment = F.when(answered, F.pmod(F.xxhash64("row", "x"), F.lit(segments))).otherwise(_segment(segments))
+        parts = parts.union(far.select(F.floor(segment / _TOGETHER), F.lit(1), "x", "row", "packed", nothing, nothing, nothing))
+    parts = parts.repartition(-(-segments // _TOGETHER), "part").sortWithinPartitions("part", "kind")
+    return parts.mapInArrow(_answered(segments, size, total, size_v, mu), "row long, score double")
 
 
 def _common_words(vocabulary: DataFrame, common: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -431,6 +461,7 @@ def _common_words(vocabulary: DataFrame, common: int) -> tuple[np.ndarray, np.nd
 
 def base_scores(read: DataFrame, vocabulary: DataFrame | None, total: int, size_v: int) -> DataFrame:
     """row, id, held_out, n_tokens, n_known, base_score, by exact counts; ``vocabulary`` has the rare words."""
+    read = read.filter(F.col("part").isNull())
     base = read.select("row", "id", "held_out", "n_tokens", "known", "base", "found")
     if vocabulary is None:
         return base.withColumnsRenamed({"known": "n_known", "base": "base_score"})
@@ -472,7 +503,7 @@ def lm_scores(
     rare = vocabulary.filter(F.col("c") < least) if len(names) < size_v else None
     part = common_part(filled.filter(F.col("words").isNull()).select("x", "c", "n"), limit)
     sent = docs.sparkSession.sparkContext.broadcast((names, counts, part))
-    read = written(rows.mapInArrow(_read(sent, rare is None, total, size_v, mu), _READ), "read")
+    read = written(rows.mapInArrow(_read(sent, rare is None, _shape(BITS * total // 8)[0], total, size_v, mu), _READ), "read")
     sent.unpersist()
     rest = rest_scores(read, filled, rare, total, size_v, mu)
     rest = rest.groupBy("row").agg(F.sum("score").alias("rest"))
