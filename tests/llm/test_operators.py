@@ -143,7 +143,7 @@ def test_contamination(spark, odd):
     assert [r.contaminated for r in decontaminate.contamination(changed, bench).orderBy("id").collect()] == [True, True, False]
 
 
-def test_lm_scores(odd):
+def test_lm_scores(odd, monkeypatch):
     rows = odd.select("doc_id", "text").collect()
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     tokens = [(r.doc_id, [*re.findall(r"[^\x20\x09-\x0D]+", low(r.text)), None]) for r in rows]
@@ -163,8 +163,9 @@ def test_lm_scores(odd):
         return out
 
     scores = sorted(score(t) for _, t in tokens)
-    # All bigrams in the broadcast part, some, none; all words broadcast, some, none.
-    for more in ({}, {"limit": 300}, {"limit": 0}, {"limit": 300, "common": 20}, {"common": 0}):
+    # All common bigrams in the broadcast part, some, none; all words broadcast, some, none; one segment, several parts of them.
+    for segment, more in ((1 << 19, {}), (256, {"limit": 0}), (256, {"limit": 300, "common": 20}), (1 << 19, {"common": 0})):
+        monkeypatch.setattr(lmscore, "SEGMENT", segment)
         got = lmscore.lm_scores(odd, use=training_part("doc_id", 1), **more).collect()
         assert sorted((r.n_tokens, r.n_known, r.held_out, round(r.base_score, 3)) for r in got) == want
         assert all(r.train_tokens == n for r in got)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from valence.llm.common import Words, fixed, mixed, numbered, pieces, signed, signed_back
+from valence.llm.common import Words, fixed, mixed, numbered, pieces, signed, signed_back, small_batches
 from valence.session import written
 
 BITS, LIMIT, SEGMENT = 6, 32 << 20, 512 << 10
@@ -40,7 +40,7 @@ MU = 1000.0
 #: Levels above any that a count has. Both are members for each n-gram of the broadcast part; no level is known yet.
 _MARKS, _OPEN = (64, 65), 255
 #: Segments of the filter to a task, and how often a bigram of the broadcast part occurs at least.
-_TOGETHER, _MANY = 4, 4
+_TOGETHER, _MANY = 2, 4
 END = np.uint64(0x243F6A8885A308D3)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -497,7 +497,8 @@ def lm_scores(
     vocabulary = written(vocabulary, "vocabulary")
     sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     total, size_v = int(sums[0]), int(sums[1])
-    filled = written(whole_filter(rows, total), "filter")
+    with small_batches(docs.sparkSession):
+        filled = written(whole_filter(rows, total), "filter")
 
     names, counts, least = _common_words(vocabulary, common)
     rare = vocabulary.filter(F.col("c") < least) if len(names) < size_v else None
@@ -505,8 +506,9 @@ def lm_scores(
     sent = docs.sparkSession.sparkContext.broadcast((names, counts, part))
     read = written(rows.mapInArrow(_read(sent, rare is None, _shape(BITS * total // 8)[0], total, size_v, mu), _READ), "read")
     sent.unpersist()
-    rest = rest_scores(read, filled, rare, total, size_v, mu)
-    rest = rest.groupBy("row").agg(F.sum("score").alias("rest"))
+    with small_batches(docs.sparkSession):
+        rest = rest_scores(read, filled, rare, total, size_v, mu).groupBy("row").agg(F.sum("score").alias("rest"))
+        rest = written(rest, "rest")
     scored = base_scores(read, rare, total, size_v).join(rest, "row", "left")
     score = F.col("found") + F.coalesce("rest", F.lit(0.0))
     return scored.withColumn("score", score).drop("found", "rest").withColumn("train_tokens", F.lit(total).cast("long"))
