@@ -324,7 +324,7 @@ def _read(sent: Broadcast, whole: bool, segments: int, total: int, size_v: int,
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts, common = sent.value
         for batch in batches:
-            for i, data, bounds in pieces(batch["body"]):
+            for i, data, bounds in pieces(batch["body"], 1 << 20):  # many arrays are held of each piece
                 now, before, text = tokens(Words(data, bounds, "visible"))
                 n = len(bounds) - 1
                 word, which = np.unique(now, return_inverse=True)
@@ -504,7 +504,8 @@ def lm_scores(
     rare = vocabulary.filter(F.col("c") < least) if len(names) < size_v else None
     part = common_part(filled.filter(F.col("words").isNull()).select("x", "c", "n"), limit)
     sent = docs.sparkSession.sparkContext.broadcast((names, counts, part))
-    read = written(rows.mapInArrow(_read(sent, rare is None, _shape(BITS * total // 8)[0], total, size_v, mu), _READ), "read")
+    with small_batches(docs.sparkSession):
+        read = written(rows.mapInArrow(_read(sent, rare is None, _shape(BITS * total // 8)[0], total, size_v, mu), _READ), "read")
     sent.unpersist()
     with small_batches(docs.sparkSession):
         rest = rest_scores(read, filled, rare, total, size_v, mu).groupBy("row").agg(F.sum("score").alias("rest"))
