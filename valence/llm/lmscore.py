@@ -16,7 +16,9 @@ and a bigram is taken for no commoner than its words. The score is the sum of lo
 and the commonest make a filter of at most LIMIT bytes that is broadcast; most probes end there, in the pass that reads the texts. The
 others go to the tasks that hold the filter, segment by segment. A bigram outside the broadcast part occurs less often than
 the rarest that fits, or less than _MANY times, so no segment gets many probes of one. Counts of words, for both scores, are broadcast for at most COMMON words,
-the commonest; the others are looked up by a join. So a text is read once to count and once to score at any size, and what is broadcast is bounded.
+the commonest. A bigram with another word, a rare one, lies in the segment of that word, and the task that holds the segment also has the exact counts of
+its rare words, so one probe brings both. Only where both words are rare the history's count is joined on before. Commonest means in all texts, held-out ones
+too, so a segment gets few probes for a rare word. So a text is read twice to count and once to score at any size, and what is broadcast is bounded.
 
 Defined: a null or empty text is one end token. Rows without an id are learnt from. Repeated rows count as often as they are there.
 With no training rows N and V are 0, and each token has probability 1 (0.5 / 0.5).
@@ -41,9 +43,14 @@ MU = 1000.0
 _MARKS, _OPEN = (64, 65), 255
 #: Segments of the filter to a task, and how often a bigram of the broadcast part occurs at least.
 _TOGETHER, _MANY = 2, 4
+#: Bytes of text that are split into words at once, as many arrays are held of them.
+_PIECE = 1 << 20
+#: Words of 64 bits in the smallest segment.
+_LEAST = 512
 END = np.uint64(0x243F6A8885A308D3)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
+_UPPER = np.uint64(0xFFFFFFFF00000000)
 
 
 def tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,19 +61,33 @@ def tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return now, np.concatenate([[END], now[:-1]]).astype(np.uint64), text[order]
 
 
-def pair(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+def pair(history: np.ndarray, word: np.ndarray, rare_history: np.ndarray, rare_word: np.ndarray) -> np.ndarray:
+    """The bigrams; the upper half, which picks the segment, is that of the rare word if one is rare, and of the second if both are."""
     with np.errstate(over="ignore"):
-        return mixed(history * _PAIR + word)
+        x = mixed(history * _PAIR + word)
+    leads = np.where(rare_word, word, np.where(rare_history, history, x))
+    return leads & _UPPER | x & ~_UPPER
+
+
+def _among(names: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value its place in the sorted names, and whether it is there."""
+    if not len(names):
+        return np.zeros(len(of), np.int64), np.zeros(len(of), bool)
+    at = np.minimum(np.searchsorted(names, of), len(names) - 1)
+    return at, names[at] == of
 
 
 class Filter:
-    """``words``: segments by 64-bit words, those from ``first`` on of ``segments``. A member sets four bits in one word of its segment."""
+    """``parts``: the 64-bit words of each segment, those from ``first`` on of ``segments``. A member sets four bits in one word of its segment."""
 
-    def __init__(self, words: np.ndarray, first: int = 0, segments: int | None = None):
-        self.words, self.first, self.segments = words, first, segments or len(words)
+    def __init__(self, parts: np.ndarray | list[np.ndarray], first: int = 0, segments: int | None = None):
+        self.sizes = np.array([len(p) for p in parts], np.uint64)
+        self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int64)
+        self.words, self.first, self.segments = np.concatenate(parts), first, segments or len(parts)
 
     @staticmethod
-    def places(keys: np.ndarray, level: int | np.ndarray, segments: int, size: int):
+    def places(keys: np.ndarray, level: int | np.ndarray, segments: int, size: int | np.ndarray, first: int = 0):
+        """Segment, place in it and bits of each member; ``size`` is that of all segments, or of each from ``first`` on."""
         with np.errstate(over="ignore"):
             h = mixed(keys + np.asarray(level, np.uint64) * _STEP)
         one = np.uint64(1)
@@ -74,12 +95,13 @@ class Filter:
         for k in range(4):
             mask |= one << ((h >> np.uint64(6 * k)) & np.uint64(63))
         segment = (keys >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)  # in the order of the keys
-        return segment.astype(np.int64), ((h >> np.uint64(24)) % np.uint64(size)).astype(np.int64), mask
+        segment = segment.astype(np.int64)
+        size = np.uint64(size) if np.isscalar(size) else size[segment - first]
+        return segment, ((h >> np.uint64(24)) % size).astype(np.int64), mask
 
     def has(self, keys: np.ndarray, level: int) -> np.ndarray:
-        size = self.words.shape[1]
-        segment, place, mask = self.places(keys, level, self.segments, size)
-        return self.words.ravel()[(segment - self.first) * size + place] & mask == mask
+        segment, place, mask = self.places(keys, level, self.segments, self.sizes, self.first)
+        return self.words[self.starts[segment - self.first] + place] & mask == mask
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each n-gram, 0 if it isn't there: probe level after level."""
@@ -102,24 +124,42 @@ def count_of(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, 0.75 * np.exp2(level.astype(float)) - 0.5, 0.0)
 
 
-def _summed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_counts=True)
+def _summed(keys: np.ndarray, c: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys with the sums of c and n (how often each is there, if n is none)."""
+    keys, which = np.unique(keys, return_inverse=True)
+    return keys, *(np.bincount(which, v, len(keys)).astype(np.int64) for v in (c, n))
+
+
+def _tokens_of(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens, histories and whether they are learnt, of about ``most`` bytes of text at a time, which are split a megabyte at a time."""
+    learnt = ~batch["held_out"].to_numpy(zero_copy_only=False)
+    held, size = [], 0
+    for i, data, bounds in pieces(batch["body"], _PIECE):
+        now, before, text = tokens(Words(data, bounds, "visible"))
+        held.append((now, before, learnt[i + text]))
+        size += len(data)
+        if size >= most:
+            yield tuple(np.concatenate(v) for v in zip(*held, strict=True))
+            held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(v) for v in zip(*held, strict=True))
 
 
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, data, bounds in pieces(batch["body"]):
-            h, c = _summed(tokens(Words(data, bounds, "visible"))[0])
-            yield pa.record_batch([pa.array(signed(h)), pa.array(c)], ["h", "c"])
+        for now, _, learnt in _tokens_of(batch):
+            h, c, n = _summed(now, learnt)
+            yield pa.record_batch([pa.array(signed(h)), pa.array(c), pa.array(n)], ["h", "c", "n"])
 
 
 def _planes(values: np.ndarray) -> bytes:
     """The first bytes of all values, the second bytes, ...: what compresses well where values are small or alike."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
 def _unplaned(held: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(held, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(held, np.uint8).reshape(width, len(held) // width).T).view(kind).ravel()
 
 
 def _steps(keys: np.ndarray) -> bytes:
@@ -139,17 +179,17 @@ def _parts(keys: np.ndarray, segments: int) -> tuple[pa.Array, list[slice]]:
     return pa.array([part[at.start] for at in cuts], pa.int64()), cuts
 
 
-def _bigrams(segments: int):
+def _bigrams(sent: Broadcast, whole: bool, segments: int):
     """The sorted bigrams of some texts, cut by task: keys, c (how often where is learnt) and n (how often at all)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = sent.value[0]
         for batch in batches:
-            learnt = ~batch["held_out"].to_numpy(zero_copy_only=False)
-            for i, data, bounds in pieces(batch["body"]):
-                now, before, text = tokens(Words(data, bounds, "visible"))
-                keys, which = np.unique(pair(before, now), return_inverse=True)
-                c = np.bincount(which, learnt[i + text], len(keys)).astype(np.int64)
-                n = np.bincount(which, minlength=len(keys))
+            for now, before, learnt in _tokens_of(batch):
+                word, which = np.unique(now, return_inverse=True)
+                rare = ~_among(names, word)[1] & (not whole)
+                left = np.searchsorted(word, before)  # histories are words of these texts, or the end
+                keys, c, n = _summed(pair(before, now, rare[left], rare[which]), learnt)
                 part, cuts = _parts(keys, segments)
                 packed = [[_steps(keys[at]) for at in cuts], [_planes(c[at]) for at in cuts], [_planes(n[at]) for at in cuts]]
                 yield pa.record_batch([part, *[pa.array(v, pa.binary()) for v in packed]], ["part", "keys", "c", "n"])
@@ -157,17 +197,15 @@ def _bigrams(segments: int):
     return counted
 
 
-def _summed_up(segments: int, size: int):
+def _summed_up(segments: int):
     """Segments of the filter from all bigrams of a task's segments, and those bigrams that occur _MANY times."""
 
     def made(keys, c, n):
-        keys, which = np.unique(np.concatenate(keys), return_inverse=True)
-        c = np.bincount(which, np.concatenate(c), len(keys)).astype(np.int64)
-        n = np.bincount(which, np.concatenate(n), len(keys)).astype(np.int64)
+        keys, c, n = _summed(np.concatenate(keys), np.concatenate(c), np.concatenate(n))
         segment = Filter.places(keys, 0, segments, 1)[0]
         for s in np.unique(segment):
             at = slice(*np.searchsorted(segment, [s, s + 1]))
-            words = np.zeros((1, size), np.uint64)
+            words = np.zeros((1, _size(BITS * int(c[at].sum()))), np.uint64)
             _set_counts(words, keys[at], c[at])
             yield pa.record_batch(
                 [pa.array([s]), pa.array([words.tobytes()], pa.binary()), *[pa.nulls(1, pa.int64())] * 3], ["segment", "words", "x", "c", "n"]
@@ -194,12 +232,12 @@ def _summed_up(segments: int, size: int):
     return summed
 
 
-def whole_filter(rows: DataFrame, total: int) -> DataFrame:
+def whole_filter(rows: DataFrame, sent: Broadcast, whole: bool, total: int) -> DataFrame:
     """segment, words: the filter over all texts that are learnt from. Rows with x, c, n in their place: bigrams that occur _MANY times."""
-    segments, size = _shape(BITS * total // 8)
-    counted = rows.select("held_out", "body").mapInArrow(_bigrams(segments), "part long, keys binary, c binary, n binary")
+    segments = _segments(BITS * total // 8)
+    counted = rows.select("held_out", "body").mapInArrow(_bigrams(sent, whole, segments), "part long, keys binary, c binary, n binary")
     counted = counted.repartition(-(-segments // _TOGETHER), "part").sortWithinPartitions("part")
-    return counted.mapInArrow(_summed_up(segments, size), "segment long, words binary, x long, c long, n long")
+    return counted.mapInArrow(_summed_up(segments), "segment long, words binary, x long, c long, n long")
 
 
 def _set(words: np.ndarray, keys: np.ndarray, level: int) -> None:
@@ -218,12 +256,12 @@ def _set_counts(words: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> None
         _set(words, keys, level)
 
 
-def _filled(segments: int, size: int):
+def _filled():
     """A segment of the broadcast part from all its n-grams (sorted by segment): marks, then levels."""
 
     def made(number, keys, counts):
-        words = np.zeros((1, size), np.uint64)
         keys, counts = np.concatenate(keys), np.concatenate(counts)
+        words = np.zeros((1, _size(8 * (len(_MARKS) * len(keys) + int(np.frexp(counts)[1].sum())))), np.uint64)  # a byte to a member
         for mark in _MARKS:
             _set(words, keys, mark)
         _set_counts(words, keys, counts)
@@ -261,10 +299,13 @@ def _segment(segments: int) -> Column:
     return F.shiftrightunsigned(F.shiftrightunsigned("x", 32) * F.lit(segments).cast("long"), 32)
 
 
-def _shape(nbytes: int) -> tuple[int, int]:
-    """Segments, and 64-bit words in each."""
-    segments = max(1, -(-nbytes // SEGMENT))
-    return segments, max(4096, nbytes) // segments // 8 + 1
+def _segments(nbytes: int) -> int:
+    return max(1, -(-nbytes // SEGMENT))
+
+
+def _size(bits: int) -> int:
+    """64-bit words of a segment. Each is as large as what it holds, as rare words put bigrams unevenly."""
+    return max(_LEAST, bits // 64 + 1)
 
 
 def common_part(grams: DataFrame, limit: int) -> Filter:
@@ -277,11 +318,11 @@ def common_part(grams: DataFrame, limit: int) -> Filter:
             break
         held += r["members"]
         least = 1 << r["step"]
-    segments, size = _shape(held)
+    segments = _segments(held)
     ours = grams.filter(F.col("n") >= least).select(_segment(segments).alias("segment"), "x", "c")
     ours = ours.repartition(-(-segments // _TOGETHER), "segment").sortWithinPartitions("segment")
-    words = np.zeros((segments, size), np.uint64)
-    for batch in ours.mapInArrow(_filled(segments, size), "segment long, words binary").toArrow().to_batches():
+    words = [np.zeros(1, np.uint64)] * segments
+    for batch in ours.mapInArrow(_filled(), "segment long, words binary").toArrow().to_batches():
         for s, made in zip(batch["segment"].to_pylist(), batch["words"], strict=True):
             words[s] = np.frombuffer(made.as_buffer(), np.uint64)
     return Filter(words)
@@ -294,6 +335,10 @@ def _logs(seen, left, word, total: int, size_v: int, mu: float) -> np.ndarray:
     return np.log10((np.minimum(count_of(seen), np.minimum(before, now)) + mu * alone) / (before + mu))
 
 
+def _lower(x: np.ndarray) -> np.ndarray:
+    return (x & ~_UPPER).astype(np.uint32).view(np.int32)
+
+
 def _packed(left, word, seen) -> np.ndarray:
     return (left | word << 8 | seen << 16).astype(np.int32)
 
@@ -306,62 +351,69 @@ def _nested(text: np.ndarray, n: int, which: np.ndarray, *values: np.ndarray) ->
 
 _READ = (
     "row long, id long, held_out boolean, n_tokens long, known long, base double, rare array<long>, found double, "
-    "far_x array<long>, far_packed array<int>, h array<long>, w array<long>, part long, keys binary, packed binary, rows binary"
+    "far_x array<long>, far_packed array<int>, h array<long>, w array<int>, part long, keys binary, packed binary, rows binary, names binary"
 )
-_LISTS = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+_LISTS = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
 _TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.float64(), *_LISTS]
 _COLUMNS = [field.split()[0] for field in _READ.split(", ")]
 
 
-def _read(sent: Broadcast, whole: bool, segments: int, total: int, size_v: int, mu: float):
+def _read(words: Broadcast, sent: Broadcast, whole: bool, segments: int, total: int, size_v: int, mu: float):
     """What the broadcast counts and the broadcast part of the filter give for each text, and what is left to look up.
 
-    Left are rare words (for the base score), bigrams outside the filter (in rows of their own, of all texts at hand, sorted
-    and cut by task: keys, packed, rows), and bigrams with a rare word (far_*; h and w are the rare words, 0 where that word isn't rare).
+    Left are rare words (for the base score), bigrams outside the filter or with a rare word (in rows of their own, of all texts at
+    hand, sorted and cut by task: keys, packed, rows, and in ``names`` the lower halves of the rare words), and bigrams of two rare words
+    (far_*; h is the history, w the lower half of the word).
     """
     below = np.log10(total + 0.5 * (size_v + 1))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts, common = sent.value
+        (names, counts), common = words.value, sent.value
         for batch in batches:
-            for i, data, bounds in pieces(batch["body"], 1 << 20):  # many arrays are held of each piece
+            for i, data, bounds in pieces(batch["body"], _PIECE):
                 now, before, text = tokens(Words(data, bounds, "visible"))
                 n = len(bounds) - 1
                 word, which = np.unique(now, return_inverse=True)
                 left = np.searchsorted(word, before)  # histories are words of these texts, or the end
-                at = np.minimum(np.searchsorted(names, word), max(0, len(names) - 1))
-                hit = names[at] == word if len(names) else np.zeros(len(word), bool)
-                count = np.where(hit, counts[at], 0) if len(names) else np.zeros(len(word), np.int64)
+                at, hit = _among(names, word)
+                count = np.zeros(len(word), np.int64)
+                count[hit] = counts[at[hit]]
                 rare = ~hit & (not whole)
-                level = np.frexp(count)[1].astype(np.int64)
-                lh, lw, near = level[left], level[which], ~(rare[left] | rare[which])
+                level = np.where(rare, _OPEN, np.frexp(count)[1].astype(np.int64))
+                lh, lw = level[left], level[which]
 
-                x = pair(before, now)
+                x = pair(before, now, rare[left], rare[which])
                 key, of = np.unique(x, return_inverse=True)
                 ours = common.marked(key)
                 held = np.full(len(key), _OPEN, np.int64)
                 held[ours] = common.levels(key[ours])
                 seen = held[of]
-                seen[near & (np.minimum(lh, lw) == 0)] = 0
-                done = np.flatnonzero(near & (seen != _OPEN))
+                seen[np.minimum(lh, lw) == 0] = 0
+                far = (lh == _OPEN) & (lw == _OPEN)
+                known = (lh != _OPEN) & (lw != _OPEN) & (seen != _OPEN)
+                done = np.flatnonzero(known)
                 found = np.bincount(text[done], _logs(seen[done], lh[done], lw[done], total, size_v, mu), n).astype(float)  # of no rows it is whole numbers
                 packed = _packed(lh, lw, seen)
+                lower = _lower(np.where(lw == _OPEN, now, before))
                 based = ~rare[which]
                 yield pa.record_batch(
                     [batch["row"].slice(i, n), batch["id"].slice(i, n), batch["held_out"].slice(i, n),
                      pa.array(np.bincount(text, minlength=n)), pa.array(np.bincount(text, count[which] > 0, n).astype(np.int64)),
                      pa.array(np.bincount(text[based], np.log10(count[which[based]] + 0.5) - below, n).astype(float)),
                      *_nested(text, n, np.flatnonzero(~based), signed(now)), pa.array(found),
-                     *_nested(text, n, np.flatnonzero(~near), signed(x), packed,
-                              signed(np.where(rare[left], before, 0)), signed(np.where(rare[which], now, 0))),
-                     pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.binary())] * 3],
+                     *_nested(text, n, np.flatnonzero(far), signed(x), packed, signed(before), lower),
+                     pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.binary())] * 4],
                     _COLUMNS,
                 )
-                away = np.flatnonzero(near & (seen == _OPEN))
+                away = np.flatnonzero(~known & ~far)
                 away = away[np.argsort(x[away])]
                 part, cuts = _parts(x[away], segments)
                 rows = batch["row"].slice(i, n).to_numpy()[text[away]]
-                lists = [[_steps(x[away[at]]) for at in cuts], [_planes(packed[away[at]]) for at in cuts], [_planes(rows[at]) for at in cuts]]
+                named = (np.maximum(lh, lw) == _OPEN)[away]
+                lists = [
+                    [_steps(x[away[at]]) for at in cuts], [_planes(packed[away[at]]) for at in cuts], [_planes(rows[at]) for at in cuts],
+                    [_planes(lower[away[at][named[at]]]) for at in cuts],
+                ]
                 yield pa.record_batch(
                     [pa.nulls(len(cuts), t) for t in _TYPES] + [part, *[pa.array(v, pa.binary()) for v in lists]], _COLUMNS
                 )
@@ -382,78 +434,102 @@ def _flat(columns: list[str], names: list[str]):
     return flat
 
 
-def _levelled(far: DataFrame, vocabulary: DataFrame, word: str, shift: int) -> DataFrame:
-    """``packed`` with the level of a rare word in its place. Words of 0 are not rare; they are spread over the tasks."""
-    known = vocabulary.select(F.col("h").alias("_name"), F.length(F.bin("c")).alias("_level"))
-    name = F.when(F.col(word) == 0, F.xxhash64("x", "row")).otherwise(F.col(word))
-    level = F.when(F.col(word) == 0, 0).otherwise(F.coalesce("_level", F.lit(0)))
-    joined = far.withColumn("_name", name).join(known, "_name", "left")
-    return joined.withColumn("packed", F.col("packed") + level * (1 << shift)).drop("_name", "_level")
-
-
-def _answered(segments: int, size: int, total: int, size_v: int, mu: float):
-    """Part after part: the words of its segments come first (kind 0), then the probes, single (1) and packed (2)."""
+def _levelled(far: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``packed`` with the level of the history, a rare word, in its place."""
+    known = vocabulary.filter(F.col("c") > 0).select("h", F.length(F.bin("c")).alias("level"))
+    joined = far.join(known, "h", "left")
+    return joined.withColumn("packed", F.col("packed") - _OPEN + F.coalesce("level", F.lit(0))).drop("h", "level")
+
+
+def _answered(segments: int, total: int, size_v: int, mu: float):
+    """Part after part: the words of its segments come first (kind 0), then its rare words (1), then the probes, single (2) and packed (3)."""
+
+    def scores(known, x, row, packed, lower):
+        part, names, levels = known
+        left, word, seen = (packed >> shift & 255 for shift in (0, 8, 16))
+        for level in (left, word):  # at most one of the two is open, and it picked the segment
+            at = np.flatnonzero(level == _OPEN)
+            place, there = _among(names, x[at] & _UPPER | lower[at].view(np.uint32).astype(np.uint64))
+            level[at] = 0
+            level[at[there]] = levels[place[there]]
+        probed = np.flatnonzero((seen == _OPEN) & (np.minimum(left, word) > 0))
+        seen[seen == _OPEN] = 0
+        seen[probed] = part.levels(x[probed])
+        rows, of = np.unique(row, return_inverse=True)
+        sums = np.bincount(of, _logs(seen, left, word, total, size_v, mu))
+        return pa.record_batch([pa.array(rows), pa.array(sums)], ["row", "score"])
+
+    def made(number, words, rare):
+        first = number * _TOGETHER
+        part = [words.get(k, np.zeros(1, np.uint64)) for k in range(first, first + _TOGETHER)]
+        names, levels = (np.concatenate(v) for v in zip(*rare, strict=True)) if rare else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        order = np.argsort(names)
+        return Filter(part, first, segments), names[order], levels[order]
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = None
+        known, words, rare = None, {}, []
         for number, first, at, batch in _runs(batches, "part"):
             if first:
-                words = np.zeros((_TOGETHER, size), np.uint64)
-                part = Filter(words, number * _TOGETHER, segments)
+                known, words, rare = None, {}, []
             kind = batch["kind"].to_numpy()[at]
-            one, two = (at.start + int(k) for k in np.searchsorted(kind, [1, 2]))
+            one, two, three = (at.start + int(k) for k in np.searchsorted(kind, [1, 2, 3]))
             for k in range(at.start, one):
-                part.words[batch["row"][k].as_py() - part.first] = np.frombuffer(batch["keys"][k].as_py(), np.uint64)
-            x, row, packed = (batch[c].to_numpy()[one:two] for c in ("x", "row", "packed"))
-            probes = [(signed_back(x), row, packed)] if one < two else []
-            for k in range(two, at.stop):
-                held = [batch[c][k].as_py() for c in ("keys", "rows", "packs")]
-                probes.append((_unstepped(held[0]), _unplaned(held[1], np.int64), _unplaned(held[2], np.int32)))
-            for x, row, packed in probes:
-                left, word, seen = (packed >> shift & 255 for shift in (0, 8, 16))
-                probed = np.flatnonzero((seen == _OPEN) & (np.minimum(left, word) > 0))
-                seen[seen == _OPEN] = 0
-                seen[probed] = part.levels(x[probed])
-                rows, of = np.unique(row, return_inverse=True)
-                sums = np.bincount(of, _logs(seen, left, word, total, size_v, mu))
-                yield pa.record_batch([pa.array(rows), pa.array(sums)], ["row", "score"])
+                words[batch["row"][k].as_py()] = np.frombuffer(batch["keys"][k].as_py(), np.uint64)
+            x, row, packed, lower = (batch[c].to_numpy() for c in ("x", "row", "packed", "lower"))
+            if one < two:
+                rare.append((signed_back(x[one:two]), packed[one:two]))
+            if known is None and two < at.stop:
+                known = made(number, words, rare)
+                words, rare = {}, []
+            if two < three:
+                single = slice(two, three)
+                yield scores(known, signed_back(x[single]), row[single], packed[single], lower[single])
+            for k in range(three, at.stop):
+                keys, rows, packs, named = (batch[c][k].as_py() for c in ("keys", "rows", "packs", "names"))
+                packs = _unplaned(packs, np.int32)
+                lower = np.zeros(len(packs), np.int32)
+                lower[np.maximum(packs & 255, packs >> 8 & 255) == _OPEN] = _unplaned(named, np.int32)
+                yield scores(known, _unstepped(keys), _unplaned(rows, np.int64), packs, lower)
 
     return answer
 
 
 def rest_scores(read: DataFrame, filled: DataFrame, vocabulary: DataFrame | None, total: int, size_v: int, mu: float) -> DataFrame:
     """row, score: sums over the bigrams that the broadcast part did not answer."""
-    segments, size = _shape(BITS * total // 8)
+    segments = _segments(BITS * total // 8)
     none, no, nothing = F.lit(0), F.lit(0).cast("long"), F.lit(None).cast("binary")
-    parts = filled.filter(F.col("words").isNotNull()).select(
-        F.floor(F.col("segment") / _TOGETHER).alias("part"), none.alias("kind"), no.alias("x"), F.col("segment").alias("row"), none.alias("packed"),
-        F.col("words").alias("keys"), nothing.alias("packs"), nothing.alias("rows"),
-    )
-    away = read.filter(F.col("part").isNotNull())
-    parts = parts.union(away.select("part", F.lit(2), no, no, none, "keys", "packed", "rows"))
+    columns = ["part", "kind", "x", "row", "packed", "lower", "keys", "packs", "rows", "names"]
+
+    def dealt(rows: DataFrame, kind: int, /, **own: Column) -> DataFrame:
+        empty = dict(zip(columns, [None, F.lit(kind), no, no, none, none, *[nothing] * 4], strict=True))
+        return rows.select(*[c.alias(name) for name, c in (empty | own).items()])
+
+    part = F.floor(F.col("segment") / _TOGETHER)
+    parts = dealt(filled.filter(F.col("words").isNotNull()), 0, part=part, row=F.col("segment"), keys=F.col("words"))
+    packed = {name: F.col(of) for name, of in (("part", "part"), ("keys", "keys"), ("packs", "packed"), ("rows", "rows"), ("names", "names"))}
+    parts = parts.union(dealt(read.filter(F.col("part").isNotNull()), 3, **packed))
     if vocabulary is not None:
-        columns = ["far_x", "far_packed", "h", "w"]
-        far = read.filter(F.col("part").isNull()).select("row", *columns)
-        far = far.mapInArrow(_flat(columns, ["x", "packed", "h", "w"]), "row long, x long, packed int, h long, w long")
-        far = _levelled(_levelled(far, vocabulary, "h", 0), vocabulary, "w", 8)
-        # A probe that is answered already only needs its score: to any part.
-        answered = F.shiftright("packed", 16) != _OPEN
-        segment = F.when(answered, F.pmod(F.xxhash64("row", "x"), F.lit(segments))).otherwise(_segment(segments))
-        parts = parts.union(far.select(F.floor(segment / _TOGETHER), F.lit(1), "x", "row", "packed", nothing, nothing, nothing))
+        part = F.floor(_segment(segments) / _TOGETHER)
+        rare = vocabulary.filter(F.col("c") > 0).select(F.col("h").alias("x"), F.length(F.bin("c")).alias("level"))
+        lists = ["far_x", "far_packed", "h", "w"]
+        far = read.filter(F.col("part").isNull()).select("row", *lists)
+        far = _levelled(far.mapInArrow(_flat(lists, ["x", "packed", "h", "lower"]), "row long, x long, packed int, h long, lower int"), vocabulary)
+        parts = parts.union(dealt(rare, 1, part=part, x=F.col("x"), packed=F.col("level")))
+        parts = parts.union(dealt(far, 2, part=part, **{name: F.col(name) for name in ("x", "row", "packed", "lower")}))
     parts = parts.repartition(-(-segments // _TOGETHER), "part").sortWithinPartitions("part", "kind")
-    return parts.mapInArrow(_answered(segments, size, total, size_v, mu), "row long, score double")
+    return parts.mapInArrow(_answered(segments, total, size_v, mu), "row long, score double")
 
 
 def _common_words(vocabulary: DataFrame, common: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes and counts of the commonest words, at most ``common``, and how often each of them occurs at least."""
-    steps = vocabulary.groupBy((F.length(F.bin("c")) - 1).alias("step")).count().orderBy(F.desc("step")).collect()
+    """Hashes and training counts of the commonest words, at most ``common``, and how often each of them occurs at least."""
+    steps = vocabulary.groupBy((F.length(F.bin("n")) - 1).alias("step")).count().orderBy(F.desc("step")).collect()
     least, held = 1 << 62, 0
     for r in steps:  # at most 63 rows
         held += r["count"]
         if held > common:
             break
         least = 1 << r["step"]
-    known = vocabulary.filter(F.col("c") >= least).toArrow()
+    known = vocabulary.filter(F.col("n") >= least).select("h", "c").toArrow()
     names, counts = signed_back(known["h"].to_numpy()), known["c"].to_numpy()
     order = np.argsort(names)
     return names[order], counts[order], least
@@ -466,7 +542,7 @@ def base_scores(read: DataFrame, vocabulary: DataFrame | None, total: int, size_
     if vocabulary is None:
         return base.withColumnsRenamed({"known": "n_known", "base": "base_score"})
     rare = read.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count(F.lit(1)).alias("n"))
-    rare = rare.join(vocabulary, "h", "left")
+    rare = rare.join(vocabulary.filter(F.col("c") > 0).select("h", "c"), "h", "left")
     below = float(np.log10(total + 0.5 * (size_v + 1)))
     of = rare.groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"),
@@ -492,21 +568,24 @@ def lm_scores(
     rows = numbered(docs.withColumn("_held", ~learnt), text, id_column, "_held").select(
         "row", F.col(f"own_{id_column}").alias("id"), F.col("own__held").alias("held_out"), "body"
     )
-    training = rows.filter(~F.col("held_out")).select("body")
-    vocabulary = training.mapInArrow(_unigrams, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    vocabulary = written(vocabulary, "vocabulary")
-    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    send = docs.sparkSession.sparkContext.broadcast
+    with small_batches(docs.sparkSession):
+        vocabulary = rows.select("held_out", "body").mapInArrow(_unigrams, "h long, c long, n long")
+        vocabulary = written(vocabulary.groupBy("h").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "vocabulary")
+    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count(F.lit(1))).first()
     total, size_v = int(sums[0]), int(sums[1])
+    *known, least = _common_words(vocabulary, common)
+    rare = vocabulary.filter(F.col("n") < least) if len(known[0]) < sums[2] else None
+    words = send(tuple(known))
     with small_batches(docs.sparkSession):
-        filled = written(whole_filter(rows, total), "filter")
+        filled = written(whole_filter(rows, words, rare is None, total), "filter")
 
-    names, counts, least = _common_words(vocabulary, common)
-    rare = vocabulary.filter(F.col("c") < least) if len(names) < size_v else None
-    part = common_part(filled.filter(F.col("words").isNull()).select("x", "c", "n"), limit)
-    sent = docs.sparkSession.sparkContext.broadcast((names, counts, part))
+    part = send(common_part(filled.filter(F.col("words").isNull()).select("x", "c", "n"), limit))
     with small_batches(docs.sparkSession):
-        read = written(rows.mapInArrow(_read(sent, rare is None, _shape(BITS * total // 8)[0], total, size_v, mu), _READ), "read")
-    sent.unpersist()
+        read = _read(words, part, rare is None, _segments(BITS * total // 8), total, size_v, mu)
+        read = written(rows.mapInArrow(read, _READ), "read")
+    words.unpersist()
+    part.unpersist()
     with small_batches(docs.sparkSession):
         rest = rest_scores(read, filled, rare, total, size_v, mu).groupBy("row").agg(F.sum("score").alias("rest"))
         rest = written(rest, "rest")
