@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from valence.llm.common import Words, fixed, mixed, numbered, pieces, signed, signed_back, small_batches
 from valence.session import written
 
-BITS, LIMIT, SEGMENT = 6, 32 << 20, 512 << 10
+BITS, LIMIT, SEGMENT = 6, 32 << 20, 256 << 10
 COMMON = 1 << 20
 MU = 1000.0
 #: Levels above any that a count has. Both are members for each n-gram of the broadcast part; no level is known yet.
@@ -130,7 +130,7 @@ def _summed(keys: np.ndarray, c: np.ndarray, n: np.ndarray | None = None) -> tup
     return keys, *(np.bincount(which, v, len(keys)).astype(np.int64) for v in (c, n))
 
 
-def _tokens_of(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _tokens_of(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Tokens, histories and whether they are learnt, of about ``most`` bytes of text at a time, which are split a megabyte at a time."""
     learnt = ~batch["held_out"].to_numpy(zero_copy_only=False)
     held, size = [], 0
@@ -201,7 +201,11 @@ def _summed_up(segments: int):
     """Segments of the filter from all bigrams of a task's segments, and those bigrams that occur _MANY times."""
 
     def made(keys, c, n):
-        keys, c, n = _summed(np.concatenate(keys), np.concatenate(c), np.concatenate(n))
+        held = [np.concatenate(v) for v in (keys, c, n)]
+        for values in (keys, c, n):
+            values.clear()
+        keys, c, n = _summed(*held)
+        del held
         segment = Filter.places(keys, 0, segments, 1)[0]
         for s in np.unique(segment):
             at = slice(*np.searchsorted(segment, [s, s + 1]))
