@@ -173,6 +173,23 @@ def test_lm_scores(odd, monkeypatch):
         assert all(-1e-6 < r - s < 0.002 * abs(s) + 1e-6 for r, s in zip(sorted(r.score for r in got), scores, strict=True))
 
 
+def test_lm_answers_are_one_row_for_a_text(odd, monkeypatch):
+    """However many tasks have the segments: what they find is summed up by batch, and not a row for each text and task."""
+    rest_scores, made = lmscore.rest_scores, []
+
+    def counted(*given):
+        rest = rest_scores(*given)
+        made.append((rest.count(), rest.select("row").distinct().count(), given[0].filter("part IS NULL").count()))
+        return rest
+
+    monkeypatch.setattr(lmscore, "rest_scores", counted)
+    monkeypatch.setattr(lmscore, "SEGMENT", 1 << 10)
+    for more in ({"limit": 0}, {"limit": 0, "common": 4}):
+        lmscore.lm_scores(odd, use=training_part("doc_id", 1), **more).collect()
+        rows, texts, every = made.pop()
+        assert 0 < rows == texts <= every
+
+
 def test_filter_never_undercounts():
     keys = mixed(np.arange(1, 2000, dtype=np.uint64))
     level = 1 + np.arange(len(keys)) % 9

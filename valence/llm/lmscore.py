@@ -347,6 +347,11 @@ def _packed(left, word, seen) -> np.ndarray:
     return (left | word << 8 | seen << 16).astype(np.int32)
 
 
+def _named(packed: np.ndarray) -> np.ndarray:
+    """Where the history or the word is a rare one."""
+    return np.maximum(packed & 255, packed >> 8 & 255) == _OPEN
+
+
 def _nested(text: np.ndarray, n: int, which: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
     """Lists for each of ``n`` texts of the values at ``which``; ``text`` is in order."""
     cuts = pa.array(np.searchsorted(text[which], np.arange(n + 1)), pa.int32())
@@ -355,7 +360,8 @@ def _nested(text: np.ndarray, n: int, which: np.ndarray, *values: np.ndarray) ->
 
 _READ = (
     "row long, id long, held_out boolean, n_tokens long, known long, base double, rare array<long>, found double, "
-    "far_x array<long>, far_packed array<int>, h array<long>, w array<int>, part long, keys binary, packed binary, rows binary, names binary"
+    "far_x array<long>, far_packed array<int>, h array<long>, w array<int>, "
+    "batch long, part long, keys binary, packed binary, rows binary, names binary"
 )
 _LISTS = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
 _TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.float64(), *_LISTS]
@@ -365,15 +371,18 @@ _COLUMNS = [field.split()[0] for field in _READ.split(", ")]
 def _read(words: Broadcast, sent: Broadcast, whole: bool, segments: int, total: int, size_v: int, mu: float):
     """What the broadcast counts and the broadcast part of the filter give for each text, and what is left to look up.
 
-    Left are rare words (for the base score), bigrams outside the filter or with a rare word (in rows of their own, of all texts at
-    hand, sorted and cut by task: keys, packed, rows, and in ``names`` the lower halves of the rare words), and bigrams of two rare words
-    (far_*; h is the history, w the lower half of the word).
+    Left are rare words (for the base score), bigrams outside the filter or with a rare word (in rows of their own, of all texts of
+    a batch, sorted and cut by task: keys, packed, rows, and in ``names`` the lower halves of the rare words), and bigrams of two rare words
+    (far_*; h is the history, w the lower half of the word). ``batch``, the number of its first row, is where the answers are summed up.
     """
     below = np.log10(total + 0.5 * (size_v + 1))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (names, counts), common = words.value, sent.value
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, left_over = batch["row"][0].as_py(), []
             for i, data, bounds in pieces(batch["body"], _PIECE):
                 now, before, text = tokens(Words(data, bounds, "visible"))
                 n = len(bounds) - 1
@@ -406,34 +415,37 @@ def _read(words: Broadcast, sent: Broadcast, whole: bool, segments: int, total:
                      pa.array(np.bincount(text[based], np.log10(count[which[based]] + 0.5) - below, n).astype(float)),
                      *_nested(text, n, np.flatnonzero(~based), signed(now)), pa.array(found),
                      *_nested(text, n, np.flatnonzero(far), signed(x), packed, signed(before), lower),
-                     pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.binary())] * 4],
+                     pa.array(np.full(n, own)), pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.binary())] * 4],
                     _COLUMNS,
                 )
                 away = np.flatnonzero(~known & ~far)
-                away = away[np.argsort(x[away])]
-                part, cuts = _parts(x[away], segments)
-                rows = batch["row"].slice(i, n).to_numpy()[text[away]]
-                named = (np.maximum(lh, lw) == _OPEN)[away]
-                lists = [
-                    [_steps(x[away[at]]) for at in cuts], [_planes(packed[away[at]]) for at in cuts], [_planes(rows[at]) for at in cuts],
-                    [_planes(lower[away[at][named[at]]]) for at in cuts],
-                ]
-                yield pa.record_batch(
-                    [pa.nulls(len(cuts), t) for t in _TYPES] + [part, *[pa.array(v, pa.binary()) for v in lists]], _COLUMNS
-                )
+                left_over.append((x[away], packed[away], batch["row"].slice(i, n).to_numpy()[text[away]], lower[away]))
+            x, packed, rows, lower = (np.concatenate(v) for v in zip(*left_over, strict=True))
+            left_over.clear()
+            order = np.argsort(x)
+            x, packed, rows, lower = x[order], packed[order], rows[order], lower[order]
+            part, cuts = _parts(x, segments)
+            lists = [
+                [_steps(x[at]) for at in cuts], [_planes(packed[at]) for at in cuts], [_planes(rows[at]) for at in cuts],
+                [_planes(lower[at][_named(packed[at])]) for at in cuts],
+            ]
+            yield pa.record_batch(
+                [pa.nulls(len(cuts), t) for t in _TYPES] + [pa.array(np.full(len(cuts), own)), part, *[pa.array(v, pa.binary()) for v in lists]],
+                _COLUMNS,
+            )
 
     return read
 
 
 def _flat(columns: list[str], names: list[str]):
-    """A row per element of the list columns, with the number of its row."""
+    """A row per element of the list columns, with the number of its row and of its batch."""
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [batch[c] for c in columns]
             size = np.diff(np.asarray(lists[0].offsets))
-            rows = pa.array(np.repeat(batch["row"].to_numpy(), size))
-            yield pa.record_batch([rows, *[c.flatten() for c in lists]], ["row", *names])
+            numbers = [pa.array(np.repeat(batch[c].to_numpy(), size)) for c in ("row", "batch")]
+            yield pa.record_batch([*numbers, *[c.flatten() for c in lists]], ["row", "batch", *names])
 
     return flat
 
@@ -446,7 +458,11 @@ def _levelled(far: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def _answered(segments: int, total: int, size_v: int, mu: float):
-    """Part after part: the words of its segments come first (kind 0), then its rare words (1), then the probes, single (2) and packed (3)."""
+    """Part after part: the words of its segments come first (kind 0), then its rare words (1), then the probes, single (2) and packed (3).
+
+    Out come batch, rows, sums, packed as the probes were: a row for those of a batch, so there are not more rows than came in,
+    and not more sums than probes, however many parts the probes of a text are dealt to.
+    """
 
     def scores(known, x, row, packed, lower):
         part, names, levels = known
@@ -460,8 +476,11 @@ def _answered(segments: int, total: int, size_v: int, mu: float):
         seen[seen == _OPEN] = 0
         seen[probed] = part.levels(x[probed])
         rows, of = np.unique(row, return_inverse=True)
-        sums = np.bincount(of, _logs(seen, left, word, total, size_v, mu))
-        return pa.record_batch([pa.array(rows), pa.array(sums)], ["row", "score"])
+        return rows, np.bincount(of, _logs(seen, left, word, total, size_v, mu), len(rows))
+
+    def packed_up(batch: list[int], rows: list[np.ndarray], sums: list[np.ndarray]):
+        lists = [list(map(_steps, map(signed_back, rows))), list(map(_planes, sums))]
+        return pa.record_batch([pa.array(batch, pa.int64()), *[pa.array(v, pa.binary()) for v in lists]], ["batch", "rows", "sums"])
 
     def made(number, words, rare):
         first = number * _TOGETHER
@@ -479,7 +498,7 @@ def _answered(segments: int, total: int, size_v: int, mu: float):
             one, two, three = (at.start + int(k) for k in np.searchsorted(kind, [1, 2, 3]))
             for k in range(at.start, one):
                 words[batch["row"][k].as_py()] = np.frombuffer(batch["keys"][k].as_py(), np.uint64)
-            x, row, packed, lower = (batch[c].to_numpy() for c in ("x", "row", "packed", "lower"))
+            x, row, packed, lower, own = (batch[c].to_numpy() for c in ("x", "row", "packed", "lower", "batch"))
             if one < two:
                 rare.append((signed_back(x[one:two]), packed[one:two]))
             if known is None and two < at.stop:
@@ -487,41 +506,76 @@ def _answered(segments: int, total: int, size_v: int, mu: float):
                 words, rare = {}, []
             if two < three:
                 single = slice(two, three)
-                yield scores(known, signed_back(x[single]), row[single], packed[single], lower[single])
+                rows, sums = scores(known, signed_back(x[single]), row[single], packed[single], lower[single])
+                of = own[single][np.unique(row[single], return_index=True)[1]]  # the batch of each row
+                order = np.argsort(of, kind="stable")
+                numbers, cuts = np.unique(of[order], return_index=True)
+                yield packed_up(numbers.tolist(), np.split(rows[order], cuts[1:]), np.split(sums[order], cuts[1:]))
+            numbers, found = [], []
             for k in range(three, at.stop):
                 keys, rows, packs, named = (batch[c][k].as_py() for c in ("keys", "rows", "packs", "names"))
                 packs = _unplaned(packs, np.int32)
                 lower = np.zeros(len(packs), np.int32)
-                lower[np.maximum(packs & 255, packs >> 8 & 255) == _OPEN] = _unplaned(named, np.int32)
-                yield scores(known, _unstepped(keys), _unplaned(rows, np.int64), packs, lower)
+                lower[_named(packs)] = _unplaned(named, np.int32)
+                numbers.append(int(own[k]))
+                found.append(scores(known, _unstepped(keys), _unplaned(rows, np.int64), packs, lower))
+            if found:
+                yield packed_up(numbers, *zip(*found, strict=True))
 
     return answer
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text with what its probes add up to, batch after batch."""
+
+    def made(rows, sums):
+        rows, of = np.unique(np.concatenate(rows), return_inverse=True)
+        sums = np.bincount(of, np.concatenate(sums), len(rows))
+        return pa.record_batch([pa.array(signed(rows)), pa.array(sums)], ["row", "rest"])
+
+    held = None
+    for _, first, at, batch in _runs(batches, "batch"):
+        if held and first:
+            yield made(*held)
+            held = None
+        held = held or ([], [])
+        held[0].extend(map(_unstepped, batch["rows"][at].to_pylist()))
+        held[1].extend(_unplaned(v, np.float64) for v in batch["sums"][at].to_pylist())
+    if held:
+        yield made(*held)
+
+
 def rest_scores(read: DataFrame, filled: DataFrame, vocabulary: DataFrame | None, total: int, size_v: int, mu: float) -> DataFrame:
-    """row, score: sums over the bigrams that the broadcast part did not answer."""
+    """row, rest: sums over the bigrams that the broadcast part did not answer, a row for each text that has some.
+
+    A text's probes go to many tasks, in the end to as many as there are probes. What these find comes back packed by the batch
+    that the text was read in and is summed up there.
+    """
     segments = _segments(BITS * total // 8)
     none, no, nothing = F.lit(0), F.lit(0).cast("long"), F.lit(None).cast("binary")
-    columns = ["part", "kind", "x", "row", "packed", "lower", "keys", "packs", "rows", "names"]
+    columns = ["part", "kind", "x", "row", "packed", "lower", "keys", "packs", "rows", "names", "batch"]
 
     def dealt(rows: DataFrame, kind: int, /, **own: Column) -> DataFrame:
-        empty = dict(zip(columns, [None, F.lit(kind), no, no, none, none, *[nothing] * 4], strict=True))
+        empty = dict(zip(columns, [None, F.lit(kind), no, no, none, none, *[nothing] * 4, no], strict=True))
         return rows.select(*[c.alias(name) for name, c in (empty | own).items()])
 
     part = F.floor(F.col("segment") / _TOGETHER)
     parts = dealt(filled.filter(F.col("words").isNotNull()), 0, part=part, row=F.col("segment"), keys=F.col("words"))
-    packed = {name: F.col(of) for name, of in (("part", "part"), ("keys", "keys"), ("packs", "packed"), ("rows", "rows"), ("names", "names"))}
+    packed = {name: F.col("packed" if name == "packs" else name) for name in ("part", "keys", "packs", "rows", "names", "batch")}
     parts = parts.union(dealt(read.filter(F.col("part").isNotNull()), 3, **packed))
     if vocabulary is not None:
         part = F.floor(_segment(segments) / _TOGETHER)
         rare = vocabulary.filter(F.col("c") > 0).select(F.col("h").alias("x"), F.length(F.bin("c")).alias("level"))
         lists = ["far_x", "far_packed", "h", "w"]
-        far = read.filter(F.col("part").isNull()).select("row", *lists)
-        far = _levelled(far.mapInArrow(_flat(lists, ["x", "packed", "h", "lower"]), "row long, x long, packed int, h long, lower int"), vocabulary)
+        far = read.filter(F.col("part").isNull()).select("row", "batch", *lists)
+        flat = far.mapInArrow(_flat(lists, ["x", "packed", "h", "lower"]), "row long, batch long, x long, packed int, h long, lower int")
+        far = _levelled(flat, vocabulary)
         parts = parts.union(dealt(rare, 1, part=part, x=F.col("x"), packed=F.col("level")))
-        parts = parts.union(dealt(far, 2, part=part, **{name: F.col(name) for name in ("x", "row", "packed", "lower")}))
-    parts = parts.repartition(-(-segments // _TOGETHER), "part").sortWithinPartitions("part", "kind")
-    return parts.mapInArrow(_answered(segments, total, size_v, mu), "row long, score double")
+        parts = parts.union(dealt(far, 2, part=part, **{name: F.col(name) for name in ("x", "row", "packed", "lower", "batch")}))
+    tasks = -(-segments // _TOGETHER)
+    parts = parts.repartition(tasks, "part").sortWithinPartitions("part", "kind")
+    answered = parts.mapInArrow(_answered(segments, total, size_v, mu), "batch long, rows binary, sums binary")
+    return answered.repartition(tasks, "batch").sortWithinPartitions("batch").mapInArrow(_totals, "row long, rest double")
 
 
 def _common_words(vocabulary: DataFrame, common: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -591,8 +645,7 @@ def lm_scores(
     words.unpersist()
     part.unpersist()
     with small_batches(docs.sparkSession):
-        rest = rest_scores(read, filled, rare, total, size_v, mu).groupBy("row").agg(F.sum("score").alias("rest"))
-        rest = written(rest, "rest")
+        rest = written(rest_scores(read, filled, rare, total, size_v, mu), "rest")
     scored = base_scores(read, rare, total, size_v).join(rest, "row", "left")
     score = F.col("found") + F.coalesce("rest", F.lit(0.0))
     return scored.withColumn("score", score).drop("found", "rest").withColumn("train_tokens", F.lit(total).cast("long"))
