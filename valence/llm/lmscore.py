@@ -45,6 +45,8 @@ _MARKS, _OPEN = (64, 65), 255
 _TOGETHER, _MANY = 2, 4
 #: Bytes of text that are split into words at once, as many arrays are held of them.
 _PIECE = 1 << 20
+#: Bytes of text whose bigrams are held, sorted and cut by task at once.
+_HELD = 2 << 20
 #: Words of 64 bits in the smallest segment.
 _LEAST = 512
 END = np.uint64(0x243F6A8885A308D3)
@@ -130,7 +132,7 @@ def _summed(keys: np.ndarray, c: np.ndarray, n: np.ndarray | None = None) -> tup
     return keys, *(np.bincount(which, v, len(keys)).astype(np.int64) for v in (c, n))
 
 
-def _tokens_of(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _tokens_of(batch: pa.RecordBatch, most: int = _HELD) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Tokens, histories and whether they are learnt, of about ``most`` bytes of text at a time, which are split a megabyte at a time."""
     learnt = ~batch["held_out"].to_numpy(zero_copy_only=False)
     held, size = [], 0
@@ -371,21 +373,32 @@ _COLUMNS = [field.split()[0] for field in _READ.split(", ")]
 def _read(words: Broadcast, sent: Broadcast, whole: bool, segments: int, total: int, size_v: int, mu: float):
     """What the broadcast counts and the broadcast part of the filter give for each text, and what is left to look up.
 
-    Left are rare words (for the base score), bigrams outside the filter or with a rare word (in rows of their own, of all texts of
-    a batch, sorted and cut by task: keys, packed, rows, and in ``names`` the lower halves of the rare words), and bigrams of two rare words
+    Left are rare words (for the base score), bigrams outside the filter or with a rare word (in rows of their own, of a batch of
+    texts of _HELD bytes, sorted and cut by task: keys, packed, rows, and in ``names`` the lower halves of the rare words), and bigrams of two rare words
     (far_*; h is the history, w the lower half of the word). ``batch``, the number of its first row, is where the answers are summed up.
     """
     below = np.log10(total + 0.5 * (size_v + 1))
 
+    def cut(own: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        x, packed, rows, lower = (np.concatenate(v) for v in zip(*held, strict=True))
+        order = np.argsort(x)
+        x, packed, rows, lower = x[order], packed[order], rows[order], lower[order]
+        part, cuts = _parts(x, segments)
+        lists = [
+            [_steps(x[at]) for at in cuts], [_planes(packed[at]) for at in cuts], [_planes(rows[at]) for at in cuts],
+            [_planes(lower[at][_named(packed[at])]) for at in cuts],
+        ]
+        numbers = pa.array(np.full(len(cuts), own))
+        return pa.record_batch([pa.nulls(len(cuts), t) for t in _TYPES] + [numbers, part, *[pa.array(v, pa.binary()) for v in lists]], _COLUMNS)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (names, counts), common = words.value, sent.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own, left_over = batch["row"][0].as_py(), []
+            held, size = [], 0
             for i, data, bounds in pieces(batch["body"], _PIECE):
                 now, before, text = tokens(Words(data, bounds, "visible"))
                 n = len(bounds) - 1
+                own = own if held else batch["row"][i].as_py()
                 word, which = np.unique(now, return_inverse=True)
                 left = np.searchsorted(word, before)  # histories are words of these texts, or the end
                 at, hit = _among(names, word)
@@ -398,9 +411,9 @@ def _read(words: Broadcast, sent: Broadcast, whole: bool, segments: int, total:
                 x = pair(before, now, rare[left], rare[which])
                 key, of = np.unique(x, return_inverse=True)
                 ours = common.marked(key)
-                held = np.full(len(key), _OPEN, np.int64)
-                held[ours] = common.levels(key[ours])
-                seen = held[of]
+                levels = np.full(len(key), _OPEN, np.int64)
+                levels[ours] = common.levels(key[ours])
+                seen = levels[of]
                 seen[np.minimum(lh, lw) == 0] = 0
                 far = (lh == _OPEN) & (lw == _OPEN)
                 known = (lh != _OPEN) & (lw != _OPEN) & (seen != _OPEN)
@@ -419,20 +432,13 @@ def _read(words: Broadcast, sent: Broadcast, whole: bool, segments: int, total:
                     _COLUMNS,
                 )
                 away = np.flatnonzero(~known & ~far)
-                left_over.append((x[away], packed[away], batch["row"].slice(i, n).to_numpy()[text[away]], lower[away]))
-            x, packed, rows, lower = (np.concatenate(v) for v in zip(*left_over, strict=True))
-            left_over.clear()
-            order = np.argsort(x)
-            x, packed, rows, lower = x[order], packed[order], rows[order], lower[order]
-            part, cuts = _parts(x, segments)
-            lists = [
-                [_steps(x[at]) for at in cuts], [_planes(packed[at]) for at in cuts], [_planes(rows[at]) for at in cuts],
-                [_planes(lower[at][_named(packed[at])]) for at in cuts],
-            ]
-            yield pa.record_batch(
-                [pa.nulls(len(cuts), t) for t in _TYPES] + [pa.array(np.full(len(cuts), own)), part, *[pa.array(v, pa.binary()) for v in lists]],
-                _COLUMNS,
-            )
+                held.append((x[away], packed[away], batch["row"].slice(i, n).to_numpy()[text[away]], lower[away]))
+                size += len(data)
+                if size >= _HELD:
+                    yield cut(own, held)
+                    held, size = [], 0
+            if held:
+                yield cut(own, held)
 
     return read
 
