@@ -1,8 +1,12 @@
+import collections
+import random
+
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
+from valence.functions.text import tokens
 from valence.operators import classify, terms
 
 POSTS = [
@@ -162,6 +166,41 @@ def test_terms_of_repeated_ids_are_those_of_one_document(spark):
     assert weights == {(None, "b"): (2, 2), (1, "a"): (3, 2), (1, "b"): (1, 2), (1, "c"): (1, 1), (2, "a"): (1, 2)}
 
 
+def _shuffled_rows(node):
+    """Rows that the shuffles of a plan wrote, once it has run."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        return _shuffled_rows(node.executedPlan())
+    if "QueryStage" in node.nodeName():
+        return _shuffled_rows(node.plan())
+    own = node.metrics().get("shuffleRecordsWritten").get().value() if node.nodeName() == "Exchange" else 0
+    return own + sum(_shuffled_rows(node.children().apply(k)) for k in range(node.children().size()))
+
+
+def test_terms_of_a_single_row_are_not_shuffled(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(i, i + 40))) for i in range(50)]
+    counts = terms.term_counts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id")
+    assert len(counts.collect()) == 50 * 40
+    assert _shuffled_rows(counts._jdf.queryExecution().executedPlan()) <= 2 * 50  # hashes of keys only
+
+
+def test_terms_of_odd_texts_are_counted_alike_in_a_row_and_over_rows(spark, monkeypatch):
+    texts = [
+        None, "", " ", "\n", "a", " a", "a ", "a  a", "\n\na\r\n\x0b\f\tb", "a\nab\naba a ab", "w " * 5000 + "w", "É é e\u0301 İ ß ẞ",
+        "\U0001f600 \U0001f600\U0001f600 \U0001f600", "\u0085 \u2028 \u00a0 a\u2028", "\\1 \\1 $1 ([^\\n]*\\n) .* .*", "\0 \0\0 \0", "x" * 5000 + " " + "x" * 5001,
+        *(" ".join(random.Random(k).choices(["", "a", "aa", "A", "ab", "b"], k=99)) for k in range(20)),
+    ]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "b b")], "doc_id long, text string")
+    held = terms.term_counts(docs, "doc_id")
+    alike = sorted((-1 if r.doc_id is None else r.doc_id, r.term, r.tf) for r in held.collect())
+    monkeypatch.setattr(terms, "KEY_BUCKETS", 1)
+    again = docs.unionByName(spark.createDataFrame([(99, None), (99, None)], docs.schema))  # a repeated key: all rows are in its bucket
+    over = terms.term_counts(again, "doc_id")
+    assert over.schema.simpleString() == held.schema.simpleString()
+    assert alike == sorted((-1 if r.doc_id is None else r.doc_id, r.term, r.tf) for r in over.collect())
+    words = [(i, w) for i, w in docs.select("doc_id", F.explode(tokens("text"))).collect()]
+    assert alike == sorted((-1 if i is None else i, w, n) for (i, w), n in collections.Counter(words).items())
+
+
 def test_columns_may_have_any_names(spark):
     rows = [(0, "bad awful"), (4, "good great"), (0, "awful sad"), (4, "love great")]
     posts = spark.createDataFrame(rows, "target int, text string")
